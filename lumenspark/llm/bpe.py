@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Characters in a leaf of the text tree, bytes in a leaf of the token tree.
-TEXT_LEAF, TOKEN_LEAF = 2048, 24
-#: Segments that one worker remembers; the memory starts anew beyond that.
-MEMORY = 250_000
+TEXT_LEAF, TOKEN_LEAF = 2048, 16
+#: Segments, and byte strings of up to ``SHORT`` bytes, that one worker remembers; a memory starts anew beyond that.
+MEMORY, SHORT = 400_000, 12
 
 _HARD = re.compile(r"(?<=\S)(?= \S)")
 _SOFT = re.compile(r" \s|\s ")
@@ -51,14 +51,29 @@ class TreeBpe:
         self.pieces = regex.compile(pattern).findall
         self.apart = lru_cache(200_000)(self._apart)
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.small: dict[bytes, list[int]] = {}
 
     # tokens -----------------------------------------------------------------------------------------------------
 
     def merged(self, data: bytes) -> list[int]:
-        """Plain BPE: the lowest rank first, the leftmost of equals; a heap over a linked list of parts."""
+        """Plain BPE: the lowest rank first, the leftmost of equals; over short strings by the least of a list, over others
+        by a heap and a linked list of parts."""
         ranks, n = self.ranks, len(data)
         if n < 2:
             return [ranks[data]] if n else []
+        if n <= 2 * TOKEN_LEAF:
+            none, rank_of = 1 << 60, ranks.get
+            parts = [data[i : i + 1] for i in range(n)]
+            pairs = [rank_of(data[i : i + 2], none) for i in range(n - 1)]
+            while pairs and (rank := min(pairs)) < none:
+                i = pairs.index(rank)
+                parts[i] += parts[i + 1]
+                del parts[i + 1], pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank_of(parts[i] + parts[i + 1], none)
+                if i:
+                    pairs[i - 1] = rank_of(parts[i - 1] + parts[i], none)
+            return [ranks[p] for p in parts]
         after, before, part = list(range(1, n + 1)), list(range(-1, n - 1)), [data[i : i + 1] for i in range(n)]
         heap = [(rank, i, 2) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -77,6 +92,17 @@ class TreeBpe:
                 heapq.heappush(heap, (rank, h, size + len(part[h])))
         return [ranks[p] for p in part if p]
 
+    def _merged(self, data: bytes) -> list[int]:
+        """``merged``, remembered for short strings: leaves and windows of the tree come again and again."""
+        found = self.small.get(data)
+        if found is None:
+            found = self.merged(data)
+            if len(data) <= SHORT:
+                if len(self.small) >= MEMORY:
+                    self.small.clear()
+                self.small[data] = found
+        return found
+
     def _apart(self, left: int, right: int) -> bool:
         """Does BPE leave this pair of tokens as it is?"""
         return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
@@ -89,7 +115,7 @@ class TreeBpe:
             return left + right
         i = j = 1
         while True:
-            window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
+            window = self._merged(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
             stable_left = i >= len(left) or self.apart(left[-i - 1], window[0])
             stable_right = j >= len(right) or self.apart(window[-1], right[j])
             if stable_left and stable_right:
@@ -99,7 +125,7 @@ class TreeBpe:
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= TOKEN_LEAF:
-            return self.merged(data)
+            return self._merged(data)
         half = len(data) // 2
         return self.joined(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -114,7 +140,9 @@ class TreeBpe:
         """Number of ids, the ids as text, and their bytes, of a text between hard boundaries."""
         found = self.known.get(text)
         if found is None:
-            ids = [i for piece in self.pieces(text) for i in self.piece(piece)]
+            # letters alone, after a space or not, are one match of the pattern
+            pieces = [text] if text.isascii() and text[text[0] == " " :].isalpha() else self.pieces(text)
+            ids = [i for piece in pieces for i in self.piece(piece)]
             found = len(ids), " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
             if len(text) <= 64:
                 if len(self.known) >= MEMORY:

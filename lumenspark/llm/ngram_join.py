@@ -1,10 +1,10 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, and the components of its links.
 
-1. Each text becomes its set of hashed shingles; equal sets are one class, known by a 128-bit digest.  Shingles that occur
-   often within a task are counted (sums over tasks give the frequent ones).
-2. Of each class only the prefix is sent on: its n - ceil(t n) + 1 rarest shingles in an order by frequency level and hash.
-   Two sets with Jaccard similarity t share a shingle of both prefixes, so sharing links classes into clusters that no
-   link leaves.  Frequent shingles come last in the order: a passage common to many documents links nobody by itself.
+1. Each text becomes its set of hashed shingles; equal sets are one class, known by a 128-bit digest.
+2. Two sets of Jaccard similarity t share a shingle of both prefixes, the first n - ceil(t n) + 1 shingles in any order that
+   all sets follow.  Here shingles with hashes in a low share of all values come first, the rarest of them before others, so
+   a passage common to many documents links nobody by itself.  Only low shingles are sent on and counted; those that occur
+   in one class need no more than their number.  Prefixes that share a shingle link classes into clusters no link leaves.
 3. Whole sets of clustered classes are brought together by cluster, large clusters as pairs of blocks, and searched: each
    set is a query; its short inverted lists are merged by a heap, the long ones probed by binary search, candidates that
    reach the required overlap are linked.  Pairs already connected need no probe.
@@ -27,13 +27,10 @@ from . import common
 from .components import connected
 from .shingles import shingle_sets
 
-#: Shingles that a task counts at once; sum of counts from which a shingle is frequent; most frequent shingles broadcast
-#: (if there are more, only the most frequent levels are: the order changes, results don't).
-COUNTED, FREQUENT, MOST_FREQUENT = 2_000_000, 64, 1_000_000
-#: Parts that lists of frequent shingles are dealt into; sets in a block of a cluster; clustered classes broadcast.
-SALT, BLOCK, BROADCAST_CLASSES = 16, 4000, 300_000
-#: Ids (8 bytes each) that are broadcast at most.
-BROADCAST_IDS = 1_000_000
+#: Low hashes, as a multiple of the share of shingles in a prefix: how much rarer shingles there are to choose from.
+LOW = 2
+#: Sets in a block of a cluster; clustered classes that are broadcast (40 bytes each), and ids (8 bytes each).
+BLOCK, BROADCAST_CLASSES, BROADCAST_IDS = 4000, 300_000, 1_000_000
 #: Weight of a probe in the choice of the number of long lists.
 PROBE = 0.01
 
@@ -95,88 +92,55 @@ def links(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -
     return [root(i) for i in range(len(sets))]
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document (doc_id, n, cls), and rows (token, count) of shingles that a task saw more than once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+def _binary(values: list[bytes], times: list[int]) -> pa.Array:
+    """Each 16-byte value as often as told."""
+    data = np.repeat(np.frombuffer(b"".join(values), "V16"), times)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * len(data) + 1, 16, dtype=np.int32)), pa.py_buffer(data.tobytes())])
 
-    def scan(batches):
-        held, n_held, seen = [], 0, set()
 
-        def counted():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
-            none = pa.nulls(len(tokens))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), pa.nulls(len(none), pa.binary()), pa.array(tokens), pa.array(counts)], schema=schema)
+def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A row for each document (doc_id, n, cls, and ``sent``, its number of rows of the other kind),
+    and rows (token, cls) of the low shingles of each class, or its prefix by hash where that is longer."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sent", pa.int64()), ("cls", pa.binary()), ("token", pa.int64())])
+    bound = int(-(2**63) + 2**64 * min(1.0, LOW * (100 - percent) / 100)) if LOW * (100 - percent) < 100 else 2**63 - 1
 
+    def scan(batches):
+        seen: set[bytes] = set()
         for batch in common.text_slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             classes = [_class_of(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), none, none], schema=schema)
+            sent, tokens, owners = [], [], []
             for s, c in zip(sets, classes, strict=True):
-                if c and c not in seen:
+                n = len(s)
+                sent.append(max(n - -(-percent * n // 100) + 1, int(np.searchsorted(s, bound))) if n else 0)
+                if n and c not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
                     seen.add(c)
-                    held.append(s)
-                    n_held += len(s)
-            if n_held >= COUNTED:
-                yield counted()
-                held, n_held, seen = [], 0, set()
-        if held:
-            yield counted()
-
-    return common.staged(docs.mapInArrow(scan, "doc_id long, n long, cls binary, token long, count long"), "described")
-
-
-def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and their levels (logarithms of their counts): a list of bounded size."""
-    sums = described.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c")).filter(F.col("c") >= FREQUENT)
-    sums = common.staged(sums.select("token", F.floor(F.log2("c")).cast("int").alias("level")), "frequent")
-    levels, held, least = sums.groupBy("level").count().orderBy(F.desc("level")).collect(), 0, 0  # at most 63 rows
-    for row in levels:
-        held += row["count"]
-        if held > MOST_FREQUENT:
-            least = row["level"] + 1
-            break
-    found = sums.filter(F.col("level") >= least).toPandas().sort_values("token")
-    return found["token"].to_numpy(np.int64), found["level"].to_numpy(np.int64)
-
-
-def _prefix_links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs of classes whose prefixes share a shingle: stars about the least class of each list."""
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.binary())])
-    data = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def scan(batches):
-        known, levels = data.value
-        seen: set[bytes] = set()
-        for batch in common.text_slices(batches):
-            tokens, salts, classes = [], [], []
-            for s in shingle_sets(batch.column("text"), words):
-                if not len(s) or (c := _class_of(s)) in seen:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(c)
-                level = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    level[known[at] == s] = levels[at[known[at] == s]]
-                n = len(s) - -(-percent * len(s) // 100) + 1
-                chosen = np.lexsort((s, level))[:n]
-                tokens.append(s[chosen])
-                salts.append(np.where(level[chosen] > 0, 1 + c[0] % SALT, 0).astype(np.int32))
-                classes += [c] * n
+                    tokens.append(s[: sent[-1]])
+                    owners.append(c)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sent, pa.int64()), pa.array(classes, pa.binary()), none], schema=schema)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(salts)), pa.array(classes, pa.binary())], schema=schema)
+                flat = np.concatenate(tokens)
+                none = pa.nulls(len(flat), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, _binary(owners, [len(t) for t in tokens]), pa.array(flat)], schema=schema)
 
-    rows = docs.select("text").mapInArrow(scan, "token long, salt int, cls binary")
-    near = rows.withColumn("m", F.min("cls").over(Window.partitionBy("token", "salt")))
-    pairs = near.filter("cls <> m or salt > 0").select("token", "salt", "cls", "m")
-    pairs = common.staged(pairs, "prefix")
-    # lists of frequent shingles were dealt out: link the least classes of their parts
-    parts = pairs.filter("salt > 0").select("token", "m").distinct()
-    across = parts.withColumn("t", F.min("m").over(Window.partitionBy("token"))).select(F.col("m").alias("a"), F.col("t").alias("b"))
-    return pairs.select(F.col("cls").alias("a"), F.col("m").alias("b")).unionByName(across).filter("a <> b").distinct()
+    return common.staged(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described")
+
+
+def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes whose prefixes share a shingle: stars about the least class of each list."""
+    of_token = Window.partitionBy("token")
+    shared = tokens.select("token", "cls", F.min("cls").over(of_token).alias("p"), F.max("cls").over(of_token).alias("q"), F.count(F.lit(1)).over(of_token).alias("df")).filter("p <> q")
+    lists = common.staged(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared")
+    sizes = slim.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
+    # all shingles of one class alone come first in the order; what the prefix still needs are the rarest shared ones
+    prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    needed = lists.join(sizes, "cls").withColumn("need", (prefix - (F.col("sent") - F.size("shared"))).cast("int")).filter("need > 0")
+    rows = needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("cls", "x.token")
+    least = F.min("cls").over(of_token)
+    return rows.select(F.col("cls").alias("a"), least.alias("b")).filter("a <> b").distinct()
 
 
 def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -222,9 +186,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     one; a null doc_id is never the least unless all are null; an empty table gives no rows; other columns aren't read.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    described = _described(docs, words)
-    slim = described.filter("token is null").select("doc_id", "n", "cls")
-    pairs = _prefix_links(docs, words, percent, _frequent(described))
+    described = _described(docs, words, percent)
+    slim = described.filter("token is null").select("doc_id", "n", "sent", "cls")
+    pairs = _prefix_links(described.filter("token is not null").select("token", "cls"), slim, percent)
     clusters = connected(pairs)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -27,31 +27,43 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+#: Bits of a place in a text within a packed hash; longer texts are sorted by whole hashes.
+PLACE = 24
+
+
 def counted(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and the five counts, in steps so that no array is computed twice.
+    """``keep``, the five counts and n_lines (lines with a word), in steps so that no array is computed twice.
 
-    Repeated windows: words of three are hashed to 64 bits; only where two hashes of a text agree are they sorted, and
-    equal neighbours give the repeated windows, each compared by its words.
+    Repeated windows: windows of three words are hashed to 64 bits.  Only where two hashes of a text agree, hashes and
+    places are packed into integers and sorted; windows whose packed hash has an equal neighbour are compared by whole
+    hashes and words.  Texts never leave their row.
     """
-    text = F.coalesce(text, F.lit(""))
     carried = [f"__k{i}" for i in range(len(keep))]
-    names = [k._jc.toString() for k in keep]
-    step = docs.select(*[k.alias(c) for k, c in zip(keep, carried, strict=True)], text.alias("__t"))
-    step = step.select(*carried, "__t", F.filter(F.split("__t", f"[{common.WHITE}]+"), lambda w: w != "").alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, common.WHITE_CHARS, "")) > 0).alias("__lines"))
+    step = docs.select(*[k.alias(c) for k, c in zip(keep, carried, strict=True)], F.coalesce(text, F.lit("")).alias("__t"))
+    with_word = F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{common.WHITE}]"))
+    step = step.select(*carried, "__t", F.array_remove(F.split("__t", f"[{common.WHITE}]+"), "").alias("__w"), with_word.alias("__lines"))
     step = step.select(
         *carried, "__w",
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.translate("__t", common.WHITE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("__w") > 2, F.expr("transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2]))")).alias("__h"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.expr("slice(transform(__w, (x, i) -> xxhash64(x, get(__w, i + 1), get(__w, i + 2))), 1, greatest(size(__w) - 2, 0))").alias("__h"),
     )
-    counts = COUNTS[:4]
-    step = step.select(*carried, "__w", *counts, F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__s"))
-    same = "(__s[p].h = __s[p + {0}].h and __w[__s[p].i] = __w[__s[p + {0}].i] and __w[__s[p].i + 1] = __w[__s[p + {0}].i + 1] and __w[__s[p].i + 2] = __w[__s[p + {0}].i + 2])"
-    step = step.select(*carried, *counts, F.expr(f"transform(filter(sequence(0, size(__s) - 1), p -> (p > 0 and {same.format(-1)}) or (p < size(__s) - 1 and {same.format(1)})), p -> __s[p].i)").alias("__r"))
-    step = step.select(*carried, *counts, F.expr("coalesce(size(array_distinct(flatten(transform(__r, i -> array(i, i + 1, i + 2))))), 0)").cast("long").alias("n"))
-    return step.select(*[F.col(c) for c in carried], *counts, F.when(F.col("n") < 0, 0).otherwise(F.col("n")).alias("n_repeat_words")).toDF(*names, *COUNTS)
+    counts = [*COUNTS[:4], "n_lines"]
+    twice = F.size(F.array_distinct("__h")) < F.size("__h")
+    step = step.select(*carried, "__w", *counts, F.when(twice, F.col("__h")).alias("__h"))
+    mask = -(1 << PLACE)
+    step = step.select(*carried, "__w", *counts, "__h", F.when(F.size("__h") < 1 << PLACE, F.expr(f"sort_array(transform(__h, (h, i) -> (h & {mask}L) | i))")).alias("__p"))
+    near = f"filter(__p, (x, k) -> shiftright(x ^ get(__p, k + 1), {PLACE}) = 0 or shiftright(x ^ get(__p, k - 1), {PLACE}) = 0)"
+    places = f"transform({near}, x -> cast(x & {(1 << PLACE) - 1}L as int))"
+    step = step.select(*carried, "__w", *counts, "__h", F.expr(f"if(__p is null and __h is not null, sequence(0, size(__h) - 1), {places})").alias("__c"))
+    step = step.select(*carried, "__w", *counts, F.expr("array_sort(transform(__c, i -> struct(__h[i] as h, i as i)))").alias("__s"))
+    same = "(__s[k].h = __s[k + {0}].h and __w[__s[k].i] = __w[__s[k + {0}].i] and __w[__s[k].i + 1] = __w[__s[k + {0}].i + 1] and __w[__s[k].i + 2] = __w[__s[k + {0}].i + 2])"
+    step = step.select(*carried, *counts, F.expr(f"if(size(__s) > 0, transform(filter(sequence(0, size(__s) - 1), k -> (k > 0 and {same.format(-1)}) or (k < size(__s) - 1 and {same.format(1)})), k -> __s[k].i), null)").alias("__r"))
+    covered = "size(array_distinct(flatten(transform(__r, i -> array(i, i + 1, i + 2)))))"
+    return step.select(*carried, *counts, F.expr(f"if(__r is null, 0L, cast({covered} as long))").alias("n_repeat_words")).select(*carried, *COUNTS, "n_lines")
 
 
 def base_failed() -> Column:
@@ -92,10 +104,9 @@ def judged(scored: DataFrame, hosts: DataFrame, host: str = "host", failed: str
 
 
 def _scored(docs: DataFrame, keep: list[Column], host: Column, text: Column) -> DataFrame:
-    lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, common.WHITE_CHARS, "")) > 0))
-    named = counted(docs, text, [k.alias(f"__c{i}") for i, k in enumerate(keep)] + [F.coalesce(host, F.lit("")).alias("host"), lines.alias("__n_lines")])
-    named = named.toDF(*[f"__c{i}" for i in range(len(keep))], "host", "__n_lines", *COUNTS)
-    return named.withColumn("base_failed", base_failed()).withColumn("failed", rules_failed(F.col("__n_lines"))).drop("__n_lines")
+    carried = [f"__c{i}" for i in range(len(keep))]
+    named = counted(docs, text, [*keep, F.coalesce(host, F.lit(""))]).toDF(*carried, "host", *COUNTS, "n_lines")
+    return named.withColumn("base_failed", base_failed()).withColumn("failed", rules_failed(F.col("n_lines"))).drop("n_lines")
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
