@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -85,55 +86,74 @@ class WordEncoder:
 
     The vocabulary's own rules drop white space and never look past it, so the ids of a text are those of its words one
     after another; a word is what stands between spaces, tabs and line breaks, all else is left to the library.  Words are
-    remembered and ids gathered with numpy.
+    remembered and ids gathered with numpy.  New words go to the library many in a text: words of letters alone are one
+    token group each, whose last id ends a word, so their ids can be told apart; all others are encoded one by one.
     """
 
-    def __init__(self, data: str) -> None:
+    #: Stands for the end of a document; no word has a space.
+    END = " "
+
+    def __init__(self, data: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(data)
+        self.tokenizer, self.end = Tokenizer.from_str(data), end
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(1 + max(vocabulary.values()), bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.low, self.n, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, words: list[str]) -> None:
+        self._add([self.END], np.ones(1, np.int64), np.array([self.end], np.uint32))
+
+    def _add(self, words: list[str], n: np.ndarray, flat: np.ndarray) -> None:
+        k = len(self.place)
+        while k + len(words) > len(self.low):
+            self.low, self.n = np.concatenate([self.low, np.zeros_like(self.low)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.low[k : k + len(words)], self.n[k : k + len(words)] = self.used + np.cumsum(n) - n, n
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.place.update(zip(words, range(k, k + len(words)), strict=True))
+
+    def _alone(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum()))
-            k = len(self.place)
-            while k + len(part) > len(self.low):
-                self.low, self.n = np.concatenate([self.low, np.zeros_like(self.low)]), np.concatenate([self.n, np.zeros_like(self.n)])
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.low[k : k + len(part)], self.n[k : k + len(part)] = self.used + np.cumsum(n) - n, n
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.place.update(zip(part, range(k, k + len(part)), strict=True))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+            self._add(part, n, np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())))
+
+    def _learn(self, words: list[str]) -> None:
+        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        for i in range(0, len(letters), 500):
+            part = letters[i : i + 500]
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[flat])
+            if len(ends) == len(part) and ends[-1] == len(flat) - 1:
+                self._add(part, np.diff(ends, prepend=-1), flat)
+            else:
+                others += part
+        self._alone(others)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths with the end id, and all ids one after another."""
         if len(self.place) > MEMORY:
             self._clear()
-        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for row in words for w in row} - self.place.keys()
-        if new:
-            self._learn(sorted(new))
-        place = self.place
-        at = [np.fromiter([place[w] for w in row], np.int64, len(row)) for row in words]
-        per_word = [self.n[x] for x in at]
-        lengths = np.fromiter((int(x.sum()) + 1 for x in per_word), np.int64, len(texts))
-        out, low = np.empty(int(lengths.sum()), np.uint32), 0
-        for x, n in zip(at, per_word, strict=True):
-            total = int(n.sum())
-            shift = np.repeat(self.low[x] - (np.cumsum(n) - n), n)
-            out[low : low + total] = self.pool[shift + np.arange(total)]
-            out[low + total] = end
-            low += total + 1
-        return lengths, out
+        rows = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        for row in rows:
+            row.append(self.END)
+        flat = list(chain.from_iterable(rows))
+        at = list(map(self.place.get, flat))
+        if None in at:
+            self._learn(list({w for w, k in zip(flat, at, strict=True) if k is None}))
+            at = list(map(self.place.__getitem__, flat))
+        at = np.array(at, np.int64)
+        n = self.n[at]
+        starts = np.cumsum(n) - n
+        first = np.cumsum([0, *map(len, rows[:-1])])
+        return np.add.reduceat(n, first), self.pool[np.repeat(self.low[at] - starts, n) + np.arange(int(n.sum()))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -156,11 +176,11 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
         text = f.read()
     data, bits = spark.sparkContext.broadcast(text), bits_for(1 + max(max(json.loads(text)["model"]["vocab"].values()), end))
 
-    name = hashlib.sha256(text.encode()).hexdigest()
+    name = hashlib.sha256(f"{end} {text}".encode()).hexdigest()
 
     def scan(batches):
         if name not in _encoders:
-            _encoders[name] = WordEncoder(data.value)
+            _encoders[name] = WordEncoder(data.value, end)
         encoder, part, k, first = _encoders[name], TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids, held = [], [], [], 0
 
@@ -169,7 +189,7 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "image": pa.array([k], pa.int32()), "first_id": [first], "n_ids": [held], "keys": pa.array([keys], pa.list_(pa.int64())), "data": pa.array([image(n, np.concatenate(ids), bits)], pa.binary())})
 
         for batch in common.text_slices(batches):
-            n, flat = encoder.encode(batch.column("text").to_pylist(), end)
+            n, flat = encoder.encode(batch.column("text").to_pylist())
             keys += batch.column("doc_id").to_pylist()
             lengths.append(n)
             ids.append(flat)
