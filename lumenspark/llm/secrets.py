@@ -56,23 +56,27 @@ def _running(lengths: str) -> Column:
 
 
 def _matches(df: DataFrame, pattern: str, out: str, group: int = 0) -> DataFrame:
-    """Column ``out``: structs s, e, v (start, end in code points; the group's text) of all matches in ``__t``."""
+    """Column ``out``: structs s, e, v (start, end in code points; the group's text) of all matches in ``__t``.
+
+    Arrays are arguments of their functions, not read inside a lambda: a column that a lambda reads once would be put in
+    its place and computed for each element.
+    """
     literal = F.lit(pattern)
     carried = [c for c in df.columns]
     whole = F.regexp_extract_all("__t", literal, F.lit(0))
     step = df.select(*carried, F.when(F.col("__t").rlike(pattern), whole).alias("__m"))
     step = step.select(*carried, "__m", F.when(F.col("__m").isNotNull(), F.split("__t", pattern, -1)).alias("__p"), (F.when(F.col("__m").isNotNull(), F.regexp_extract_all("__t", literal, F.lit(group))) if group else F.col("__m")).alias("__v"))
-    step = step.select(*carried, "__m", "__v", F.expr("flatten(transform(__m, (m, i) -> array(length(__p[i]), length(m))))").alias("__n"))
+    step = step.select(*carried, "__m", "__v", F.expr("flatten(zip_with(slice(__p, 1, size(__m)), __m, (p, m) -> array(length(p), length(m))))").alias("__n"))
     step = step.select(*carried, "__m", "__v", F.when(F.col("__n").isNotNull(), _running("__n")).alias("__b"))
-    return step.select(*carried, F.coalesce(F.expr("transform(__m, (m, i) -> struct(__b[2 * i + 1] as s, __b[2 * i + 1] + length(m) as e, __v[i] as v))"), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")).alias(out))
+    return step.select(*carried, F.coalesce(F.expr("transform(arrays_zip(__m, __v), (x, i) -> struct(__b[2 * i + 1] as s, __b[2 * i + 1] + length(x.__m) as e, x.__v as v))"), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")).alias(out))
 
 
 def _windowed(value: str, bits: float) -> str:
     """Has a window of this string at least this entropy?  Counts are a map from characters; each step moves two of them."""
     table = "array(" + ",".join(f"{v}L" for v in _TABLE) + ")"
     count = "coalesce(acc.m[{0}], 0)"
-    gone, come = f"substring({value}, i - {WIDTH}, 1)", f"substring({value}, i, 1)"
-    drop = "map_concat(map_filter({m}, (k, c) -> k <> {x}), map({x}, {n}))"
+    gone, come = f"c[i - {WIDTH + 1}]", "c[i - 1]"
+    drop = "map_concat(map_filter({m}, (k, w) -> k <> {x}), map({x}, {n}))"
     removed = f"if(i > {WIDTH}, {drop.format(m='acc.m', x=gone, n=f'{count.format(gone)} - 1')}, acc.m)"
     lost = f"if(i > {WIDTH}, {table}[{count.format(gone)}] - {table}[{count.format(gone)} - 1], 0L)"
     step1 = f"transform(array(struct({removed} as m, acc.s - {lost} as s, acc.best as best)), a -> "
@@ -80,7 +84,7 @@ def _windowed(value: str, bits: float) -> str:
     total = f"a.s + {table}[{n} + 1] - {table}[{n}]"
     step2 = f"struct({drop.format(m='a.m', x=come, n=f'{n} + 1')} as m, {total} as s, if(i >= {WIDTH}, least(a.best, {total}), a.best) as best))[0]"
     start = f"struct(cast(map() as map<string, int>) as m, 0L as s, {1 << 60}L as best)"
-    return f"aggregate(sequence(1, length({value})), {start}, (acc, i) -> {step1}{step2}, acc -> acc.best <= {least_sum(bits)}L)"
+    return f"transform(array(split({value}, '')), c -> aggregate(sequence(1, size(c)), {start}, (acc, i) -> {step1}{step2}, acc -> acc.best <= {least_sum(bits)}L))[0]"
 
 
 def spans(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:

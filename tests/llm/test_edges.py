@@ -40,7 +40,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(d, t, "en", None if i % 5 == 0 else f"s{i % 3}", t and len(t), "u", "h", True) for i, (d, t) in enumerate(rows)], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(d, t, "en", None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), "u", "h", True) for i, (d, t) in enumerate(rows)], SCHEMA).repartition(3).cache()
 
 
 def got(df, *columns):
