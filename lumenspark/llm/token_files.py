@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,11 @@ from . import common
 MAGIC, BLOCK, IMAGE_TOKENS = b"TOKBITS1", 4096, 1 << 20
 _HEAD = struct.Struct("<8sIIQQ")
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
-MEMORY = 400_000
+MEMORY = 800_000
+#: Words between marks that the library gets in one text, and the characters beyond which a word goes by itself.
+TOGETHER, LONG = 100, 1000
+#: Bytes of text whose words are looked up at once.
+SLICE_BYTES = 4 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -87,7 +92,7 @@ class WordEncoder:
     The vocabulary's own rules drop white space and never look past it, so the ids of a text are those of its words one
     after another; a word is what stands between spaces, tabs and line breaks, all else is left to the library.  Words are
     remembered and ids gathered with numpy.  New words go to the library many in a text: words of letters alone are one
-    token group each, whose last id ends a word, so their ids can be told apart; all others are encoded one by one.
+    token group each, whose last id ends a word, so their ids can be told apart; others have a special token between them.
     """
 
     #: Stands for the end of a document; no word has a space.
@@ -100,6 +105,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(1 + max(vocabulary.values()), bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.mark_id, self.mark = max((i, str(t)) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self._clear()
 
     def _clear(self) -> None:
@@ -119,11 +125,19 @@ class WordEncoder:
         self.place.update(zip(words, range(k, k + len(words)), strict=True))
 
     def _alone(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        """Add words whose ids do not show where they end: a special token, which no other word gives, stands between them
+        and is cut out again; words that hold its text, and long ones, go to the library by themselves."""
+        by_itself = [w for w in words if len(w) > LONG or self.mark in w]
+        if by_itself:
+            words = [w for w in words if len(w) <= LONG and self.mark not in w]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(by_itself, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
-            self._add(part, n, np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())))
+            self._add(by_itself, n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            flat = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = flat == self.mark_id
+            self._add(part, np.diff(np.flatnonzero(marks), prepend=-1, append=len(flat)) - 1, flat[~marks])
 
     def _learn(self, words: list[str]) -> None:
         letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
@@ -137,23 +151,27 @@ class WordEncoder:
                 others += part
         self._alone(others)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths with the end id, and all ids one after another."""
         if len(self.place) > MEMORY:
             self._clear()
-        rows = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for row in rows:
-            row.append(self.END)
-        flat = list(chain.from_iterable(rows))
-        at = list(map(self.place.get, flat))
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        for space in "\t\n\r":
+            texts = pc.replace_substring(texts, space, " ")
+        rows = pc.split_pattern(texts, " ")
+        distinct = rows.flatten().dictionary_encode()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = list(map(self.place.get, words))
         if None in at:
-            self._learn(list({w for w, k in zip(flat, at, strict=True) if k is None}))
-            at = list(map(self.place.__getitem__, flat))
-        at = np.array(at, np.int64)
-        n = self.n[at]
+            self._learn([w for w, k in zip(words, at, strict=True) if k is None])
+            at = list(map(self.place.__getitem__, words))
+        held = np.fromiter(at, np.int64, len(at))[distinct.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(rows).to_numpy())
+        held = np.insert(held, ends, self.place[self.END])
+        n = self.n[held]
         starts = np.cumsum(n) - n
-        first = np.cumsum([0, *map(len, rows[:-1])])
-        return np.add.reduceat(n, first), self.pool[np.repeat(self.low[at] - starts, n) + np.arange(int(n.sum()))]
+        first = np.concatenate([[0], ends[:-1]]) + np.arange(len(ends))
+        return np.add.reduceat(n, first), self.pool[np.repeat(self.low[held] - starts, n) + np.arange(int(n.sum()))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -188,8 +206,8 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
             n = np.concatenate(lengths)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "image": pa.array([k], pa.int32()), "first_id": [first], "n_ids": [held], "keys": pa.array([keys], pa.list_(pa.int64())), "data": pa.array([image(n, np.concatenate(ids), bits)], pa.binary())})
 
-        for batch in common.text_slices(batches):
-            n, flat = encoder.encode(batch.column("text").to_pylist())
+        for batch in common.text_slices(batches, SLICE_BYTES):
+            n, flat = encoder.encode(batch.column("text"))
             keys += batch.column("doc_id").to_pylist()
             lengths.append(n)
             ids.append(flat)
