@@ -121,11 +121,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that are kept, with their columns.  Texts never shuffle while the bad hosts fit a broadcast."""
+    """The documents that are kept, with their columns.  Texts never shuffle while the bad hosts fit a broadcast.
+
+    Documents are stored once in the shared folder with host and failure, so counts are computed once: the host statistics
+    read two columns of that table, and the verdict filters its scan.
+    """
     columns = docs.columns
-    scored = _scored(docs, [docs[c] for c in columns], docs[host], docs[text])
+    carried = [f"__c{i}" for i in range(len(columns))]
+    scored = common.staged(_scored(docs, [docs[c] for c in columns], docs[host], docs[text]).select(*carried, "host", "failed"), "quality-documents")
     out = judged(scored, host_table(scored.select("host", "failed")))
-    # a filter on a plain column would be pushed below the projections: each count would be put in its place, down to the
-    # text, and computed anew for every element of the arrays; one that isn't deterministic stays where it is
-    stays = F.col("kept").cast("int") + F.floor(F.rand(1)) > 0
-    return out.filter(stays).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+    return out.filter("kept").select(*[F.col(c).alias(name) for c, name in zip(carried, columns, strict=True)])
