@@ -192,16 +192,29 @@ _taps = [
 q("resample_bilinear", ["raster"], *_taps, "SELECT p.image_id, p.y, p.x, " + ", ".join(f"coalesce({r6(f'g.{c}')}, 0.0e0) AS {c}" for c in RGB) + " FROM raster p LEFT JOIN gathered g ON p.image_id = g.image_id AND p.y = g.y AND p.x = g.x AND found = 4")
 q("resample_fill", ["raster"], *_taps, "SELECT p.image_id, p.y, p.x, " + ", ".join(f"coalesce({r6(f'g.{c}')}, cast(p.{c} AS double)) AS {c}" for c in RGB) + " FROM raster p LEFT JOIN gathered g ON p.image_id = g.image_id AND p.y = g.y AND p.x = g.x AND found = 4")
 q("corr_overlap", ["gray"], "SELECT p.image_id, round((count(*) * sum(cast(p.v AS double) * q.v) - sum(cast(p.v AS double)) * sum(cast(q.v AS double))) / sqrt((count(*) * sum(cast(p.v AS double) * p.v) - sum(cast(p.v AS double)) * sum(cast(p.v AS double))) * (count(*) * sum(cast(q.v AS double) * q.v) - sum(cast(q.v AS double)) * sum(cast(q.v AS double)))), 6) + 0.0e0 AS corr, count(*) AS n FROM gray p JOIN gray q ON p.image_id = q.image_id AND p.y = q.y + 1 AND p.x = q.x + 2 WHERE p.valid = 1 AND q.valid = 1 GROUP BY p.image_id")
-q("rect_intersect", ["raster"], "SELECT DISTINCT x AS a, y AS b, greatest(x, 20) AS l, greatest(y, 30) AS t, greatest(0, least(x + 15, 50) - greatest(x, 20)) AS w, greatest(0, least(y + 25, 70) - greatest(y, 30)) AS h FROM raster WHERE image_id = 0")
+q("rect_intersect", ["raster"], "SELECT DISTINCT x AS a, y AS b, greatest(x, 20) AS l, greatest(y, 30) AS t, greatest(0, least(x + 15, 50) - greatest(x, 20)) AS w, greatest(0, least(y + 25, 70) - greatest(y, 30)) AS h FROM raster")
 
 # Catalog -----------------------------------------------------------------------------------------------------------
-SERIES = [
-    ("keyed", "SELECT path, bias, width, height, sum(CASE WHEN abs(bias) < 1.0e-6 THEN 1 ELSE 0 END) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM catalog WHERE bias IS NOT NULL"),
-    ("groups", "SELECT k, width, height, count(*) AS members, count(DISTINCT bias) AS biases, min(path) AS first_path FROM keyed GROUP BY k, width, height HAVING count(*) >= 2 AND count(DISTINCT bias) >= 2"),
+_zeros = "sum(CASE WHEN abs(bias) < 1.0e-6 THEN 1 ELSE 0 END)"
+_upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+#: The running key as one window, for the oracle; for Spark as windows of the paths with one beginning, and sums carried over these.
+KEYED = ("keyed", f"SELECT path, bias, width, height, {_zeros} OVER (ORDER BY path {_upto}) AS k FROM catalog WHERE bias IS NOT NULL")
+KEYED_BUCKETS = [
+    ("bucketed", "SELECT *, substr(path, 1, 5) AS bucket FROM catalog WHERE bias IS NOT NULL"),
+    ("bucket_sums", f"SELECT bucket, {_zeros} AS s FROM bucketed GROUP BY bucket"),
+    ("carried", f"SELECT bucket, sum(s) OVER (ORDER BY bucket {_upto}) - s AS k0 FROM bucket_sums"),
+    ("keyed", f"SELECT path, bias, width, height, k0 + {_zeros} OVER (PARTITION BY b.bucket ORDER BY path {_upto}) AS k FROM bucketed b JOIN carried c ON b.bucket = c.bucket"),
 ]
-q("series_catalog", ["catalog"], *SERIES, "SELECT first_path, width, height, members, biases FROM groups")
-q("series_singles", ["catalog"], *SERIES, ("members", "SELECT path FROM keyed d JOIN groups g ON d.k = g.k AND d.width = g.width AND d.height = g.height"), "SELECT c.path FROM catalog c LEFT JOIN members m ON c.path = m.path WHERE m.path IS NULL")
-q("series_merge_named", ["catalog"], *SERIES, ("named", "SELECT lower(substr(path, 1, 7)) AS base, width, height, path FROM catalog WHERE bias IS NULL OR abs(bias) < 1.0e-6"), ("heads", "SELECT lower(substr(first_path, 1, 7)) AS base, width, height, first_path FROM groups"), ("pairs", "SELECT first_path, n.path, row_number() OVER (PARTITION BY first_path ORDER BY n.path) AS rk FROM heads h JOIN named n ON h.base = n.base AND h.width = n.width AND h.height = n.height AND n.path <> h.first_path"), "SELECT first_path, path FROM pairs WHERE rk = 1")
+GROUPS = ("groups", "SELECT k, width, height, count(*) AS members, count(DISTINCT bias) AS biases, min(path) AS first_path FROM keyed GROUP BY k, width, height HAVING count(*) >= 2 AND count(DISTINCT bias) >= 2")
+
+
+def series_query(name: str, *steps: tuple[str, str] | str) -> None:
+    Q[name] = ["catalog"], lambda spark: [*(KEYED_BUCKETS if spark else [KEYED]), GROUPS, *[s if isinstance(s, tuple) else ("result", s) for s in steps]]
+
+
+series_query("series_catalog", "SELECT first_path, width, height, members, biases FROM groups")
+series_query("series_singles", ("members", "SELECT path FROM keyed d JOIN groups g ON d.k = g.k AND d.width = g.width AND d.height = g.height"), "SELECT c.path FROM catalog c LEFT JOIN members m ON c.path = m.path WHERE m.path IS NULL")
+series_query("series_merge_named", ("named", "SELECT lower(substr(path, 1, 7)) AS base, width, height, path FROM catalog WHERE bias IS NULL OR abs(bias) < 1.0e-6"), ("heads", "SELECT lower(substr(first_path, 1, 7)) AS base, width, height, first_path FROM groups"), ("pairs", "SELECT first_path, n.path, row_number() OVER (PARTITION BY first_path ORDER BY n.path) AS rk FROM heads h JOIN named n ON h.base = n.base AND h.width = n.width AND h.height = n.height AND n.path <> h.first_path"), "SELECT first_path, path FROM pairs WHERE rk = 1")
 
 
 def render(name: str, spark: bool, sf_dir: str = "") -> str:

@@ -40,7 +40,7 @@ def fixtures(spark: bool, sf_dir: str) -> dict[str, tuple[list[str], str]]:
         "gray": (["raster"], "SELECT image_id, y, x, (54 * r + 183 * g + 19 * b) DIV 256 AS v, CASE WHEN (x + y) % 7 = 0 THEN 0 ELSE 1 END AS valid, 64 AS w, 100 AS h FROM raster"),
         "level": ([], series("z", 0, 255, spark)),
         "response": (["level"], "SELECT z, ln((z + 0.5e0) / 128.5e0) AS g, exp(-((z - 128) / 96.0e0) * ((z - 128) / 96.0e0)) AS w FROM level"),
-        "catalog": ([], f"SELECT concat(lpad(cast(event_id AS string), 8, '0'), '.jpg') AS path, {kind} AS bias, CASE WHEN user_id % 2 = 0 THEN 64 ELSE 32 END AS width, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 50 END AS height FROM {table('events', spark, sf_dir)} WHERE event_id < 3000"),
+        "catalog": ([], f"SELECT concat(lpad(cast(event_id AS string), 8, '0'), '.jpg') AS path, {kind} AS bias, CASE WHEN user_id % 2 = 0 THEN 64 ELSE 32 END AS width, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 50 END AS height FROM {table('events', spark, sf_dir)}"),
         "exif": ([], f"SELECT event_id AS frame_id, CASE WHEN event_type = 'error' THEN NULL ELSE 1.0e0 / (1 + user_id % 250) END AS exposure_time, CASE WHEN event_type = 'signup' THEN NULL ELSE 2.0e0 + (user_id % 9) END AS f_number, CASE WHEN event_type = 'click' THEN NULL ELSE 100.0e0 * (1 + event_id % 4) END AS iso, cast(event_id % 9 AS double) AS shutter_speed_value, cast(event_id % 7 AS double) AS aperture_value FROM {table('events', spark, sf_dir)}"),
     }
 

@@ -106,3 +106,25 @@ def test_stream(spark, tmp_path):
     image(spark, GRID).write.parquet(str(tmp_path / "in"))
     folder.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), st.AcesSettings(gamma=1.3)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(GRID)
+
+
+def test_series_cover_every_event(spark):
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    bias = {"view": 0.0, "click": -2.0, "purchase": 2.0}
+    k, found, of = 0, {}, {}
+    for i, kind, user in c.execute("SELECT event_id, event_type, user_id FROM events ORDER BY event_id").fetchall():
+        if kind in bias:
+            k += kind == "view"
+            of[f"{i:08}.jpg"] = key = (k, 32 if user % 2 else 64)
+            found.setdefault(key, []).append((f"{i:08}.jpg", bias[kind]))
+    groups = {key: m for key, m in found.items() if len({b for _, b in m}) >= 2}
+    expected = sorted((m[0][0], w, 50 if w == 32 else 100, len(m), len({b for _, b in m})) for (_, w), m in groups.items())
+    assert expected[-1][0] > "00003000.jpg"
+    assert sorted(tuple(r) for r in registry.queries()["series_catalog"](spark, sf).select("first_path", "width", "height", "members", "biases").collect()) == expected
+    paths = {f"{i:08}.jpg" for (i,) in c.execute("SELECT event_id FROM events").fetchall()}
+    assert sorted(r.path for r in registry.queries()["series_singles"](spark, sf).collect()) == sorted(p for p in paths if of.get(p) not in groups)
+    for name in ("series_catalog", "series_singles", "series_merge_named"):
+        ours = registry.queries()[name](spark, sf)
+        assert sorted(map(tuple, ours.collect())) == sorted(c.execute(registry.oracle_sql()[name]).df()[ours.columns].itertuples(index=False, name=None))
