@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected
@@ -178,13 +179,9 @@ def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     return common.staged(held.mapInArrow(scan, "cls binary, root binary, blocks int"), "searched")
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document.
-
-    Words are lower-cased (A-Z) runs without white space.  Null, empty and white texts have no shingles and are linked with
-    nothing: component_id is doc_id.  A text of fewer words has one shingle.  Equal rows and repeated doc_ids stay one to
-    one; a null doc_id is never the least unless all are null; an empty table gives no rows; other columns aren't read.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document (doc_id, n, cls), and cls, least (doc_id) and keeper (the least doc_id, nulls last, then
+    class, of the group) of each class that is linked with others or has copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     described = _described(docs, words, percent)
     slim = described.filter("token is null").select("doc_id", "n", "sent", "cls")
@@ -193,37 +190,69 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     clusters = clusters.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("cluster"), "blocks")
-    reps = common.staged(slim.join(clusters, "cls").groupBy("cls", "cluster", "blocks").agg(F.min("doc_id").alias("rep")), "clustered")
-    found = _searched(docs, reps, words, percent)
+    classes = common.staged(slim.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")).join(clusters, "cls", "left").filter("copies > 1 or cluster is not null"), "clustered")
+    found = _searched(docs, classes.filter("cluster is not null"), words, percent)
     whole = found.filter("blocks = 1").select("cls", "root")
     if found.filter("blocks > 1").limit(1).count():
         over = connected(found.filter("blocks > 1").select(F.col("cls").alias("a"), F.col("root").alias("b")))
         whole = whole.unionByName(over.select(F.col("node").alias("cls"), "root"))
-    rooted = slim.join(whole.filter("cls <> root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("group"))
-    least = rooted.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "group", "left")
+    rooted = classes.join(whole.filter("cls <> root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("group"))
+    keepers = rooted.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "cls")).alias("keeper"))
+    linked = rooted.join(keepers, "group").select("cls", F.col("keeper.doc_id").alias("least"), F.struct("keeper.doc_id", "keeper.cls").alias("keeper"))
+    return slim.select("doc_id", "n", "cls"), common.staged(linked, "linked")
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document.
+
+    Words are lower-cased (A-Z) runs without white space.  Null, empty and white texts have no shingles and are linked with
+    nothing: component_id is doc_id.  A text of fewer words has one shingle.  Equal rows and repeated doc_ids stay one to
+    one; a null doc_id is never the least unless all are null; an empty table gives no rows; other columns aren't read.
+    """
+    slim, linked = _grouped(docs, words, percent)
+    out = slim.join(_few(linked.select("cls", "least"), BROADCAST_CLASSES), "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _with_class(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` and ``__cls``, the class of the text (null without words)."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.BinaryType())])
+
+    def scan(batches):
+        for batch in common.text_slices(batches):
+            classes = [_class_of(s) if len(s) else None for s in shingle_sets(batch.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.binary())], names=[*batch.schema.names, "__cls"])
+
+    return docs.mapInArrow(scan, schema)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one of each component stays: that with the least doc_id.
+    """The documents of which one row of each component stays: that with the least doc_id, then class.
 
-    A doc_id names one document: of rows with equal doc_id one row with words stays, and none if one of them is linked with
-    a smaller doc_id.  Rows without words are linked with nothing and all stay.  Texts shuffle only where the doc_ids that
-    go, or occur twice, are too many to broadcast.
+    Rows are told apart by doc_id and class: of rows that share a doc_id (or have none) only those of one component are
+    duplicates.  Rows without words are linked with nothing and all stay.  Texts shuffle only where the rows that go, or
+    doc_ids that occur twice, are too many to broadcast; only texts of the latter are read for their classes.
     """
-    found = common.staged(components(docs, words, percent), "components")
+    slim, linked = _grouped(docs, words, percent)
     blank = F.length(F.translate(F.coalesce(docs["text"], F.lit("")), common.WHITE_CHARS, "")) == 0
-    full = found.filter("n_shingles > 0")
-    gone = full.filter("not component_id <=> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    twice = full.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
-
-    def few(ids):
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    kept = docs.filter(~blank).join(few(gone), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    full = slim.filter("n > 0")
+    rows = full.join(_few(linked.select("cls", "keeper"), BROADCAST_CLASSES), "cls", "left")
+    is_keeper = F.col("keeper").isNull() | (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.cls") == F.col("cls")))
+    gone = common.staged(rows.filter(~is_keeper).select(F.col("doc_id").alias("__id"), F.col("cls").alias("__gone")).distinct(), "gone")
+    # a null doc_id names no document, even where there is one of it
+    twice = full.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 or __id is null").select("__id")
+    twice = common.staged(twice, "twice")
+    kept = docs.filter(~blank).join(_few(gone.select("__id").distinct(), BROADCAST_IDS), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
     if twice.limit(1).count():
-        twice = few(twice)
-        same = kept["doc_id"].eqNullSafe(F.col("__id"))
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+        same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+        few = _few(twice, BROADCAST_IDS)
+        kept = kept.join(few, same, "left_anti")
+        shared = _with_class(docs.filter(~blank).join(few, same, "left_semi"), words)
+        lost = _few(gone.join(twice.withColumnRenamed("__id", "__twice"), F.col("__id").eqNullSafe(F.col("__twice")), "left_semi"), BROADCAST_CLASSES)
+        shared = shared.join(lost, (F.col("__cls") == F.col("__gone")) & shared["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+        kept = kept.unionByName(shared.dropDuplicates(["doc_id", "__cls"]).drop("__cls"))
     return kept.unionByName(docs.filter(blank))

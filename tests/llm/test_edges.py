@@ -204,3 +204,13 @@ def test_pipeline(spark):
     for r in out:
         if not brute.secrets(read[r.doc_id])[4]:
             assert r.ids == encoding.encode_ordinary(read[r.doc_id])
+
+
+def test_one_of_each_decides_by_row(spark):
+    a, b, c, d = prose(200, 21), prose(200, 22), prose(200, 23), prose(200, 24)
+    near = b.replace(b.split()[100], "changed", 1)
+    rows = [(None, a), (None, c), (None, c.replace(" ", "  ")), (None, b), (5, b), (7, near), (7, d), (8, "few words"), (8, "other words"), (None, ""), (9, prose(200, 25)), (9, prose(200, 25)), (2, None), (2, prose(200, 26))]
+    found = ngram_join.one_of_each(spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(4))
+    assert found.columns == ["doc_id", "text", "lang"]
+    key = lambda r: (repr(r[0]), " ".join((r[1] or "").split()))
+    assert sorted(map(key, found.collect())) == sorted(map(key, [r for r in rows if r not in [(None, b), (None, c.replace(" ", "  ")), (7, near)] and r != rows[10]] + [rows[10]]))
