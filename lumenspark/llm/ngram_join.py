@@ -6,17 +6,14 @@
    a passage common to many documents links nobody by itself.  Only low shingles are sent on and counted; those that occur
    in one class need no more than their number.  Prefixes that share a shingle link classes into clusters no link leaves.
 3. Whole sets of clustered classes are brought together by cluster, large clusters as pairs of blocks, and searched: each
-   set is a query; its short inverted lists are merged by a heap, the long ones probed by binary search, candidates that
-   reach the required overlap are linked.  Pairs already connected need no probe.
-4. Links stay stars within a task; where clusters had blocks, these are connected over tasks.
+   set is a query; its short inverted lists are merged by counting, the long ones probed by binary search (or merged, where
+   most sets are candidates), and every candidate that reaches the required overlap is linked.
+4. A task returns a star and the number of links of each class, a linked class counted with its copies; where clusters had
+   blocks, stars are connected and numbers added over tasks.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +29,8 @@ from .shingles import shingle_sets
 LOW = 2
 #: Sets in a block of a cluster; clustered classes that are broadcast (40 bytes each), and ids (8 bytes each).
 BLOCK, BROADCAST_CLASSES, BROADCAST_IDS = 4000, 300_000, 1_000_000
-#: Weight of a probe in the choice of the number of long lists.
-PROBE = 0.01
+#: Weight of a probe in the choice of the number of long lists; cost of a probe, in entries merged; entries merged at once.
+PROBE, PROBES, MERGED = 0.01, 30, 4_000_000
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -45,14 +42,48 @@ def _class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def links(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
-    """The root of each set (the place of a set it is connected with).  With ``side``, only sets of two sides are compared."""
-    tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+def _merged(lists: list[np.ndarray], n: int) -> np.ndarray:
+    """How often each of n places occurs in the lists, in parts of bounded size."""
+    seen, part, held = np.zeros(n, np.int64), [], 0
+    for entries in lists:
+        part.append(entries)
+        held += len(entries)
+        if held > MERGED:
+            seen += np.bincount(np.concatenate(part), minlength=n)
+            part, held = [], 0
+    if part:
+        seen += np.bincount(np.concatenate(part), minlength=n)
+    return seen
+
+
+def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None, copies: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """The root of each set (the place of a set it is connected with) and its number of links, where a linked set counts as
+    often as it has copies.  With ``side``, only sets of two sides are compared."""
+    total = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    sides = np.array(side if side else [0] * total, np.int64)
+    weight = np.array(copies if copies else [1] * total, np.int64)
+    order = np.lexsort((size, sides))
+    first = int((sides == 0).sum()) if side else 0
+    size, weight = size[order], weight[order]
+    tokens = np.concatenate([sets[i] for i in order]) if total else np.zeros(0, np.int64)
     _, place, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    shared = [(p := place[a:b])[counts[p] > 1].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    size = [len(s) for s in sets]
-    parent = list(range(len(sets)))
+    rank = np.repeat(np.arange(total), size)
+    # inverted lists, one after another by shingle, each by rank; shingles of one set alone are left out
+    kept = counts[place] > 1
+    place, rank = place[kept], rank[kept]
+    by = np.argsort(place, kind="stable")
+    entries, owner = rank[by], place[by]
+    start = np.searchsorted(owner, np.arange(len(counts)))
+    ends = np.searchsorted(rank, np.arange(total + 1))
+    if side:
+        key = owner * 2 + (entries >= first)
+        upto = np.searchsorted(key, np.arange(len(counts)) * 2 + 1)[place]
+    else:
+        upto = np.empty(len(place), np.int64)
+        upto[by] = np.arange(len(by))
+    begin = start[place]
+    parent, label, found = list(range(total)), np.arange(total), np.zeros(total, np.int64)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -60,37 +91,55 @@ def links(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -
             i = parent[i]
         return i
 
-    # sets with few shingles of their own come first: others then connect through them without further probes
-    order = sorted(range(len(sets)), key=lambda i: (size[i] - len(shared[i]), i))
-    lists: list[dict[int, list[int]]] = [{}, {}]
-    for rank, i in enumerate(order):
-        own = side[i] if side else 0
-        index = lists[1 - own if side else 0]
-        found = sorted((index[t] for t in shared[i] if t in index), key=len)
-        least = -(-percent * size[i] // 100)
-        if size[i] and len(found) >= least:
-            skipped = min(least - 1, int(least / (PROBE * np.log2(len(found[-1]) + 1) + 1)))
-            short, long = found[: len(found) - skipped], found[len(found) - skipped :]
-            for other, group in groupby(heapq.merge(*short)):
-                seen = sum(1 for _ in group)
-                j = order[other]
-                need = overlap_needed(size[i], size[j], percent)
-                if seen + len(long) < need or need > min(size[i], size[j]) or root(i) == root(j):
-                    continue
-                left = len(long)
-                for entries in long:
-                    if seen >= need or seen + left < need:
-                        break
-                    left -= 1
-                    at = bisect_left(entries, other)
-                    seen += at < len(entries) and entries[at] == other
-                if seen >= need:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        mine = lists[own]
-        for t in shared[i]:
-            mine.setdefault(t, []).append(rank)
-    return [root(i) for i in range(len(sets))]
+    for i in range(first, total):
+        low, high = begin[ends[i] : ends[i + 1]], upto[ends[i] : ends[i + 1]]
+        some = high > low
+        least = -(-percent * int(size[i]) // 100)
+        if not size[i] or some.sum() < least:
+            continue
+        low, high = low[some], high[some]
+        longest_last = np.argsort(high - low, kind="stable")
+        low, high = low[longest_last], high[longest_last]
+        skipped = min(least - 1, int(least / (PROBE * np.log2(high[-1] - low[-1] + 1) + 1)))
+        cut = len(low) - skipped
+        bound = first if side else i
+        runs = [entries[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+        seen = _merged(runs[:cut], bound)
+        other = np.flatnonzero(seen)
+        need = -(-percent * (size[i] + size[other]) // (100 + percent))
+        able = (need <= np.minimum(size[i], size[other])) & (seen[other] + skipped >= need)
+        other, need = other[able], need[able]
+        if skipped and len(other):
+            # probes where candidates are few for the length of the long lists, which are merged otherwise
+            if len(other) * skipped * PROBES < int((high[cut:] - low[cut:]).sum()):
+                hits = seen[other]
+                for left, run in enumerate(reversed(runs[cut:]), 1):
+                    hits += run[np.minimum(np.searchsorted(run, other), len(run) - 1)] == other
+                    able = hits + skipped - left >= need
+                    if not able.all():
+                        other, need, hits = other[able], need[able], hits[able]
+            else:
+                hits = (seen + _merged(runs[cut:], bound))[other]
+        else:
+            hits = seen[other]
+        other = other[hits >= need]
+        if len(other):
+            found[i] += weight[other].sum()
+            found[other] += weight[i]
+            roots = {root(x) for x in np.unique(label[other]).tolist()} | {root(i)}
+            to = min(roots)
+            for x in roots:
+                parent[x] = to
+            label[other] = label[i] = to
+    roots, out = [0] * total, [0] * total
+    for x, i in enumerate(order.tolist()):
+        roots[i], out[i] = int(order[root(x)]), int(found[x])
+    return roots, out
+
+
+def links(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
+    """The roots alone."""
+    return linked(sets, percent, side)[0]
 
 
 def _binary(values: list[bytes], times: list[int]) -> pa.Array:
@@ -145,43 +194,43 @@ def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame
 
 
 def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """``cls``, ``root`` and ``blocks`` from the search within clusters; ``reps``: id, cls, cluster, blocks."""
+    """``cls``, ``root``, ``links`` and ``blocks`` from the search within clusters; ``reps``: rep, cls, copies, cluster, blocks."""
     small = reps.count() <= BROADCAST_CLASSES
-    held = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("cluster", "cls", "blocks", "text")
+    held = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("cluster", "cls", "copies", "blocks", "text")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     held = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumn("task", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
     held = held.repartition("cluster", "task").sortWithinPartitions("cluster", "task")
-    schema = pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("blocks", pa.int32())])
+    schema = pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("links", pa.int64()), ("blocks", pa.int32())])
 
-    def solved(rows: dict[bytes, tuple]):
+    def solved(task: int, rows: dict[bytes, tuple]):
         classes = list(rows)
-        sides = [rows[c][1] for c in classes]
-        two = len(set(sides)) > 1
-        roots = links([rows[c][0] for c in classes], percent, [int(s == max(sides)) for s in sides] if two else None)
         n = rows[classes[0]][2]
-        return pa.RecordBatch.from_pydict({"cls": classes, "root": [classes[r] for r in roots], "blocks": [n] * len(classes)}, schema=schema)
+        # a task of two blocks compares sets of one with sets of the other, also where one of them is empty
+        side = None if task // n == task % n else [int(rows[c][1] == task % n) for c in classes]
+        roots, counts = linked([rows[c][0] for c in classes], percent, side, [rows[c][3] for c in classes])
+        return pa.RecordBatch.from_pydict({"cls": classes, "root": [classes[r] for r in roots], "links": counts, "blocks": [n] * len(classes)}, schema=schema)
 
     def scan(batches):
         now, rows = None, {}
         for batch in common.text_slices(batches):
             sets = shingle_sets(batch.column("text"), words)
-            for cluster, c, n, b, t, s in zip(*(batch.column(x).to_pylist() for x in ("cluster", "cls", "blocks", "block", "task")), sets, strict=True):
+            for cluster, c, m, n, b, t, s in zip(*(batch.column(x).to_pylist() for x in ("cluster", "cls", "copies", "blocks", "block", "task")), sets, strict=True):
                 if (cluster, t) != now:
                     if rows:
-                        yield solved(rows)
+                        yield solved(now[1], rows)
                     now, rows = (cluster, t), {}
                 if _class_of(s) == c:  # a doc_id may have several texts
-                    rows[c] = s, b, n
+                    rows[c] = s, b, n, m
         if rows:
-            yield solved(rows)
+            yield solved(now[1], rows)
 
-    return common.staged(held.mapInArrow(scan, "cls binary, root binary, blocks int"), "searched")
+    return common.staged(held.mapInArrow(scan, "cls binary, root binary, links long, blocks int"), "searched")
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each document (doc_id, n, cls), and cls, least (doc_id) and keeper (the least doc_id, nulls last, then
-    class, of the group) of each class that is linked with others or has copies."""
+    """A row for each document (doc_id, n, cls), and cls, least (doc_id), keeper (the least doc_id, nulls last, then class,
+    of the group) and links of each class that is linked with others or has copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     described = _described(docs, words, percent)
     slim = described.filter("token is null").select("doc_id", "n", "sent", "cls")
@@ -196,10 +245,12 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     if found.filter("blocks > 1").limit(1).count():
         over = connected(found.filter("blocks > 1").select(F.col("cls").alias("a"), F.col("root").alias("b")))
         whole = whole.unionByName(over.select(F.col("node").alias("cls"), "root"))
-    rooted = classes.join(whole.filter("cls <> root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("group"))
+    counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    rooted = classes.join(whole.filter("cls <> root"), "cls", "left").join(counted, "cls", "left")
+    rooted = rooted.select("cls", "rep", F.coalesce("root", "cls").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     keepers = rooted.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "cls")).alias("keeper"))
-    linked = rooted.join(keepers, "group").select("cls", F.col("keeper.doc_id").alias("least"), F.struct("keeper.doc_id", "keeper.cls").alias("keeper"))
-    return slim.select("doc_id", "n", "cls"), common.staged(linked, "linked")
+    joined = rooted.join(keepers, "group").select("cls", F.col("keeper.doc_id").alias("least"), F.struct("keeper.doc_id", "keeper.cls").alias("keeper"), "links")
+    return slim.select("doc_id", "n", "cls"), common.staged(joined, "joined")
 
 
 def _few(df: DataFrame, most: int) -> DataFrame:
@@ -207,15 +258,15 @@ def _few(df: DataFrame, most: int) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document.
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links (other documents linked with it).
 
     Words are lower-cased (A-Z) runs without white space.  Null, empty and white texts have no shingles and are linked with
-    nothing: component_id is doc_id.  A text of fewer words has one shingle.  Equal rows and repeated doc_ids stay one to
+    nothing: component_id is doc_id, n_links 0.  A text of fewer words has one shingle.  Equal rows and repeated doc_ids stay one to
     one; a null doc_id is never the least unless all are null; an empty table gives no rows; other columns aren't read.
     """
-    slim, linked = _grouped(docs, words, percent)
-    out = slim.join(_few(linked.select("cls", "least"), BROADCAST_CLASSES), "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    slim, joined = _grouped(docs, words, percent)
+    out = slim.join(_few(joined.select("cls", "least", "links"), BROADCAST_CLASSES), "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def _with_class(docs: DataFrame, words: int) -> DataFrame:
@@ -237,10 +288,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     duplicates.  Rows without words are linked with nothing and all stay.  Texts shuffle only where the rows that go, or
     doc_ids that occur twice, are too many to broadcast; only texts of the latter are read for their classes.
     """
-    slim, linked = _grouped(docs, words, percent)
+    slim, joined = _grouped(docs, words, percent)
     blank = F.length(F.translate(F.coalesce(docs["text"], F.lit("")), common.WHITE_CHARS, "")) == 0
     full = slim.filter("n > 0")
-    rows = full.join(_few(linked.select("cls", "keeper"), BROADCAST_CLASSES), "cls", "left")
+    rows = full.join(_few(joined.select("cls", "keeper"), BROADCAST_CLASSES), "cls", "left")
     is_keeper = F.col("keeper").isNull() | (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.cls") == F.col("cls")))
     gone = common.staged(rows.filter(~is_keeper).select(F.col("doc_id").alias("__id"), F.col("cls").alias("__gone")).distinct(), "gone")
     # a null doc_id names no document, even where there is one of it

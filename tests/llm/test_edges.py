@@ -214,3 +214,33 @@ def test_one_of_each_decides_by_row(spark):
     assert found.columns == ["doc_id", "text", "lang"]
     key = lambda r: (repr(r[0]), " ".join((r[1] or "").split()))
     assert sorted(map(key, found.collect())) == sorted(map(key, [r for r in rows if r not in [(None, b), (None, c.replace(" ", "  ")), (7, near)] and r != rows[10]] + [rows[10]]))
+
+
+def brute_links(rows, words, percent):
+    sets = [brute.shingles(t, words) for _, t in rows]
+    return [(d, sum(i != j and bool(s) and bool(t) and 100 * len(s & t) >= percent * len(s | t) for j, t in enumerate(sets))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("block", [4000, 5, 1])
+def test_number_of_links(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(4)
+    base = prose(150, 31).split()
+    group = [" ".join("changed" if r.random() < 0.012 else w for w in base) for _ in range(20)]
+    rows = list(enumerate([*group, group[0], group[0], group[3], None, "", "one", "one", prose(100, 32)]))
+    found = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85)
+    expected = brute_links(rows, 4, 85)
+    assert got(found, "doc_id", "n_links") == sorted(expected, key=repr) and max(n for _, n in expected) > 3
+    assert got(found, "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows, 4, 85), key=repr)
+
+
+@pytest.mark.parametrize("probes", [30, 0, 10**9])
+def test_every_link_is_counted(probes, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PROBES", probes)
+    r = random.Random(6)
+    base = [r.randrange(10**9) for _ in range(60)]
+    sets = [np.unique(np.array([x if r.random() < 0.97 else r.randrange(10**9) for x in base], np.int64)) for _ in range(50)] + [np.zeros(0, np.int64)]
+    for sides in (None, [i % 2 for i in range(len(sets))], [0] * len(sets), [1] * len(sets)):
+        copies = [1 + i % 3 for i in range(len(sets))]
+        expected = [sum(copies[j] for j in range(len(sets)) if j != i and len(sets[i]) and (not sides or sides[i] != sides[j]) and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)) for i in range(len(sets))]
+        assert ngram_join.linked(sets, 85, sides, copies)[1] == expected
