@@ -1,5 +1,7 @@
-"""Texts of short public licences, without copyright lines, by their SPDX ids.  Longer ones (Apache-2.0, the
-GNU family) are passed to the operator as further texts."""
+"""Texts of public licences by their SPDX ids: short ones here, without copyright lines, and the files of
+``license_data``, each also without what follows its terms (the appendix on how to apply it)."""
+
+from pathlib import Path
 
 TEXTS = {
     "MIT": """MIT License
@@ -32,3 +34,17 @@ Permission is granted to anyone to use this software for any purpose, including
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
 }
+
+ENDS = "END OF TERMS AND CONDITIONS"
+
+
+def all_texts() -> list[tuple[str, str]]:
+    """(id, text) of every known form; an id may have several."""
+    out = list(TEXTS.items())
+    for path in sorted((Path(__file__).parent / "license_data").glob("*.txt")):
+        body = path.read_text(encoding="utf-8")
+        out.append((path.stem, body))
+        terms, end, _ = body.partition(ENDS)
+        if end:
+            out += [(path.stem, terms), (path.stem, terms + end)]
+    return out

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns: every operator against brute force."""
 
 import random
+import textwrap
 import zlib
 
 import brute
@@ -244,3 +245,24 @@ def test_every_link_is_counted(probes, monkeypatch):
         copies = [1 + i % 3 for i in range(len(sets))]
         expected = [sum(copies[j] for j in range(len(sets)) if j != i and len(sets[i]) and (not sides or sides[i] != sides[j]) and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)) for i in range(len(sets))]
         assert ngram_join.linked(sets, 85, sides, copies)[1] == expected
+
+
+def test_license_query_finds_whole_texts(spark, tmp_path):
+    from pathlib import Path
+
+    def wrapped(text, width):
+        return "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width)) if "copyright" not in p.lower() else p for p in text.split("\n\n"))
+
+    files = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_data").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(files)
+    planted = [(t.upper().replace(",", " ;"), name) for name, t in files.items()] + [(wrapped(t, w), name) for name, t in files.items() for w in (50, 95)]
+    planted += [(files[n].partition("END OF TERMS")[0], n) for n in ("Apache-2.0", "GPL-3.0")] + [(t + "\nand one more condition", None) for t in files.values()]
+    mit, bsd = TEXTS["MIT"].split("\n", 1)[1], TEXTS["BSD-3-Clause"].split("\n", 1)[1]
+    heads = ("The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n", "MIT License\n\nCopyright Some One and contributors\n\n", "Copyright Some One\n", "# The Expat License\n\n", "")
+    planted += [(h + mit, "MIT") for h in heads] + [("Some other License\n" + mit, None), (mit.replace("without restriction", "with restriction"), None)]
+    marked = [bsd.replace("\n1. ", f"\n{a}").replace("\n2. ", f"\n{b}").replace("\n3. ", f"\n{c}") for a, b, c in (("* ",) * 3, ("  - ",) * 3, ("(1) ", "(2) ", "(3) "), ("a) ", "b) ", "c) "))]
+    planted += [("The 3-Clause BSD License\n\n" + b, "BSD-3-Clause") for b in [*marked, bsd, wrapped(bsd, 60)]]
+    rows = [(i, t) for i, (t, _) in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(got(queries.op6_licenses(spark, str(tmp_path)), "doc_id", "license"))
+    assert [(i, found[i], name) for i, (_, name) in enumerate(planted) if found[i] != name] == []
