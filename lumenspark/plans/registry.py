@@ -156,19 +156,24 @@ SAMPLE = [
     *MASK,
     ("static", f"SELECT p.image_id, p.y, p.x, cast(floor({px.luma('p.r', 'p.g', 'p.b')} / 255.0e0 * 63.0e0) AS int) AS bin, {_hash.replace('(x ', '(p.x ').replace('(y ', '(p.y ')} AS h FROM bracket p JOIN motion m ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x WHERE p.frame = 0 AND m.m > 0.6e0"),
     ("ranked", "SELECT *, row_number() OVER (PARTITION BY image_id, bin ORDER BY h, y, x) AS rk FROM static"),
-    ("sample", "SELECT image_id, y, x, bin FROM ranked WHERE rk <= 500 DIV 64 + CASE WHEN bin < 500 % 64 THEN 1 ELSE 0 END"),
+    # bins that hold less than their share leave places, which other static pixels fill in the order of the hash
+    ("quota", "SELECT *, CASE WHEN rk <= 500 DIV 64 + CASE WHEN bin < 500 % 64 THEN 1 ELSE 0 END THEN 0 ELSE 1 END AS later FROM ranked"),
+    ("filled", "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY later, h, y, x) AS place FROM quota"),
+    ("sample", "SELECT image_id, y, x, bin FROM filled WHERE place <= 500"),
 ]
 q("stratified_sample", ["bracket"], *SAMPLE, f"SELECT {KEYS}, bin FROM sample")
 q("grid_sample", ["raster"], f"SELECT {KEYS}, r, g, b FROM raster WHERE x % 5 = 0 AND y % 5 = 0")
 q("sample_lookup", ["bracket"], *SAMPLE, "SELECT b.image_id, frame, b.y, b.x, r, g, b.b AS b FROM bracket b JOIN sample s ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x")
-_w2 = "(" + px.hat_weight("r") + ") * (" + px.hat_weight("r") + ")"
+_w2 = "(" + px.hat_weight("z") + ") * (" + px.hat_weight("z") + ")"
 NORMAL = [
     *SAMPLE,
-    ("obs", f"SELECT b.image_id, b.y, b.x, frame, r AS z, {_w2} AS w FROM bracket b JOIN sample s ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x"),
-    ("tot", "SELECT image_id, y, x, sum(w) AS s FROM obs GROUP BY image_id, y, x"),
-    ("cells", "SELECT image_id, z, z AS zz, w AS v FROM obs UNION ALL SELECT p.image_id, p.z, q.z AS zz, -p.w * q.w / s AS v FROM obs p JOIN obs q ON p.image_id = q.image_id AND p.y = q.y AND p.x = q.x JOIN tot t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x"),
+    ("chosen", "SELECT b.image_id, b.y, b.x, frame, loge, r, g, b.b AS b FROM bracket b JOIN sample s ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x"),
+    ("stacked", " UNION ALL ".join(f"SELECT image_id, {i} AS channel, y, x, frame, loge, {c} AS z FROM chosen" for i, c in enumerate(RGB))),
+    ("obs", f"SELECT *, {_w2} AS w FROM stacked"),
+    ("tot", "SELECT image_id, channel, y, x, sum(w) AS s, sum(w * loge) AS sl FROM obs GROUP BY image_id, channel, y, x"),
+    ("cells", "SELECT image_id, channel, z, z AS zz, w AS v FROM obs UNION ALL SELECT p.image_id, p.channel, p.z, q.z AS zz, -p.w * q.w / s AS v FROM obs p JOIN obs q ON p.image_id = q.image_id AND p.channel = q.channel AND p.y = q.y AND p.x = q.x JOIN tot t ON p.image_id = t.image_id AND p.channel = t.channel AND p.y = t.y AND p.x = t.x"),
 ]
-q("response_normal_matrix", ["bracket"], *NORMAL, f"SELECT image_id, z, zz, {r6('sum(v)')} AS v FROM cells GROUP BY image_id, z, zz")
+q("response_normal_matrix", ["bracket"], *NORMAL, f"SELECT image_id, channel, z, zz, {r6('sum(v)')} AS v FROM cells GROUP BY image_id, channel, z, zz")
 q("response_smoothness", ["level"], ("rows", f"SELECT z, 500.0e0 * {px.hat_weight('(z + 1)')} AS k FROM level WHERE z <= 253"), ("taps", "SELECT z AS i, 0 AS o, 1.0e0 AS c FROM rows UNION ALL SELECT z AS i, 1 AS o, -2.0e0 AS c FROM rows UNION ALL SELECT z AS i, 2 AS o, 1.0e0 AS c FROM rows"), f"SELECT p.i + p.o AS z, q.i + q.o AS zz, {r6('sum(p.c * q.c * k * k)')} AS v FROM taps p JOIN taps q ON p.i = q.i JOIN rows ON z = p.i GROUP BY p.i + p.o, q.i + q.o")
 
 # Alignment ---------------------------------------------------------------------------------------------------------

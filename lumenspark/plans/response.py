@@ -36,20 +36,24 @@ def _solved(rows: pd.DataFrame) -> pd.DataFrame:
     normal[cells.z, cells.zz] = cells.v
     sides = rows[rows.zz < 0]
     right[sides.z] = sides.v
-    return pd.DataFrame({"image_id": rows.image_id.iloc[0], "z": np.arange(256), "g": np.round(solve(normal, right), 6) + 0.0})
+    return pd.DataFrame({"image_id": rows.image_id.iloc[0], "channel": rows.channel.iloc[0], "z": np.arange(256), "g": np.round(solve(normal, right), 6) + 0.0})
 
 
-def response_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The red channel's curve of every series: sums by level pairs (at most 256 x 257 rows of a group) and one solve."""
+def response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of every series and channel (0 red, 1 green, 2 blue): sums by level pairs (at most 256 x 257 rows of a group) and one solve."""
     from .registry import NORMAL
 
     right = [
-        ("means", "SELECT o.image_id, o.y, o.x, sum(o.w * b.loge) AS sl FROM obs o JOIN bracket b ON o.image_id = b.image_id AND o.y = b.y AND o.x = b.x AND o.frame = b.frame GROUP BY o.image_id, o.y, o.x"),
-        ("sides", "SELECT o.image_id, o.z, -1 AS zz, o.w * b.loge - o.w * sl / s AS v FROM obs o JOIN bracket b ON o.image_id = b.image_id AND o.y = b.y AND o.x = b.x AND o.frame = b.frame JOIN means m ON o.image_id = m.image_id AND o.y = m.y AND o.x = m.x JOIN tot t ON o.image_id = t.image_id AND o.y = t.y AND o.x = t.x"),
-        ("result", "SELECT image_id, z, zz, sum(v) AS v FROM (SELECT * FROM cells UNION ALL SELECT * FROM sides) u GROUP BY image_id, z, zz"),
+        ("sides", "SELECT o.image_id, o.channel, o.z, -1 AS zz, o.w * o.loge - o.w * sl / s AS v FROM obs o JOIN tot t ON o.image_id = t.image_id AND o.channel = t.channel AND o.y = t.y AND o.x = t.x"),
+        ("result", "SELECT image_id, channel, z, zz, sum(v) AS v FROM (SELECT * FROM cells UNION ALL SELECT * FROM sides) u GROUP BY image_id, channel, z, zz"),
     ]
     sums = spark.sql(spark_text(chain([*closure(["bracket"], fixtures(True, sf_dir)), *NORMAL, *right])))
-    return sums.groupBy("image_id").applyInPandas(_solved, "image_id long, z int, g double")
+    return sums.groupBy("image_id", "channel").applyInPandas(_solved, "image_id long, channel int, z int, g double")
+
+
+def response_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The red channel's curve of every series."""
+    return response_curves(spark, sf_dir).filter("channel = 0").drop("channel")
 
 
 def lstsq_small(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +72,4 @@ def lstsq_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text).mapInPandas(fit, "image_id long, a double, b double, c double")
 
 
-QUERIES = {"response_curve": response_curve, "lstsq_small": lstsq_small}
+QUERIES = {"response_curve": response_curves, "lstsq_small": lstsq_small}

@@ -128,3 +128,11 @@ def test_series_cover_every_event(spark):
     for name in ("series_catalog", "series_singles", "series_merge_named"):
         ours = registry.queries()[name](spark, sf)
         assert sorted(map(tuple, ours.collect())) == sorted(c.execute(registry.oracle_sql()[name]).df()[ours.columns].itertuples(index=False, name=None))
+
+
+def test_response_samples_are_filled_up_and_cover_channels(spark):
+    static = {r.image_id: r.n for r in spark.sql(spark_text(registry.chain([*registry.closure(["bracket"], registry.fixtures(True, SF)), *registry.MASK, ("result", "SELECT image_id, sum(CASE WHEN m > 0.6e0 THEN 1 ELSE 0 END) AS n FROM motion GROUP BY image_id")]))).collect()}
+    sizes = {r.image_id: r["count"] for r in registry.queries()["stratified_sample"](spark, SF).groupBy("image_id").count().collect()}
+    assert sizes == {i: min(500, n) for i, n in static.items() if n}
+    curves = {tuple(r) for r in registry.queries()["response_curve"](spark, SF).groupBy("image_id", "channel").count().collect()}
+    assert curves == {(i, c, 256) for i in sizes for c in range(3)}
