@@ -7,12 +7,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _RANDOM = np.random.default_rng(20240501)
-_BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
 _PLACE = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _BASE = int(_RANDOM.integers(0, 1 << 62)) * 8 + 5
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_SEED = _RANDOM.integers(0, 1 << 64, 1, np.uint64)[0] | np.uint64(1)
+#: Words up to this many bytes are hashed eight bytes at a time, longer ones by xxh3.
+SHORT = 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -41,12 +46,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    """The distinct shingles (64-bit hashes as int64, ascending) of each text; with fewer words, the whole sequence as one."""
-    raw, at = text_bytes(column)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places of bytes in lower case.  Each eight bytes are mixed in before the next, so no sum of
+    powers can cancel out: words of up to eight bytes differ always, others but for chance."""
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    out = size.astype(np.uint64) * _SEED
+    left = np.flatnonzero(size <= SHORT)
+    for k in range(0, SHORT, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        out[left] = mixed(out[left] ^ (eight[starts[left] + k] & _FIRST[np.minimum(size[left] - k, 8)]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts (bytes, places as by ``text_bytes``), and the number of words before each text and in all."""
     n = len(raw)
     if not n:
-        return [np.zeros(0, np.int64)] * len(column)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     solid = ~_WHITE[raw]
     cut = np.zeros(n + 1, bool)
     cut[at] = True
@@ -55,29 +77,25 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     end = solid.copy()
     end[:-1] &= ~solid[1:] | cut[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    if not len(starts):
-        return [np.zeros(0, np.int64)] * len(column)
-    size = max(1 << 21, 1 << (n - 1).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
-    word = mixed((sums[ends] - sums[starts]) * down[starts])
-    owner = np.searchsorted(at, starts, "right") - 1
-    counts = np.bincount(owner, minlength=len(column))[: len(column)]
-    m = len(word) - words + 1
+    return word_hashes(_LOWER[raw], starts, ends), np.searchsorted(starts, at)
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The distinct shingles (64-bit hashes as int64, ascending) of each text; with fewer words, the whole sequence as one."""
+    word, first = words(*text_bytes(column))
+    m = len(word) - size + 1
     if m > 0:
         grams = np.zeros(m, np.uint64)
-        for k in range(words):
+        for k in range(size):
             grams += word[k : k + m] * _PLACE[k]
         grams = mixed(grams).view(np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)])
     out = []
-    for i, c in enumerate(counts.tolist()):
-        low = first[i]
-        if c >= words:
-            out.append(np.unique(grams[low : low + c - words + 1]))
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        c = high - low
+        if c >= size:
+            out.append(np.unique(grams[low : high - size + 1]))
         elif c:
-            out.append(mixed((word[low : low + c] * _PLACE[:c]).sum(keepdims=True) + np.uint64(c)).view(np.int64))
+            out.append(mixed((word[low:high] * _PLACE[:c]).sum(keepdims=True) + np.uint64(c)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
     return out
