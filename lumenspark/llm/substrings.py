@@ -1,14 +1,15 @@
-"""Removal of repeated substrings of a fixed length over a whole corpus.
+"""Removal of repeated substrings of a fixed length over a whole corpus, and the words of passages that documents share.
 
 Every window of ``length`` bytes picks an anchor: its gram with the least hash (the rightmost of equals).  Equal windows pick
-the same anchor at the same distance, so windows need to be compared only among occurrences of one anchor gram.
+the same anchor at the same distance, so windows need to be compared only among occurrences of one anchor gram.  Passages of
+``passage`` words are found alike: their characters are words, known by hashes.
 
 1. Texts are known by digests; of equal texts one stands for all (a text of at least ``length`` bytes that occurs twice goes
-   wholly).  Anchors with their range of windows are listed, about one for each 170 bytes.
-2. Anchors whose gram occurs once are dropped.  The others get the bytes of their windows.
+   wholly).  The anchor grams of each text are listed, about one for each 170 bytes and one for each 20 words.
+2. Grams that occur once are dropped.  The windows about the others are taken from the texts.
 3. The occurrences of a gram are sorted deep-shallow by what follows and what precedes, which gives the repeated windows.
-   Grams with more occurrences than a task should hold are split by longer prefixes to the end: their windows are digested
-   and counted one by one, with partial counts before the shuffle.
+   A gram with more occurrences than a block holds is sorted in blocks; of what a block has once or more it sends each window
+   once, by digest, to be met with those of other blocks.  So a passage that very many texts share meets in no one task.
 4. Windows are united to spans in each text.
 """
 
@@ -22,28 +23,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import _powers, mixed, text_bytes
+from .shingles import _powers, mixed, text_bytes, words
 from .suffixes import repeats
 
-#: Bytes of an anchor gram; windows handled at once in a text; occurrences of a gram that one task holds.
-GRAM, WINDOWS, HELD = 64, 1 << 19, 50_000
-#: Texts with repeated anchors up to this number have their anchors broadcast to the scan of the documents.
-BROADCAST_ANCHORS = 400_000
+#: Bytes of an anchor gram; windows handled at once in a text; occurrences of a gram that one block holds.
+GRAM, WINDOWS, BLOCK = 64, 1 << 19, 10_000
+#: Words of an anchor gram of passages; bytes of a word's hash in the sorter.
+WORD_GRAM, UNIT = 10, 4
+#: Texts with repeated anchors up to this number of anchors have these broadcast to the scan of the documents (16 bytes each);
+#: the same bound holds for grams of several blocks.
+BROADCAST_ANCHORS = 800_000
 
 _BYTE = np.random.default_rng(20240502).integers(0, 1 << 64, 256, np.uint64)
 _LOW = np.uint64((1 << 20) - 1)
+_ODD = np.uint64(1)
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    n = len(raw)
+def _rolled(values: np.ndarray, gram: int) -> np.ndarray:
+    n = len(values)
     if n < gram:
         return np.zeros(0, np.uint64)
     up, down = _powers(max(1 << 21, 1 << (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    np.cumsum(values * up[:n], out=sums[1:])
     return mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
 
 
+def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hashes of all grams of bytes; even, so that they never equal those of words."""
+    return _rolled(_BYTE[raw], gram) & ~_ODD
+
+
+def word_grams(word: np.ndarray, gram: int = WORD_GRAM) -> np.ndarray:
+    return _rolled(word, gram) | _ODD
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minima of all windows, from minima running through blocks in both directions."""
     n = len(keys)
@@ -70,162 +84,216 @@ def anchors(hashes: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarr
     return place[first], first, np.concatenate([first[1:], [windows]]) - 1
 
 
-def _listed(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each document (doc_id, n, sha), and rows (g, cls, a, low, high) for the anchors of texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("g", pa.int64()), ("cls", pa.binary()), ("a", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+def _listed(docs: DataFrame, length: int, passage: int) -> DataFrame:
+    """A row for each document (doc_id, n, w, sha, k), and rows (g, k, times) for the anchor grams of texts; k: a key of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("w", pa.int64()), ("sha", pa.binary()), ("k", pa.int64()), ("g", pa.int64()), ("times", pa.int64())])
 
     def scan(batches):
         seen: set[bytes] = set()
         for batch in common.text_slices(batches):
             raw, at = text_bytes(batch.column("text"))
-            hashes = gram_hashes(raw)
-            shas, found = [], []
-            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                shas.append(hashlib.sha256(raw[low:high]).digest())
-                cls = shas[-1][:16]
-                if high - low < length or cls in seen:
+            word, before = words(raw, at)
+            hashes, grams = gram_hashes(raw), word_grams(word)
+            shas, keys, found = [], [], []
+            for low, high, first, last in zip(at[:-1].tolist(), at[1:].tolist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
+                sha = hashlib.sha256(raw[low:high]).digest()
+                shas.append(sha)
+                keys.append(int.from_bytes(sha[:8], "little", signed=True))
+                if sha in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
-                seen.add(cls)
-                own = hashes[low : high - GRAM + 1]
-                place, first, last = anchors(own, length)
-                found.append((own[place].view(np.int64), cls, place, first, last))
+                seen.add(sha)
+                for own, size, gram in ((hashes[low : max(low, high - GRAM + 1)], length, GRAM), (grams[first : max(first, last - WORD_GRAM + 1)], passage, WORD_GRAM)):
+                    place = anchors(own, size, gram)[0]
+                    if len(place):
+                        found.append((keys[-1], *np.unique(own[place].view(np.int64), return_counts=True)))
             none = pa.nulls(len(shas), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(shas, pa.binary()), none, pa.nulls(len(none), pa.binary()), none, none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(before)), pa.array(shas, pa.binary()), pa.array(keys, pa.int64()), none, none], schema=schema)
             if found:
-                m = sum(len(f[0]) for f in found)
-                none = pa.nulls(m, pa.int64())
-                classes = [f[1] for f in found for _ in range(len(f[0]))]
-                columns = [pa.array(np.concatenate([f[k] for f in found])) for k in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), columns[0], pa.array(classes, pa.binary()), *columns[1:]], schema=schema)
-
-    return common.staged(docs.mapInArrow(scan, "doc_id long, n long, sha binary, g long, cls binary, a long, low long, high long"), "anchors")
-
-
-def _regions(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """cls, text and anchors of texts with repeated grams; one row for each distinct text."""
+                sizes = [len(f[1]) for f in found]
+                none = pa.nulls(sum(sizes), pa.int64())
+                marks = [np.repeat([f[0] for f in found], sizes), *(np.concatenate([f[c] for f in found]) for c in (1, 2))]
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), *map(pa.array, marks)], schema=schema)
+
+    return common.staged(docs.mapInArrow(scan, "doc_id long, n long, w long, sha binary, k long, g long, times long"), "anchors")
+
+
+def _wanted(listed: DataFrame, slim: DataFrame) -> tuple[DataFrame, bool]:
+    """rep, sha and anchors (g and its number of blocks) of each text with repeated grams; and are there grams of several blocks?"""
+    marks = listed.filter("sha is null").select("g", "k", "times")
+    ends = marks.groupBy("g").agg(F.min("k").alias("p"), F.max("k").alias("q"), F.max("times").alias("most"), F.sum("times").alias("c"))
+    # what one text alone repeats counts for bytes only
+    twice = common.staged(ends.filter("p <> q or (most > 1 and g % 2 = 0)").select("g", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "grams")
+    hot = twice.filter("blocks > 1")
+    few = hot.count()
+    joined = marks.join(twice, "g")
+    if 0 < few <= BROADCAST_ANCHORS:
+        hot = F.broadcast(hot)
+        joined = marks.join(hot, "g", "left_anti").join(twice.filter("blocks = 1"), "g").unionByName(marks.join(hot, "g"))
+    lists = joined.groupBy("k").agg(F.collect_list(F.struct("g", "blocks")).alias("anchors"))
+    groups = slim.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("k").alias("k"))
+    return common.staged(groups.join(lists, "k").select("rep", "sha", "anchors"), "wanted"), few > 0
+
+
+def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sha, text and anchors of texts with repeated grams; one row for each distinct text."""
     small = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
     held = F.broadcast(wanted) if small <= BROADCAST_ANCHORS else wanted
-    found = docs.join(held, docs["doc_id"].eqNullSafe(held["rep"])).filter(F.unhex(F.substring(F.sha2(F.encode("text", "UTF-8"), 256), 1, 32)) == F.col("cls"))
-    return common.staged(found.dropDuplicates(["cls"]) if small > BROADCAST_ANCHORS else found.select("cls", "text", "anchors"), "texts").select("cls", "text", "anchors")
+    found = docs.join(held, docs["doc_id"].eqNullSafe(held["rep"])).filter(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)) == F.col("sha"))
+    return common.staged(found.select("sha", "text", "anchors").dropDuplicates(["sha"]) if small > BROADCAST_ANCHORS else found.select("sha", "text", "anchors"), "texts")
 
 
-def _bytes_of(texts: DataFrame, length: int, many: bool) -> DataFrame:
-    """g, cls, a, low and the bytes of its windows, for each repeated anchor (of grams with many or fewer occurrences)."""
-    schema = pa.schema([("g", pa.int64()), ("cls", pa.binary()), ("a", pa.int64()), ("low", pa.int64()), ("region", pa.binary())])
+def _bytes_of(texts: DataFrame, length: int, passage: int) -> DataFrame:
+    """g, block, blocks, sha, a, low and the bytes (or hashes of words) of its windows, for each occurrence of a repeated anchor."""
+    schema = pa.schema([("g", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("sha", pa.binary()), ("a", pa.int64()), ("low", pa.int64()), ("region", pa.binary())])
 
     def scan(batches):
         for batch in common.text_slices(batches):
+            raw, at = text_bytes(batch.column("text"))
+            word, before = words(raw, at)
+            hashes, grams = gram_hashes(raw), word_grams(word)
+            short = (word >> np.uint64(32)).astype("<u4").tobytes()
+            data = raw.tobytes()
             out = []
-            for cls, text, found in zip(*(batch.column(c).to_pylist() for c in ("cls", "text", "anchors")), strict=True):
-                raw, before = text.encode(), set()
-                for x in found:
-                    if x["many"] == many and x["a"] not in before:
-                        before.add(x["a"])
-                        out.append((x["g"], cls, x["a"], x["low"], raw[x["low"] : x["high"] + length]))
+            for i, (sha, found) in enumerate(zip(batch.column("sha").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
+                blocks = {x["g"]: x["blocks"] for x in found}
+                for own, start, size, gram, source, unit in (
+                    (hashes[at[i] : max(at[i], at[i + 1] - GRAM + 1)], at[i], length, GRAM, data, 1),
+                    (grams[before[i] : max(before[i], before[i + 1] - WORD_GRAM + 1)], before[i], passage, WORD_GRAM, short, UNIT),
+                ):
+                    place, first, last = anchors(own, size, gram)
+                    for g, a, low, high in zip(own[place].view(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
+                        n = blocks.get(g)
+                        if n:
+                            block = (int.from_bytes(sha[8:12], "little") + a) % n
+                            out.append((g, block, n, sha, a, low, source[(start + low) * unit : (start + high + size) * unit]))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 2000], strict=True), schema.types, strict=True)], schema=schema)
 
-    return texts.mapInArrow(scan, "g long, cls binary, a long, low long, region binary")
+    return texts.mapInArrow(scan, "g long, block int, blocks int, sha binary, a long, low long, region binary")
 
 
-_STARTS = pa.schema([("cls", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
+_STARTS = pa.schema([("words", pa.bool_()), ("sha", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
 
 
-def _sorted_repeats(regions: DataFrame, length: int) -> DataFrame:
-    """First and last starts of repeated windows in each text, from sorting the occurrences of each gram."""
+def _sorted_repeats(regions: DataFrame, length: int, passage: int, split: bool) -> DataFrame:
+    """words (or bytes), sha, first and last starts of repeated windows, from sorting the occurrences of each gram."""
 
     def solved(rows):
+        of_words = rows[0][0] % 2 == 1
+        unit, size = (UNIT, passage) if of_words else (1, length)
+        entries = [(r[6], (r[4] - r[5]) * unit) for r in rows]
         out = []
-        for (_, cls, a, low, _), spans in zip(rows, repeats([(r[4], r[2] - r[3]) for r in rows], length), strict=True):
-            out += [(cls, a - high, a - least) for least, high in set(spans)]
+        for row, spans in zip(rows, repeats(entries, size * unit, [r[3] for r in rows] if of_words else None, unit), strict=True):
+            out += [(of_words, row[3], row[4] - high // unit, row[4] - least // unit, None) for least, high in spans]
         return out
 
+    def sent(rows):
+        """Windows for other blocks: with text and start where this block has them once (words: in one text), else alone."""
+        of_words = rows[0][0] % 2 == 1
+        unit, size = (UNIT, passage) if of_words else (1, length)
+        held: dict[bytes, list] = {}
+        for _, _, _, sha, _, low, region in rows:
+            for k in range(len(region) // unit - size + 1):
+                window = hashlib.blake2b(region[k * unit : (k + size) * unit], digest_size=16, person=b"words" if of_words else b"bytes").digest()
+                places = held.setdefault(window, [])
+                if places is not None:
+                    if places and (not of_words or places[0][0] != sha):
+                        held[window] = None
+                    else:
+                        places.append((sha, low + k))
+        for window, places in held.items():
+            for sha, start in places if places is not None else [(None, None)]:
+                yield of_words, sha, start, start, window
+
     def scan(batches):
         now, rows, out = None, [], []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "cls", "a", "low", "region")), strict=True):
-                if row[0] != now:
-                    if len(rows) > 1:
-                        out += solved(rows)
-                    now, rows = row[0], []
-                rows.append(row)
-            while len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[:10_000], strict=True), _STARTS.types, strict=True)], schema=_STARTS)
-                out = out[10_000:]
-        if len(rows) > 1:
-            out += solved(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STARTS.types, strict=True)], schema=_STARTS)
-
-    return regions.repartition("g").sortWithinPartitions("g").mapInArrow(scan, "cls binary, first long, last long")
 
+        def batch_of(part):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _STARTS.types, strict=True)], schema=_STARTS)
 
-def _counted_repeats(regions: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many occurrences: each window is digested, digests are counted."""
-    schema = pa.schema([("window", pa.binary()), ("cls", pa.binary()), ("first", pa.int64())])
+        def ended():
+            if len(rows) > 1:
+                out.extend(solved(rows))
+            if rows and rows[0][2] > 1:
+                out.extend(sent(rows))
 
-    def scan(batches):
         for batch in batches:
-            for cls, low, region in zip(*(batch.column(c).to_pylist() for c in ("cls", "low", "region")), strict=True):
-                n = len(region) - length + 1
-                windows = [hashlib.blake2b(region[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array([cls] * n, pa.binary()), pa.array(range(low, low + n), pa.int64())], schema=schema)
-
-    rows = common.staged(regions.mapInArrow(scan, "window binary, cls binary, first long"), "windows")
-    twice = rows.groupBy("window").count().filter("count > 1").select("window")
-    return rows.join(twice, "window").select("cls", "first", F.col("first").alias("last"))
-
-
-def _removed(texts: DataFrame, starts: DataFrame, length: int) -> DataFrame:
-    """n_removed, n_spans and kept_sha256 of each text with repeated windows."""
-    spans = starts.distinct().groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    schema = pa.schema([("cls", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "blocks", "sha", "a", "low", "region")), strict=True):
+                if row[:2] != now:
+                    ended()
+                    now, rows = row[:2], []
+                    while len(out) > 10_000:
+                        yield batch_of(out[:10_000])
+                        del out[:10_000]
+                rows.append(row)
+        ended()
+        for i in range(0, len(out), 10_000):
+            yield batch_of(out[i : i + 10_000])
+
+    found = regions.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(scan, "words boolean, sha binary, first long, last long, window binary")
+    if not split:
+        return found.drop("window")
+    found = common.staged(found, "starts")
+    sent_ = found.filter("window is not null")
+    met = sent_.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.count("sha").alias("known"), F.min("sha").alias("p"), F.max("sha").alias("q"), F.first("words").alias("of_words"))
+    met = met.filter("known > 0 and if(of_words, known < n or p <> q, n > 1)").select("window")
+    return found.filter("window is null").drop("window").unionByName(sent_.filter("sha is not null").join(met, "window").drop("window"))
+
+
+def _removed(texts: DataFrame, starts: DataFrame, length: int, passage: int) -> DataFrame:
+    """n_removed, n_spans, kept_sha256, spans and n_passage_words of each text with repeated windows."""
+    spans = starts.distinct().groupBy("sha").agg(F.collect_list(F.struct("words", "first", "last")).alias("starts"))
+    schema = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_passage_words", pa.int64())])
+
+    def united(places):
+        out = []
+        for low, high in sorted(places):
+            if out and low <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], high)
+            else:
+                out.append([low, high])
+        return out
 
     def scan(batches):
         for batch in common.text_slices(batches):
             out = []
-            for cls, text, found in zip(*(batch.column(c).to_pylist() for c in ("cls", "text", "starts")), strict=True):
-                raw, united = text.encode(), []
-                for x in sorted((x["first"], x["last"] + length) for x in found):
-                    if united and x[0] <= united[-1][1]:
-                        united[-1][1] = max(united[-1][1], x[1])
-                    else:
-                        united.append(list(x))
+            for sha, text, found in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "starts")), strict=True):
+                raw = text.encode()
+                gone = united((x["first"], x["last"] + length) for x in found if not x["words"])
+                shared = united((x["first"], x["last"] + passage) for x in found if x["words"])
                 kept, at = hashlib.sha256(), 0
-                for a, b in united:
+                for a, b in gone:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                out.append((cls, sum(b - a for a, b in united), len(united), kept.hexdigest(), united))
+                out.append((sha, sum(b - a for a, b in gone), len(gone), kept.hexdigest(), gone, sum(b - a for a, b in shared)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return texts.select("cls", "text").join(spans, "cls").mapInArrow(scan, "cls binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return texts.select("sha", "text").join(spans, "sha").mapInArrow(scan, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, n_passage_words long")
 
 
-def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets; null: the whole text) of every document.
+def repeated(docs: DataFrame, length: int = 400, passage: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets; null: the whole text) and n_passage_words of every
+    document.
 
     Bytes of windows that start anywhere else too are removed; texts shorter than ``length``, null and empty ones lose
-    nothing; equal rows are copies of each other and go; repeated doc_ids stay one to one; other columns aren't read.
+    nothing; equal rows are copies of each other and go; repeated doc_ids stay one to one; other columns aren't read; an
+    empty table gives no rows.  n_passage_words: words within runs of ``passage`` words (A-Z as a-z, any white space between)
+    that a second document has too.  Such a passage may be shorter than ``length`` bytes; nothing is removed by it.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    listed = _listed(docs, length)
-    slim = listed.filter("sha is not null").select("doc_id", "n", "sha", F.substring("sha", 1, 16).alias("cls"))
-    marks = listed.filter("sha is null").select("g", "cls", "a", "low", "high")
-    ends = marks.groupBy("g").agg(F.min(F.struct("cls", "a")).alias("p"), F.max(F.struct("cls", "a")).alias("q"), F.count(F.lit(1)).alias("c"))
-    twice = ends.filter("p <> q").select("g", (F.col("c") > HELD).alias("many"))
-    lists = marks.join(twice, "g").groupBy("cls").agg(F.collect_list(F.struct("g", "a", "low", "high", "many")).alias("anchors"))
-    groups = slim.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    wanted = common.staged(lists.join(groups, "cls").select("rep", "cls", "anchors"), "wanted")
-    texts = _regions(docs, wanted, length)
-    starts = _sorted_repeats(_bytes_of(texts, length, False), length)
-    if twice.filter("many").limit(1).count():
-        starts = starts.unionByName(_counted_repeats(_bytes_of(texts, length, True), length))
-    removed = _removed(texts, starts, length).dropDuplicates(["cls"])
-    out = slim.join(groups.select("cls", "copies"), "cls").join(removed, "cls", "left")
+    listed = _listed(docs, length, passage)
+    slim = listed.filter("sha is not null").select("doc_id", "n", "w", "sha", "k")
+    wanted, split = _wanted(listed, slim)
+    texts = _regions(docs, wanted)
+    starts = _sorted_repeats(_bytes_of(texts, length, passage), length, passage, split)
+    removed = _removed(texts, starts, length, passage).dropDuplicates(["sha"])
+    copies = slim.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
+    out = slim.join(copies, "sha").join(removed, "sha", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
+    shared = (F.col("copies") > 1) & (F.col("w") >= passage)
     return out.select(
         "doc_id",
         F.col("n").alias("n_bytes"),
@@ -233,4 +301,5 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
         F.when(~whole, F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)"))).alias("spans"),
+        F.when(shared, F.col("w")).otherwise(F.coalesce("n_passage_words", F.lit(0))).cast("long").alias("n_passage_words"),
     )

@@ -6,7 +6,7 @@ which branches on one byte per node and compares whole strings only once for eac
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 #: Bytes that multikey quicksort takes as one character; depth from which blind tries go on.
 CHUNK, SHALLOW = 8, 128
@@ -111,24 +111,43 @@ def deep_shallow(strings: list[bytes], members: list[int] | None = None, depth:
     return out
 
 
-def repeats(entries: list[tuple[bytes, int]], length: int) -> list[list[tuple[int, int]]]:
+def _next(large: list[int], at: int, step: int, i: int, by_left: list[int], owners: list | None):
+    """Members of ``large`` from ``at`` on that i has to meet: the nearest one; with owners, the nearest of other owners than
+    i's, through the run of one owner to the first of a second."""
+    run = None
+    while 0 <= at < len(large):
+        j = by_left[large[at]]
+        if owners is None:
+            yield j
+            return
+        yield j
+        if run is None:
+            run = owners[j]
+        elif owners[j] != run:
+            return
+        at += step
+
+
+def repeats(entries: list[tuple[bytes, int]], length: int, owners: list | None = None, unit: int = 1) -> list[set[tuple[int, int]]]:
     """For each entry (bytes, place of the anchor in them) the intervals of starts, relative to the anchor as distances to
     the left (low, high), of windows of ``length`` bytes about the anchor that another entry has at the same distance.
+    With ``owners``, an entry of another owner.  ``unit``: bytes of a character, where strings are of wider characters.
 
     Entries sorted by what follows the anchor are united from the longest common prefix down.  A united set keeps its members
     by the order of what precedes the anchor (reversed), and each member of the smaller set meets its neighbours in the
     larger one: a pair that is not adjacent is covered by a pair within the larger set that agrees on more on both sides.
+    (With owners: a pair of two owners; of any three members next to each other that are of two owners, two differ.)
     """
     n = len(entries)
     after = [e[at:] for e, at in entries]
     before = [e[:at][::-1] for e, at in entries]
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    found: list[set[tuple[int, int]]] = [set() for _ in range(n)]
     order = deep_shallow(after)
     by_left = deep_shallow(before)
     rank = [0] * n
     for r, i in enumerate(by_left):
         rank[i] = r
-    steps = sorted(((common_prefix(after[a], after[b]), k) for k, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
+    steps = sorted(((common_prefix(after[a], after[b]) // unit * unit, k) for k, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
     owner = list(range(n))  # of places in ``order``
     sets = [[rank[i]] for i in order]
 
@@ -142,18 +161,26 @@ def repeats(entries: list[tuple[bytes, int]], length: int) -> list[list[tuple[in
         a, b = top(k), top(k + 1)
         if len(sets[a]) > len(sets[b]):
             a, b = b, a
-        large = sets[b]
-        for r in sets[a]:
-            i, at = by_left[r], bisect_left(large, r)
-            if same_after + len(before[i]) >= length:
-                for other in large[max(0, at - 1) : at + 1]:
-                    j = by_left[other]
-                    same_before = common_prefix(before[i], before[j])
-                    if same_before + same_after >= length:
+        small, large = sets[a], sets[b]
+        for r in small:
+            i = by_left[r]
+            if same_after + len(before[i]) < length:
+                continue
+            at = bisect_left(large, r)
+            for start, step in ((at - 1, -1), (at, 1)):
+                for j in _next(large, start, step, i, by_left, owners):
+                    same_before = common_prefix(before[i], before[j]) // unit * unit
+                    if same_before + same_after < length:
+                        break
+                    if owners is None or owners[i] != owners[j]:
                         span = max(0, length - same_after), min(same_before, length)
-                        found[i].append(span)
-                        found[j].append(span)
-        large += sets[a]
-        large.sort()  # two ascending runs: linear
+                        found[i].add(span)
+                        found[j].add(span)
+        if len(small) * 16 < len(large):
+            for r in small:
+                insort(large, r)
+        else:
+            large += small
+            large.sort()  # two ascending runs: linear
         owner[a], sets[a] = b, []
     return found

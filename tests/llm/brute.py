@@ -89,6 +89,16 @@ def repeated(rows, length=400):
     return out
 
 
+def passage_words(rows, size=51):
+    """rows: (doc_id, text); words within runs of ``size`` words that another row has too."""
+    texts = [WORD.findall((t or "").translate(LOWER)) for _, t in rows]
+    own = defaultdict(set)
+    for i, w in enumerate(texts):
+        for k in range(len(w) - size + 1):
+            own[tuple(w[k : k + size])].add(i)
+    return [len({x for k in range(len(w) - size + 1) if len(own[tuple(w[k : k + size])]) > 1 for x in range(k, k + size)}) for w in texts]
+
+
 def tiktoken_encoding(name="byte_bpe_50k.tiktoken"):
     import tiktoken
 

@@ -84,15 +84,41 @@ def test_connected(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 200: 150, 300: 299}
 
 
-def test_blocks_of_large_clusters(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 1)
+def test_long_words_do_not_collide(spark):
+    # the word of Thue and Morse and its complement have the same value under sums of powers modulo 2 ** 64
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    rows = [(i, f"{first} x y {''.join(letters[b] for b in bits[:n])}") for i, (first, letters, n) in enumerate([("w", "ab", 1024), ("v", "ba", 1024), ("w", "ba", 1024), ("u", "ab", 2048), ("u", "ba", 2048), ("t", "ab", 16), ("t", "ba", 16)])]
+    rows += [(len(rows) + i, x) for i, x in enumerate(["a\0 b c d", "a b c d", "a\0\0 b c d"])]
+    found = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert got(found, "doc_id", "n_shingles", "component_id", "n_links") == sorted(((d, 1, d, 0) for d, _ in rows), key=repr)
+
+
+@pytest.mark.parametrize("limit", ["BLOCK", "BLOCK_SHINGLES", "COMMON", "SAMPLED"])
+def test_limits_of_tasks_change_nothing(docs, rows, limit, monkeypatch):
+    monkeypatch.setattr(ngram_join, limit, 1)
     assert got(ngram_join.components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows), key=repr)
 
 
-@pytest.mark.parametrize("held", [50_000, 1])
-def test_substrings(docs, rows, held, monkeypatch):
-    monkeypatch.setattr(substrings, "HELD", held)
-    assert got(substrings.repeated(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated(rows), key=repr)
+@pytest.mark.parametrize("block", [10_000, 1, 3])
+def test_substrings(docs, rows, block, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    expected = sorted(((*a, b) for a, b in zip(brute.repeated(rows), brute.passage_words(rows), strict=True)), key=repr)
+    assert got(substrings.repeated(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words") == expected
+
+
+@pytest.mark.parametrize("block", [10_000, 4])
+def test_shared_passages(spark, block, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    r = random.Random(11)
+    short = [" ".join(r.choice("abcdefghijklmnop") + str(r.randrange(9)) for _ in range(60)) for _ in range(6)]
+    texts = [" ".join([prose(r.randrange(5, 60), 100 + i), *(short[r.randrange(6)] for _ in range(r.randrange(0, 3))), prose(r.randrange(5, 60), 200 + i)]) for i in range(60)]
+    texts += [short[0] + " " + short[0], short[1].upper().replace(" ", "\n"), prose(55, 900) + " " + prose(55, 900), prose(50, 901), prose(50, 901), prose(51, 902), prose(51, 902)]
+    rows = list(enumerate(texts))
+    found = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    expected = sorted(((*a, b) for a, b in zip(brute.repeated(rows), brute.passage_words(rows), strict=True)), key=repr)
+    assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words") == expected
 
 
 def test_deep_shallow_sorts():

@@ -30,8 +30,9 @@ def test_op2(spark, documents):
 
 
 def test_op3(spark, documents):
-    expected = sorted(brute.repeated([(d["doc_id"], d["text"]) for d in documents]))
-    assert rows(spark, "op3_substring_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    pairs = [(d["doc_id"], d["text"]) for d in documents]
+    expected = sorted((*a, b) for a, b in zip(brute.repeated(pairs), brute.passage_words(pairs), strict=True))
+    assert rows(spark, "op3_substring_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words") == expected
 
 
 def test_op4(spark, documents):
