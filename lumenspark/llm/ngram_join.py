@@ -5,7 +5,7 @@
    all sets follow.  Here shingles with hashes in a low share of all values come first, the rarest of them before others, so
    a passage common to many documents links nobody by itself.  Only low shingles are sent on and counted; those that occur
    in one class need no more than their number.  Prefixes that share a shingle link classes into clusters no link leaves.
-   Shingles that very many classes have are aggregated in parts, so none meets its rows in one task.
+   Shingles that very many classes have are summed up in parts, so none meets its rows in one task.
 3. Whole sets of clustered classes are brought together by cluster, large clusters as pairs of bounded blocks, and searched: each
    set is a query; its short inverted lists are merged by counting, the long ones probed by binary search (or merged, where
    most sets are candidates), and every candidate that reaches the required overlap is linked.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ LOW = 2
 #: Sets and shingles in a block of a cluster (a task holds two blocks); clustered classes that are broadcast (40 bytes each), and
 #: ids (8 bytes each).
 BLOCK, BLOCK_SHINGLES, BROADCAST_CLASSES, BROADCAST_IDS = 4000, 2_000_000, 300_000, 1_000_000
-#: A shingle is common when it has so many of about so many sampled rows; at most the quotient of the two is common (8 bytes each).
+#: A shingle is common when it has so many of about so many sampled rows; about the quotient of the two can be common (8 bytes each).
 COMMON, SAMPLED = 500, 2_000_000
 #: Weight of a probe in the choice of the number of long lists; cost of a probe, in entries merged; entries merged at once.
 PROBE, PROBES, MERGED = 0.01, 30, 4_000_000
@@ -183,36 +183,37 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return common.staged(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described")
 
 
-def _common(tokens: DataFrame, slim: DataFrame) -> DataFrame:
-    """Shingles that many classes of a bounded sample have.  They steer only how rows are dealt out: no result depends on them."""
+def _common(tokens: DataFrame, slim: DataFrame) -> list[int]:
+    """Shingles that many classes of a bounded sample have.  They steer only how rows are dealt out: no link depends on them."""
     share = 1 + int(slim.agg(F.sum("sent")).first()[0] or 0) // SAMPLED
     sample = tokens.filter(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0)
-    return common.staged(sample.groupBy("token").count().filter(F.col("count") >= COMMON).select("token"), "common")
-
-
-def _of_token(rows: DataFrame, often: DataFrame, **aggregates: Column) -> DataFrame:
-    """``rows`` (token, cls) with aggregates over the rows of each shingle.  Common shingles never meet in one task: theirs are
-    summed up in parts and joined back by broadcast; the others' come from a window."""
-    few = F.broadcast(often)
-    window = Window.partitionBy("token")
-    rare = rows.join(few, "token", "left_anti").select("token", "cls", *[v.over(window).alias(k) for k, v in aggregates.items()])
-    many = rows.join(few, "token", "left_semi")
-    found = many.groupBy("token").agg(*[v.alias(k) for k, v in aggregates.items()])
-    return rare.unionByName(many.join(F.broadcast(found), "token").select("token", "cls", *aggregates))
+    return [r.token for r in sample.groupBy("token").count().filter(F.col("count") >= COMMON).select("token").collect()]
 
 
 def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes whose prefixes share a shingle: stars about the least class of each list."""
+    """Pairs of nodes whose links join the classes with a shingle of their prefixes in common.
+
+    A shingle's classes are a star about the least of them, found by a window.  Common shingles come last in the order, their
+    rows never meet in one task, and their classes are linked with a node for the shingle instead.
+    """
     often = _common(tokens, slim)
-    shared = _of_token(tokens, often, p=F.min("cls"), q=F.max("cls"), df=F.count(F.lit(1))).filter("p <> q")
+    of_token = Window.partitionBy("token")
+    rare, many = tokens.filter(~F.col("token").isin(often)), tokens.filter(F.col("token").isin(often))
+    shared = rare.select("token", "cls", F.min("cls").over(of_token).alias("p"), F.max("cls").over(of_token).alias("q"), F.count(F.lit(1)).over(of_token).alias("df")).filter("p <> q")
+    shared = shared.select("cls", "df", "token")
+    if often:
+        several = [r.token for r in many.groupBy("token").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("token").collect()]
+        shared = shared.unionByName(many.filter(F.col("token").isin(several)).select("cls", F.lit(2**62).alias("df"), "token"))
     lists = common.staged(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared")
     sizes = slim.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
     # all shingles of one class alone come first in the order; what the prefix still needs are the rarest shared ones
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
     needed = lists.join(sizes, "cls").withColumn("need", (prefix - (F.col("sent") - F.size("shared"))).cast("int")).filter("need > 0")
-    rows = needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("x.token", "cls")
-    stars = _of_token(common.staged(rows, "prefixes"), often, least=F.min("cls"))
-    return stars.select(F.col("cls").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    rows = common.staged(needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("x.token", "cls"), "prefixes")
+    stars = rows.filter(~F.col("token").isin(often)).select(F.col("cls").alias("a"), F.min("cls").over(of_token).alias("b"))
+    # nodes of shingles follow all classes but for chance, and are no class themselves
+    node = F.unhex(F.concat(F.lit("FF" * 8), F.lpad(F.hex("token"), 16, "0")))
+    return stars.unionByName(rows.filter(F.col("token").isin(often)).select(F.col("cls").alias("a"), node.alias("b"))).filter("a <> b").distinct()
 
 
 def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
