@@ -27,12 +27,11 @@ from .shingles import _powers, mixed, text_bytes, words
 from .suffixes import repeats
 
 #: Bytes of an anchor gram; windows handled at once in a text; occurrences of a gram that one block holds.
-GRAM, WINDOWS, BLOCK = 64, 1 << 19, 10_000
+GRAM, WINDOWS, BLOCK = 64, 1 << 19, 2000
 #: Words of an anchor gram of passages; bytes of a word's hash in the sorter.
 WORD_GRAM, UNIT = 10, 4
-#: Texts with repeated anchors up to this number of anchors have these broadcast to the scan of the documents (16 bytes each);
-#: the same bound holds for grams of several blocks.
-BROADCAST_ANCHORS = 800_000
+#: Grams of several blocks that are broadcast (16 bytes each).
+BROADCAST_GRAMS = 800_000
 
 _BYTE = np.random.default_rng(20240502).integers(0, 1 << 64, 256, np.uint64)
 _LOW = np.uint64((1 << 20) - 1)
@@ -68,20 +67,27 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(hashes: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, and the first and last start of the windows that pick each."""
+def anchors(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that lie one after another, each from ``low`` to ``high``: the number of the text, the place of the anchor,
+    and the first and last start of the windows that pick it.  ``hashes`` are of all grams, also across texts."""
     width = length - gram + 1
     windows = len(hashes) - width + 1
-    if windows < 1:
-        return (np.zeros(0, np.int64),) * 3
+    long = np.flatnonzero(high - low >= length)
+    if windows < 1 or not len(long):
+        return (np.zeros(0, np.int64),) * 4
     parts = []
     for c in range(0, windows, WINDOWS):
         own = hashes[c : min(c + WINDOWS, windows) + width - 1]
         keys = (own & ~_LOW) | (_LOW - np.arange(len(own), dtype=np.uint64))
         parts.append((_LOW - (_least(keys, width) & _LOW)).astype(np.int64) + c)
-    place = np.concatenate(parts)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return place[first], first, np.concatenate([first[1:], [windows]]) - 1
+    inside = np.zeros(windows + 1, np.int8)
+    inside[low[long]] += 1
+    inside[high[long] - length + 1] -= 1
+    start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    place = np.concatenate(parts)[start]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
+    last = np.concatenate([first[1:], [len(start)]]) - 1
+    return long[np.searchsorted(low[long], start[first], "right") - 1], place[first], start[first], start[last]
 
 
 def _listed(docs: DataFrame, length: int, passage: int) -> DataFrame:
@@ -94,27 +100,29 @@ def _listed(docs: DataFrame, length: int, passage: int) -> DataFrame:
             raw, at = text_bytes(batch.column("text"))
             word, before = words(raw, at)
             hashes, grams = gram_hashes(raw), word_grams(word)
-            shas, keys, found = [], [], []
-            for low, high, first, last in zip(at[:-1].tolist(), at[1:].tolist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
-                sha = hashlib.sha256(raw[low:high]).digest()
-                shas.append(sha)
-                keys.append(int.from_bytes(sha[:8], "little", signed=True))
-                if sha in seen:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(sha)
-                for own, size, gram in ((hashes[low : max(low, high - GRAM + 1)], length, GRAM), (grams[first : max(first, last - WORD_GRAM + 1)], passage, WORD_GRAM)):
-                    place = anchors(own, size, gram)[0]
-                    if len(place):
-                        found.append((keys[-1], *np.unique(own[place].view(np.int64), return_counts=True)))
+            shas, new = [], []
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                shas.append(hashlib.sha256(raw[low:high]).digest())
+                if shas[-1] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(shas[-1])
+                    new.append(len(shas) - 1)
+            keys = np.array([int.from_bytes(sha[:8], "little", signed=True) for sha in shas], np.int64)
+            found = []
+            for own, places, size, gram in ((hashes, at, length, GRAM), (grams, before, passage, WORD_GRAM)):
+                doc, place, _, _ = anchors(own, places[:-1][new], places[1:][new], size, gram)
+                g = own[place].view(np.int64)
+                order = np.lexsort((g, doc))
+                doc, g = doc[order], g[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
+                found.append((g[first], keys[np.array(new, np.int64)[doc[first]]], np.diff(np.append(first, len(g)))))
             none = pa.nulls(len(shas), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(before)), pa.array(shas, pa.binary()), pa.array(keys, pa.int64()), none, none], schema=schema)
-            if found:
-                sizes = [len(f[1]) for f in found]
-                none = pa.nulls(sum(sizes), pa.int64())
-                marks = [np.repeat([f[0] for f in found], sizes), *(np.concatenate([f[c] for f in found]) for c in (1, 2))]
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), *map(pa.array, marks)], schema=schema)
+            g, k, times = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(g):
+                none = pa.nulls(len(g), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(g), pa.binary()), pa.array(k), pa.array(g), pa.array(times)], schema=schema)
 
     return common.staged(docs.mapInArrow(scan, "doc_id long, n long, w long, sha binary, k long, g long, times long"), "anchors")
 
@@ -128,7 +136,7 @@ def _wanted(listed: DataFrame, slim: DataFrame) -> tuple[DataFrame, bool]:
     hot = twice.filter("blocks > 1")
     few = hot.count()
     joined = marks.join(twice, "g")
-    if 0 < few <= BROADCAST_ANCHORS:
+    if 0 < few <= BROADCAST_GRAMS:
         hot = F.broadcast(hot)
         joined = marks.join(hot, "g", "left_anti").join(twice.filter("blocks = 1"), "g").unionByName(marks.join(hot, "g"))
     lists = joined.groupBy("k").agg(F.collect_list(F.struct("g", "blocks")).alias("anchors"))
@@ -138,10 +146,8 @@ def _wanted(listed: DataFrame, slim: DataFrame) -> tuple[DataFrame, bool]:
 
 def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sha, text and anchors of texts with repeated grams; one row for each distinct text."""
-    small = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    held = F.broadcast(wanted) if small <= BROADCAST_ANCHORS else wanted
-    found = docs.join(held, docs["doc_id"].eqNullSafe(held["rep"])).filter(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)) == F.col("sha"))
-    return common.staged(found.select("sha", "text", "anchors").dropDuplicates(["sha"]) if small > BROADCAST_ANCHORS else found.select("sha", "text", "anchors"), "texts")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).filter(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)) == F.col("sha"))
+    return common.staged(found.select("sha", "text", "anchors").dropDuplicates(["sha"]), "texts")
 
 
 def _bytes_of(texts: DataFrame, length: int, passage: int) -> DataFrame:
@@ -155,19 +161,17 @@ def _bytes_of(texts: DataFrame, length: int, passage: int) -> DataFrame:
             hashes, grams = gram_hashes(raw), word_grams(word)
             short = (word >> np.uint64(32)).astype("<u4").tobytes()
             data = raw.tobytes()
+            shas = batch.column("sha").to_pylist()
+            blocks = [{x["g"]: x["blocks"] for x in found} for found in batch.column("anchors").to_pylist()]
             out = []
-            for i, (sha, found) in enumerate(zip(batch.column("sha").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
-                blocks = {x["g"]: x["blocks"] for x in found}
-                for own, start, size, gram, source, unit in (
-                    (hashes[at[i] : max(at[i], at[i + 1] - GRAM + 1)], at[i], length, GRAM, data, 1),
-                    (grams[before[i] : max(before[i], before[i + 1] - WORD_GRAM + 1)], before[i], passage, WORD_GRAM, short, UNIT),
-                ):
-                    place, first, last = anchors(own, size, gram)
-                    for g, a, low, high in zip(own[place].view(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
-                        n = blocks.get(g)
-                        if n:
-                            block = (int.from_bytes(sha[8:12], "little") + a) % n
-                            out.append((g, block, n, sha, a, low, source[(start + low) * unit : (start + high + size) * unit]))
+            for own, places, size, gram, source, unit in ((hashes, at, length, GRAM, data, 1), (grams, before, passage, WORD_GRAM, short, UNIT)):
+                doc, place, first, last = anchors(own, places[:-1], places[1:], size, gram)
+                starts = places[doc]
+                for i, g, a, low, high, start in zip(doc.tolist(), own[place].view(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist(), starts.tolist(), strict=True):
+                    n = blocks[i].get(g)
+                    if n:
+                        block = (int.from_bytes(shas[i][8:12], "little") + a - start) % n if n > 1 else 0
+                        out.append((g, block, n, shas[i], a - start, low - start, source[low * unit : (high + size) * unit]))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 2000], strict=True), schema.types, strict=True)], schema=schema)
 

@@ -111,37 +111,56 @@ def deep_shallow(strings: list[bytes], members: list[int] | None = None, depth:
     return out
 
 
-def _next(large: list[int], at: int, step: int, i: int, by_left: list[int], owners: list | None):
-    """Members of ``large`` from ``at`` on that i has to meet: the nearest one; with owners, the nearest of other owners than
-    i's, through the run of one owner to the first of a second."""
-    run = None
-    while 0 <= at < len(large):
-        j = by_left[large[at]]
-        if owners is None:
-            yield j
-            return
-        yield j
-        if run is None:
-            run = owners[j]
-        elif owners[j] != run:
-            return
-        at += step
-
-
 def repeats(entries: list[tuple[bytes, int]], length: int, owners: list | None = None, unit: int = 1) -> list[set[tuple[int, int]]]:
     """For each entry (bytes, place of the anchor in them) the intervals of starts, relative to the anchor as distances to
     the left (low, high), of windows of ``length`` bytes about the anchor that another entry has at the same distance.
     With ``owners``, an entry of another owner.  ``unit``: bytes of a character, where strings are of wider characters.
 
+    Equal entries are one string, which repeats as a whole (where it has two owners, and then differs from any).
+    """
+    alike: dict[tuple[bytes, int], list[int]] = {}
+    for i, entry in enumerate(entries):
+        alike.setdefault(entry, []).append(i)
+    strings, holders, found = list(alike), [], []
+    for (s, at), members in alike.items():
+        several = len(members) > 1 if owners is None else any(owners[i] != owners[members[0]] for i in members)
+        holders.append(object() if several or owners is None else owners[members[0]])
+        low, high = max(0, length - len(s) + at), min(at, length)
+        found.append({(low, high)} if several and low <= high else set())
+    if len(strings) > 1:
+        _compared(strings, length, holders, unit, found)
+    out: list[set[tuple[int, int]]] = [set()] * len(entries)
+    for members, spans in zip(alike.values(), found, strict=True):
+        for i in members:
+            out[i] = spans
+    return out
+
+
+def _compared(entries: list[tuple[bytes, int]], length: int, owners: list, unit: int, found: list[set[tuple[int, int]]]) -> None:
+    """Adds to ``found`` what different strings have in common.
+
     Entries sorted by what follows the anchor are united from the longest common prefix down.  A united set keeps its members
     by the order of what precedes the anchor (reversed), and each member of the smaller set meets its neighbours in the
     larger one: a pair that is not adjacent is covered by a pair within the larger set that agrees on more on both sides.
-    (With owners: a pair of two owners; of any three members next to each other that are of two owners, two differ.)
+    (Of one owner's run of members all are met, through the first of a second owner, so a covering pair has two owners.)
     """
     n = len(entries)
     after = [e[at:] for e, at in entries]
     before = [e[:at][::-1] for e, at in entries]
-    found: list[set[tuple[int, int]]] = [set() for _ in range(n)]
+
+    def met(i: int, j: int, same_after: int) -> bool:
+        same_before = common_prefix(before[i], before[j]) // unit * unit
+        if same_before + same_after < length:
+            return False
+        if owners[i] != owners[j]:
+            span = max(0, length - same_after), min(same_before, length)
+            found[i].add(span)
+            found[j].add(span)
+        return True
+
+    if n == 2:
+        met(0, 1, common_prefix(after[0], after[1]) // unit * unit)
+        return
     order = deep_shallow(after)
     by_left = deep_shallow(before)
     rank = [0] * n
@@ -168,14 +187,13 @@ def repeats(entries: list[tuple[bytes, int]], length: int, owners: list | None =
                 continue
             at = bisect_left(large, r)
             for start, step in ((at - 1, -1), (at, 1)):
-                for j in _next(large, start, step, i, by_left, owners):
-                    same_before = common_prefix(before[i], before[j]) // unit * unit
-                    if same_before + same_after < length:
+                run = None
+                while 0 <= start < len(large):
+                    j = by_left[large[start]]
+                    if not met(i, j, same_after) or (run is not None and owners[j] != run):
                         break
-                    if owners is None or owners[i] != owners[j]:
-                        span = max(0, length - same_after), min(same_before, length)
-                        found[i].add(span)
-                        found[j].add(span)
+                    run = owners[j]
+                    start += step
         if len(small) * 16 < len(large):
             for r in small:
                 insort(large, r)
@@ -183,4 +201,3 @@ def repeats(entries: list[tuple[bytes, int]], length: int, owners: list | None =
             large += small
             large.sort()  # two ascending runs: linear
         owner[a], sets[a] = b, []
-    return found
