@@ -1,8 +1,9 @@
 """Quality rules with host verdicts, in DataFrame operations.
 
 Every document gets its own counts and rule failures.  Failures are summed by host (for documents: their source), the rates
-of the hosts give a beta prior by its moments, each host's rate is shrunk towards it, and hosts whose shrunk rate is high
-are bad; their verdict is joined back.  A document is kept if it fails no rule and its host is not bad.
+of the hosts give a beta prior by its moments, and each host's rate is shrunk towards it.  A host of a shrunk rate above the
+prior's mean is suspect, one where most documents fail is bad; the verdict is joined back.  A document goes if it fails a rule,
+if its host is bad, or if it is doubtful (fails the sharper limits below) and its host suspect: on other hosts it stays.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from . import common
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rules of the host statistics, besides: percentages of symbols among characters of words, and of repeated lines.
 MOST_SYMBOLS, MOST_DUP_LINES = 10, 50
-#: A host is bad when its shrunk failure rate is above this; hosts alone never decide on few documents.
-BAD_RATE = 0.8
-#: Bad hosts up to this number are broadcast (below 20 MB); more are joined by shuffle, the documents' side salted.
+#: Percentages above which a document is doubtful: symbols, repeated lines, words in repeated windows.
+DOUBTFUL_SYMBOLS, DOUBTFUL_DUP_LINES, DOUBTFUL_REPEATED = 2, 35, 25
+#: A host is suspect when its shrunk failure rate is above so many times the prior's mean, bad when it is above the second figure.
+#: Shrinking keeps hosts of few documents from either.
+SUSPECT, BAD_RATE = 1.01, 0.5
+#: Suspect and bad hosts up to this number are broadcast (below 20 MB); more are joined by shuffle, the documents' side salted.
 BROADCAST_HOSTS, SALT = 100_000, 32
 #: Bounds of the prior's weight, in documents.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1000.0
@@ -75,8 +79,17 @@ def rules_failed(lines: Column) -> Column:
     return base_failed() | (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * lines)
 
 
+def doubtful(lines: Column) -> Column:
+    return (
+        (100 * F.col("n_symbols") > DOUBTFUL_SYMBOLS * F.col("word_chars"))
+        | (100 * F.col("n_dup_lines") > DOUBTFUL_DUP_LINES * lines)
+        | (100 * F.col("n_repeat_words") > DOUBTFUL_REPEATED * F.col("n_words"))
+    )
+
+
 def host_table(scored: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
-    """Documents, failures and shrunk failure rate of each host; partial sums are formed before the shuffle.
+    """Documents, failures, shrunk failure rate and verdict (good, suspect, bad) of each host; partial sums are formed before the
+    shuffle; an empty table gives no hosts.
 
     The prior: with m the rate over all documents and v the weighted variance of the hosts' rates less what chance gives,
     its weight is m (1 - m) / v - 1 within bounds; without spread the weight is the upper bound.
@@ -88,46 +101,51 @@ def host_table(scored: DataFrame, host: str = "host", failed: str = "failed") ->
     chance = m * (1 - m)
     spread = (sums["kk"] / n - m * m) - chance * sums["hosts"] / n if n else 0.0
     weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, chance / spread - 1)) if spread > 0 else MOST_WEIGHT
-    return hosts.select(host, "n", "k", ((F.col("k") + m * weight) / (F.col("n") + weight)).alias("rate"))
+    rate = (F.col("k") + m * weight) / (F.col("n") + weight)
+    verdict = F.when(rate > BAD_RATE, "bad").when(rate > SUSPECT * m, "suspect").otherwise("good")
+    return hosts.select(host, "n", "k", rate.alias("rate"), verdict.alias("verdict"))
 
 
 def judged(scored: DataFrame, hosts: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
-    """``scored`` with ``kept``: no rule failed and the host, if it is among the bad ones, not bad."""
-    bad = hosts.filter(F.col("rate") > BAD_RATE).select(F.col(host).alias("__bad"))
-    if bad.count() <= BROADCAST_HOSTS:
-        joined = scored.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col("__bad")), "left")
-        return joined.withColumn("kept", ~F.col(failed) & F.col("__bad").isNull()).drop("__bad")
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
-    bad = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    joined = scored.withColumn("__s", salt).join(bad, F.col(host).eqNullSafe(F.col("__bad")) & (F.col("__s") == F.col("__salt")), "left")
-    return joined.withColumn("kept", ~F.col(failed) & F.col("__bad").isNull()).drop("__bad", "__salt", "__s")
+    """``scored`` with ``host_verdict`` and ``kept``; hosts that aren't among the suspect and bad ones are good."""
+    known = hosts.filter("verdict <> 'good'").select(F.col(host).alias("__host"), F.col("verdict").alias("__verdict"))
+    if known.count() <= BROADCAST_HOSTS:
+        joined = scored.join(F.broadcast(known), F.col(host).eqNullSafe(F.col("__host")), "left")
+    else:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
+        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = scored.withColumn("__s", salt).join(known, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").drop("__salt", "__s")
+    joined = joined.withColumn("host_verdict", F.coalesce("__verdict", F.lit("good"))).drop("__host", "__verdict")
+    gone = F.col(failed) | (F.col("host_verdict") == "bad") | (F.col("doubtful") & (F.col("host_verdict") == "suspect"))
+    return joined.withColumn("kept", ~gone)
 
 
 def _scored(docs: DataFrame, keep: list[Column], host: Column, text: Column) -> DataFrame:
     carried = [f"__c{i}" for i in range(len(keep))]
     named = counted(docs, text, [*keep, F.coalesce(host, F.lit(""))]).toDF(*carried, "host", *COUNTS, "n_lines")
-    return named.withColumn("base_failed", base_failed()).withColumn("failed", rules_failed(F.col("n_lines"))).drop("n_lines")
+    return named.withColumn("base_failed", base_failed()).withColumn("failed", rules_failed(F.col("n_lines"))).withColumn("doubtful", doubtful(F.col("n_lines"))).drop("n_lines")
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key, the counts, base_failed, the host, its shrunk rate's verdict and kept, for every document.
+    """key, the counts, base_failed, kept, rules_failed, doubtful, host and the host's verdict, for every document.
 
     A null text has no words and fails; null and empty hosts are one host; rows stay one to one; repeated rows count each;
     an empty table gives no rows; other columns aren't read.  Counts (without texts) are stored once in the shared folder.
     """
     scored = common.staged(_scored(docs, [docs[key]], docs[host], docs[text]), "quality").withColumnRenamed("__c0", key)
     out = judged(scored, host_table(scored))
-    return out.select(key, *COUNTS, "base_failed", "kept", F.col("failed").alias("rules_failed"), "host")
+    return out.select(key, *COUNTS, "base_failed", "kept", F.col("failed").alias("rules_failed"), "doubtful", "host", "host_verdict")
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that are kept, with their columns.  Texts never shuffle while the bad hosts fit a broadcast.
 
     Documents are stored once in the shared folder with host and failure, so counts are computed once: the host statistics
-    read two columns of that table, and the verdict filters its scan.
+    read two columns of that table, and the verdict filters its scan.  Null texts have no words and go; null and empty hosts are
+    one host; repeated rows are judged one by one; an empty table gives an empty one.
     """
     columns = docs.columns
     carried = [f"__c{i}" for i in range(len(columns))]
-    scored = common.staged(_scored(docs, [docs[c] for c in columns], docs[host], docs[text]).select(*carried, "host", "failed"), "quality-documents")
+    scored = common.staged(_scored(docs, [docs[c] for c in columns], docs[host], docs[text]).select(*carried, "host", "failed", "doubtful"), "quality-documents")
     out = judged(scored, host_table(scored.select("host", "failed")))
     return out.filter("kept").select(*[F.col(c).alias(name) for c, name in zip(carried, columns, strict=True)])
