@@ -3,23 +3,28 @@
 Texts and items are normalised alike: A-Z to a-z, every other ASCII character that is no letter or digit to a space, words
 joined by one space.  A window is ``WINDOW`` consecutive words of an item (a shorter item is one window).  Matches start and
 end at spaces, so word numbers, and from them offsets in the original text, follow from the spaces before a match.
+
+The automaton takes about 400 bytes of memory for each byte of the benchmark.  A benchmark above ``BLOCK_BYTES`` is dealt by hash
+into blocks, each with its automaton; a task holds a bounded part of its texts and scans it block after block, so it never
+holds two automata, and the driver never more than the block that it sends.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton.  A larger benchmark is scanned for in blocks, one after another.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton; bytes of documents that are held while several automata scan them.
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 64 << 20
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -72,67 +77,108 @@ class Automaton:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in blocks of bounded size."""
-    blocks, held = [[]], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        size = len((row.text or "").encode())
-        if blocks[-1] and held + size > BLOCK_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.item_id, row.text))
-        held += size
-    return blocks
+def _blocks(benchmark: DataFrame) -> list:
+    """Broadcasts of the items, in blocks of about ``BLOCK_BYTES`` or one item; the driver holds one block at a time."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [context.broadcast([(row.item_id, row.text) for row in items.filter(place == k).collect()]) for k in range(n)]
+
+
+def _spans(text: str | None, hit: list[int]) -> list[list[int]]:
+    """Start and end, in code points of the original text, of each run of hit words."""
+    if not hit:
+        return []
+    at, out, last = word_offsets(text or ""), [], -2
+    for word in hit:
+        if word == last + 1:
+            out[-1][1] = at[word][1]
+        else:
+            out.append(list(at[word]))
+        last = word
+    return out
 
 
 _automata: dict[str, Automaton] = {}
-_STATE = "`__n_words` int, `__hit` array<int>, `__items` array<long>"
+_STATE = "n_words int, hit int, items array<long>, spans array<array<int>>"
+
+
+def _held(batches, n: int):
+    """Slices of the batches, together up to ``HELD_BYTES`` where several automata scan them."""
+    held, size = [], 0
+    for batch in common.text_slices(batches, 8 << 20):
+        held.append(batch)
+        size += batch.nbytes
+        if n == 1 or size > HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _name(i: int, column: str) -> str:
+    return "text" if column == "text" else f"__c{i}"
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The columns of ``docs``, renamed by ``_name``, and the state of each row."""
+    named = docs.select(*[docs[c].alias(_name(i, c)) for i, c in enumerate(docs.columns)])
+    carried = named.columns
+    blocks = _blocks(benchmark)
+    name = uuid.uuid4().hex
+
+    def automaton(k):
+        if f"{name}{k}" not in _automata:
+            _automata.clear()
+            _automata[f"{name}{k}"] = Automaton(blocks[k].value, window)
+        return _automata[f"{name}{k}"]
+
+    def scan(batches):
+        for held in _held(batches, len(blocks)):
+            words = [[words_of(t) for t in batch.column("text").to_pylist()] for batch in held] if len(blocks) == 1 else None
+            hits = [[(set(), set()) for _ in range(batch.num_rows)] for batch in held]
+            sizes = [[0] * batch.num_rows for batch in held]
+            for k in range(len(blocks)):
+                known = automaton(k)
+                for b, batch in enumerate(held):
+                    for i, t in enumerate(words[b] if words else map(words_of, batch.column("text").to_pylist())):
+                        sizes[b][i] = len(t)
+                        hit, items = known.scan(t)
+                        hits[b][i][0].update(hit)
+                        hits[b][i][1].update(items)
+            for batch, found, n in zip(held, hits, sizes, strict=True):
+                runs = [_spans(batch.column("text")[i].as_py(), sorted(hit)) if hit else [] for i, (hit, _) in enumerate(found)]
+                state = [pa.array(n, pa.int32()), pa.array([len(hit) for hit, _ in found], pa.int32()), pa.array([list(x) for _, x in found], pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *state], names=[*carried, "n_words", "hit", "items", "spans"])
+
+    schema = T.StructType([*named.schema.fields, *T._parse_datatype_string(_STATE).fields])
+    return named.mapInArrow(scan, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated (columns of these names are replaced).
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (runs of hit words: start:end in code
+    points of the original text, comma-joined); columns of ``docs`` of these names are replaced.
 
     A null or empty text, or one of separators only, has no words and is clean; an item without words has no window; a null
-    item_id counts as an item but is left out of the digest; equal items both count; repeated rows stay.
-    Each block of the benchmark is one broadcast and one scan; hits of the blocks are united row by row.
+    item_id counts as an item but is left out of the digest; equal items both count; repeated rows stay; an empty table gives no
+    rows, an empty benchmark leaves every document clean.
     """
-    spark = docs.sparkSession
-    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    kept = [c for c in docs.columns if c not in own]
-    scanned = docs.select(*kept)
-    for number, block in enumerate(_blocks(benchmark)):
-        data = spark.sparkContext.broadcast(block)
-        name = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        first = number == 0
-
-        def scan(batches, data=data, name=name, first=first):
-            if name not in _automata:
-                _automata.clear()
-                _automata[name] = Automaton(data.value, window)
-            automaton = _automata[name]
-            for batch in common.text_slices(batches, 8 << 20):
-                n, hits, items = [], [], []
-                before = [None] * batch.num_rows if first else zip(batch.column("__hit").to_pylist(), batch.column("__items").to_pylist(), strict=True)
-                for text, old in zip(batch.column("text"), before, strict=True):
-                    words = words_of(text.as_py())
-                    hit, found = automaton.scan(words)
-                    if old:
-                        hit.update(old[0])
-                        found.update(old[1])
-                    n.append(len(words))
-                    hits.append(sorted(hit))
-                    items.append(list(found))
-                columns = [batch.column(c) for c in kept] + [pa.array(n, pa.int32()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__n_words", "__hit", "__items"])
-
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), _STATE])
-        scanned = scanned.mapInArrow(scan, schema)
-    ids = F.array_sort(F.transform(F.filter("__items", lambda x: x.isNotNull()), lambda x: x.cast("string")))
-    return scanned.select(
-        *kept,
-        F.col("__n_words").cast("long").alias("n_words"),
-        F.size("__hit").cast("long").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
+    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
+    ids = F.array_sort(F.transform(F.filter("items", lambda x: x.isNotNull()), lambda x: x.cast("string")))
+    spans = F.transform("spans", lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string")))
+    return _scanned(docs, benchmark, window).select(
+        *[F.col(_name(i, c)).alias(c) for i, c in enumerate(docs.columns) if c not in own],
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
         common.digest(F.concat_ws(",", ids)).alias("items_sha256"),
-        (F.size("__hit") > 0).alias("contaminated"),
+        (F.col("hit") > 0).alias("contaminated"),
+        F.concat_ws(",", spans).alias("hit_spans"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with its columns alone, in which no window of the benchmark occurs (null texts among them)."""
+    return _scanned(docs, benchmark, window).filter("hit = 0").select(*[F.col(_name(i, c)).alias(c) for i, c in enumerate(docs.columns)])
