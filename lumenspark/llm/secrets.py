@@ -90,8 +90,8 @@ def _windowed(value: str, bits: float) -> str:
 def spans(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """``keep`` and ``found``: an array of structs s, e, k (place of the kind in KINDS), by start and kind.
 
-    A null or empty text has no spans.  A span of the method is left out where it overlaps a base span, or, for the mixed
-    class, a span of the hexadecimal class.
+    A null or empty text has no spans.  A span of the method is left out where a base span, or, for the mixed class, one of the
+    hexadecimal class holds all of it; one that reaches beyond stays beside the other.
     """
     step = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__t"))
     step = _matches(step, ASSIGN, "__assign", 1)
@@ -103,7 +103,7 @@ def spans(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     placed = ", ".join(f"transform({'filter(__assign, x -> length(x.v) >= ' + str(LEAST_VALUE) + ')' if k == 'assign' else '__' + k}, x -> struct(x.s as s, x.e as e, {i} as k))" for i, k in enumerate(KINDS[:3]))
     step = step.select(*keep, "__t", *[f"__{k}" for k in KINDS[3:]], F.expr(f"concat({placed})").alias("__base"))
     for i, k in enumerate(KINDS[3:], 3):
-        step = step.withColumn("__base", F.expr(f"concat(__base, transform(filter(__{k}, x -> not exists(__base, b -> b.s < x.e and x.s < b.e)), x -> struct(x.s as s, x.e as e, {i} as k)))"))
+        step = step.withColumn("__base", F.expr(f"concat(__base, transform(filter(__{k}, x -> not exists(__base, b -> b.s <= x.s and x.e <= b.e)), x -> struct(x.s as s, x.e as e, {i} as k)))"))
     return step.select(*keep, "__t", F.expr("array_sort(__base, (a, b) -> case when a.s <> b.s then a.s - b.s else a.k - b.k end)").alias("found"))
 
 
@@ -125,7 +125,10 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by ``MARK`` (overlapping spans by one), and ``length`` set where a text changed."""
+    """``docs`` with every span replaced by ``MARK`` (overlapping spans by one), and ``length`` set where a text changed.
+
+    Null and empty texts stay as they are; rows stay one to one, repeated ones too; an empty table gives an empty one; names of
+    other columns may be any."""
     columns = docs.columns
     named = docs.select(*[docs[c].alias(f"__c{i}") for i, c in enumerate(columns)])
     keep = named.columns

@@ -40,7 +40,7 @@ def secrets(text):
     spans = list(base)
     for k, pattern, bits in ((3, r"[0-9a-fA-F]{20,}", 3.0), (4, r"[A-Za-z0-9+/_=-]{20,}", 3.7)):
         new = [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if not any(a.search(m[0]) for a in ALLOWED) and entropy_above(m[0], bits)]
-        spans += [x for x in new if not any(s < x[2] and x[0] < e for s, _, e in spans)]
+        spans += [x for x in new if not any(s <= x[0] and x[2] <= e for s, _, e in spans)]
     return (*counts, sha(names(base)), names(spans))
 
 
@@ -154,6 +154,26 @@ def quality_counts(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat), n < 50 or 100 * len(repeat) > 50 * n
 
 
+def quality_verdicts(rows):
+    """rows: (key, text, host); (key, kept, host_verdict) by row, from rates of fractions."""
+    scored = []
+    for key, text, host in rows:
+        n, chars, symbols, dup, repeat, base = quality_counts(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        failed = base or symbols * 100 > 10 * chars or dup * 100 > 50 * lines
+        scored.append((key, host or "", failed, symbols * 100 > 2 * chars or dup * 100 > 35 * lines or repeat * 100 > 25 * n))
+    hosts = defaultdict(list)
+    for _, host, failed, _ in scored:
+        hosts[host].append(failed)
+    total = len(scored)
+    m = sum(f for _, _, f, _ in scored) / total
+    spread = sum(sum(h) ** 2 / len(h) for h in hosts.values()) / total - m * m - m * (1 - m) * len(hosts) / total
+    weight = min(1000.0, max(2.0, m * (1 - m) / spread - 1)) if spread > 0 else 1000.0
+    rates = {h: (sum(f) + m * weight) / (len(f) + weight) for h, f in hosts.items()}
+    verdict = {h: "bad" if r > 0.5 else "suspect" if r > 1.01 * m else "good" for h, r in rates.items()}
+    return [(key, not (failed or verdict[host] == "bad" or (doubt and verdict[host] == "suspect")), verdict[host]) for key, host, failed, doubt in scored]
+
+
 def url_verdict(url, rules, default="allow"):
     if not url or "://" not in url:
         return "", "", None, default
