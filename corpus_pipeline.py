@@ -26,8 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.contamination(docs, common.read(spark, sf_dir, "benchmark"))
-    return found.filter("not contaminated").select(*docs.columns)
+    return decontaminate.clean_documents(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
