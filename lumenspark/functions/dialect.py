@@ -30,6 +30,11 @@ def clamp(x: str, low: float = 0.0, high: float = 1.0) -> str:
     return f"greatest({n(low)}, least({n(high)}, {x}))"
 
 
+def rounded(x: str, digits: int) -> str:
+    """Halves upwards, by the same arithmetic in both engines (their ``round`` differs in ties)."""
+    k = n(10.0**digits)
+    return f"(floor(({x}) * {k} + 0.5e0) / {k})"
+
+
 def r6(x: str) -> str:
-    """Six digits, without a negative zero."""
-    return f"round({x}, 6) + 0.0e0"
+    return rounded(x, 6)

@@ -6,12 +6,14 @@ Statistics of an image are grouped aggregates joined back on image_id: pixels ar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from ..functions import pixel as px
 from ..functions.dialect import chain, clamp, n, spark_text
 
-KEYS = "image_id, y, x"
+KEYS, RGB = "image_id, y, x", px.RGB
 
 
 def apply(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
@@ -70,8 +72,8 @@ def aces(source="pixels", hdr=False, key=0.18, ev=0.0, brightness=1.0, contrast=
     steps = [
         stats(source, f"0.18e0 / (exp(avg(ln(1.0e-4 + {px.luma()}))) + 1.0e-9) * {n(2.0**ev)} AS neutral", "ac_stats"),
         ("ac_in", f"SELECT p.*, neutral, neutral * {n(key / 0.18)} AS exposure FROM {source} p JOIN ac_stats USING (image_id)"),
-        ("ac_curve", "SELECT image_id, y, x, r, g, b, " + ", ".join(f"{px.aces_curve(px.dot(px.ACES_IN[i], [f'{c} * {e}' for c in px.RGB]))} AS {a}{i}" for a, e in (("m", "exposure"), ("n", "neutral")) for i in range(3)) + " FROM ac_in"),
-        ("ac_mix", "SELECT image_id, y, x, " + ", ".join((px.dot(px.ACES_OUT[i], [f"m{j}" for j in names]) if hdr else f"{c} + {px.dot(px.ACES_OUT[i], [f'm{j}' for j in names])} - {px.dot(px.ACES_OUT[i], [f'n{j}' for j in names])}") + f" AS {c}" for i, c in enumerate(px.RGB)) + " FROM ac_curve"),
+        ("ac_curve", f"SELECT {KEYS}, r, g, b, " + ", ".join(f"{px.aces_curve(px.dot(px.ACES_IN[i], [f'{c} * {e}' for c in px.RGB]))} AS {a}{i}" for a, e in (("m", "exposure"), ("n", "neutral")) for i in range(3)) + " FROM ac_in"),
+        ("ac_mix", f"SELECT {KEYS}, " + ", ".join((px.dot(px.ACES_OUT[i], [f"m{j}" for j in names]) if hdr else f"{c} + {px.dot(px.ACES_OUT[i], [f'm{j}' for j in names])} - {px.dot(px.ACES_OUT[i], [f'n{j}' for j in names])}") + f" AS {c}" for i, c in enumerate(px.RGB)) + " FROM ac_curve"),
         mapped("ac_light", "ac_mix", lambda c, i: px.contrast(f"({c} * {n(brightness)})", contrast)),
     ]
     f = (lambda c, i: px.gamma(clamp(c), gamma)) if abs(sat - 1) <= 1e-6 else (lambda c, i: px.gamma(clamp(px.saturate(c, px.luma(), n(sat))), gamma))
@@ -84,8 +86,9 @@ def _balanced(source, adapted, brightness_of, strength, saturation, gamma, range
     return [
         stats(source, f"{LOG_AVERAGE} AS a", "ba_stats"),
         ("ba_lum", f"SELECT p.*, greatest({px.luma()}, {n(px.EPS)}) AS l, a FROM {source} p JOIN ba_stats USING (image_id)"),
-        ("ba_adapted", f"SELECT image_id, y, x, r, g, b, l, {adapted} AS d FROM ba_lum"),
-        ("ba_mapped", f"SELECT image_id, y, x, r, g, b, l, l + ({brightness_of} - l) * {n(strength)} AS m, {n(sat)} * {px.range_factor(h, s, v, ranges)} AS s FROM ba_adapted"),
+        ("ba_adapted", f"SELECT {KEYS}, r, g, b, l, {adapted} AS d FROM ba_lum"),
+        ("ba_hsv", f"SELECT *, {h} AS hue, {s} AS sat, {v} AS val FROM ba_adapted"),
+        ("ba_mapped", f"SELECT {KEYS}, r, g, b, l, l + ({brightness_of} - l) * {n(strength)} AS m, {n(sat)} * {px.range_factor('hue', 'sat', 'val', ranges)} AS s FROM ba_hsv"),
         mapped("ba_out", "ba_mapped", lambda c, i: px.gamma(clamp(px.saturate(f"{c} * (m / l)", "m", "s")), gamma)),
     ]
 
@@ -100,14 +103,37 @@ def contrast_balancer(source="pixels", forced=False, strength=1.0, compression=1
     return _balanced(source, adapted, clamp(f"d * {n(max(0.0, brightness))}"), max(0.0, min(1.0, strength)) if active else 0.0, saturation, gamma, ranges)
 
 
-def brightness_balancer(source="pixels", forced=False, strength=1.0, lighting=1.0, boost=1.0, white=1.0, black=0.0, ev=0.0, brightness=1.0, contrast=1.0, saturation=0.0, gamma=1.0):
+def brightness_balancer(source="pixels", forced=False, strength=1.0, lighting=1.0, boost=1.0, white=1.0, black=0.0, ev=0.0, brightness=1.0, contrast=1.0, saturation=0.0, gamma=1.0, ranges=()):
     active = forced or any(abs(v) > 1e-6 for v in (lighting - 1, white - 1, black))
     black = max(0.0, min(0.99, black))
     white = max(black + 1e-3, min(4.0, white))
     k = 2.0**ev
     lit = f"(a + (l * {n(k)} / (1.0e0 + l * {n(k)}) - a) * {n(max(0.0, lighting))})"
     adapted = clamp(f"({clamp(f'({lit} - {n(black)}) * {n(1 / (white - black))}')} - 0.5e0) * {n(max(0.0, contrast))} + 0.5e0")
-    return _balanced(source, adapted, clamp(f"{'d' if active else 'l'} * {n(max(0.0, boost) * max(brightness, 0.0))}"), max(0.0, min(1.0, strength)), saturation, gamma)
+    return _balanced(source, adapted, clamp(f"{'d' if active else 'l'} * {n(max(0.0, boost) * max(brightness, 0.0))}"), max(0.0, min(1.0, strength)), saturation, gamma, ranges)
+
+
+def tone_boost(source, shadows, midtones, highlights):
+    return [("tb_k", f"SELECT *, {px.tone_boost(px.luma(), shadows, midtones, highlights)} AS k FROM {source}"), mapped("tb_out", "tb_k", lambda c, i: clamp(f"{c} * k"))]
+
+
+def dehaze(source, amount):
+    return [("dh_dark", f"SELECT *, {px.floor_of()} AS dark FROM {source}"), mapped("dh_out", "dh_dark", lambda c, i: px.dehaze(c, "dark", amount))]
+
+
+def temperature(source, kelvin):
+    k = px.temperature(kelvin)
+    return [mapped("ct_out", source, lambda c, i: clamp(f"{c} * {n(k[i])}"))]
+
+
+def saturation_ranges(source, ranges, of=px.RGB):
+    """Saturation by boxes of hue, saturation and value that are looked up in the channels ``of``."""
+    h, s, v = px.hsv(*of)
+    return [
+        ("sr_hsv", f"SELECT *, {h} AS hue, {s} AS sat, {v} AS val, {px.luma()} AS lum FROM {source}"),
+        ("sr_k", f"SELECT *, {px.range_factor('hue', 'sat', 'val', ranges)} AS k FROM sr_hsv"),
+        mapped("sr_out", "sr_k", lambda c, i: clamp(px.saturate(c, "lum", "k"))),
+    ]
 
 
 def white_balance(source="pixels", reference=None, colour=(0.0, 0.0, 0.0)):
@@ -136,17 +162,29 @@ def from_lab(source="lab", name="rgb_out"):
     ]
 
 
-def lab_post(source="pixels", exposure=0.0, brightness=1.0, shadows=1.0, midtones=1.0, highlights=1.0, contrast=1.0, vibrance=1.0):
-    """Adjustments in Lab by masks over the image's lightness range."""
-    e = max(0.85, min(1.25, 2.0**exposure)) * brightness
-    masks = f"l * {n(e)} + {px.smoothstep(0.0, 0.35, '1.0e0 - ln_')} * {n(12 * (shadows - 1))} + exp(-((ln_ - 0.5e0) * (ln_ - 0.5e0)) / 0.12e0) * {n(6 * (midtones - 1))} - {px.smoothstep(0.55, 1.0, 'ln_')} * {n(12 * (highlights - 1))}"
-    curve = "l1" if abs(contrast - 1) <= 1e-6 else f"l1 + (l1 - 50.0e0) / 50.0e0 * (1.0e0 - abs((l1 - 50.0e0) / 50.0e0)) * {n(40 * (contrast - 1))}"
-    k = f"(1.0e0 + (1.0e0 - {px.smoothstep(8, 60, 'sqrt(a * a + bb * bb)')}) * {n(vibrance - 1)})"
+#: Columns of automatic adjustments, and what of them is applied: nothing that darkens, no highlights.
+AUTO = {"exposure": "greatest(0.0e0, au_ev)", **{k: f"greatest(1.0e0, au_{v})" for k, v in (("brightness", "brightness"), ("shadows", "shadows"), ("midtones", "midtones"), ("contrast", "contrast"), ("vibrance", "saturation"))}}
+
+
+def lab_post(source="pixels", exposure=0.0, brightness=1.0, shadows=1.0, midtones=1.0, highlights=1.0, contrast=1.0, vibrance=1.0, auto=False):
+    """Adjustments in Lab by masks over the image's lightness range; with ``auto``, those of the analysed image come on top."""
+
+    def given(name, value):
+        return n(value) if not auto or name not in AUTO else f"({n(value)} + {AUTO[name]})" if name == "exposure" else f"({n(value)} * {AUTO[name]})"
+
+    au = ", au_ev, au_contrast, au_brightness, au_shadows, au_midtones, au_saturation" if auto else ""
+    e = f"(greatest(0.85e0, least(1.25e0, pow(2.0e0, {given('exposure', exposure)}))) * {given('brightness', brightness)})" if auto else n(max(0.85, min(1.25, 2.0**exposure)) * brightness)
+    lift = lambda k, name, value: f"({n(k)} * ({given(name, value)} - 1.0e0))"
+    masks = f"l * {e} + {px.smoothstep(0.0, 0.35, '1.0e0 - ln_')} * {lift(12, 'shadows', shadows)} + exp(-((ln_ - 0.5e0) * (ln_ - 0.5e0)) / 0.12e0) * {lift(6, 'midtones', midtones)} - {px.smoothstep(0.55, 1.0, 'ln_')} * {lift(12, 'highlights', highlights)}"
+    curve = "l1" if abs(contrast - 1) <= 1e-6 and not auto else f"l1 + (l1 - 50.0e0) / 50.0e0 * (1.0e0 - abs((l1 - 50.0e0) / 50.0e0)) * {lift(40, 'contrast', contrast)}"
+    k = f"(1.0e0 + (1.0e0 - {px.smoothstep(8, 60, 'sqrt(a * a + bb * bb)')}) * ({given('vibrance', vibrance)} - 1.0e0))"
+    analysed = [*analyzer(source), ("au", "SELECT image_id, ev AS au_ev, contrast AS au_contrast, brightness AS au_brightness, shadows AS au_shadows, midtones AS au_midtones, saturation AS au_saturation FROM an_out")] if auto else []
     return [
+        *analysed,
         *to_lab(source, "lp"),
         stats("lp", "min(l) AS lo, max(l) AS hi", "lp_stats"),
-        ("lp_norm", "SELECT p.*, (l - lo) / greatest(hi - lo, 1.0e-6) AS ln_ FROM lp p JOIN lp_stats USING (image_id)"),
-        ("lp_masks", f"SELECT {KEYS}, {masks} AS l1, a, bb FROM lp_norm"),
+        ("lp_norm", f"SELECT p.*, (l - lo) / greatest(hi - lo, 1.0e-6) AS ln_{au} FROM lp p JOIN lp_stats USING (image_id){' JOIN au USING (image_id)' if auto else ''}"),
+        ("lp_masks", f"SELECT {KEYS}, {masks} AS l1, a, bb{au} FROM lp_norm"),
         ("lp_lab", f"SELECT {KEYS}, {clamp(curve, 0.0, 100.0)} AS l, a * {k} AS a, bb * {k} AS bb FROM lp_masks"),
         *from_lab("lp_lab", "lp_out"),
     ]
@@ -162,6 +200,24 @@ def box_mean(source="pixels", radius=2, name="box"):
     ]
 
 
+def gaussian_blur(source="pixels", sigma=1.0, name="gb"):
+    """Separable blur by a kernel of three sigmas to each side; weights of samples outside the image are left out."""
+    radius = max(1, math.ceil(3 * sigma))
+    weights = [(k, math.exp(-k * k / (2 * sigma * sigma))) for k in range(-radius, radius + 1)]
+
+    def blurred(c: str, line: str, order: str) -> str:
+        tap = lambda e, k: e if not k else f"{'lag' if k < 0 else 'lead'}({e}, {abs(k)}) OVER (PARTITION BY image_id, {line} ORDER BY {order})"
+        value = " + ".join(f"{n(w)} * coalesce({tap(c, k)}, 0.0e0)" for k, w in weights)
+        there = " + ".join(f"{n(w)} * coalesce({tap('one', k)}, 0.0e0)" for k, w in weights)
+        return f"({value}) / ({there})"
+
+    return [
+        (f"{name}_in", f"SELECT {KEYS}, r, g, b, 1.0e0 AS one FROM {source}"),
+        (f"{name}_rows", f"SELECT {KEYS}, one, " + ", ".join(f"{blurred(c, 'y', 'x')} AS {c}" for c in px.RGB) + f" FROM {name}_in"),
+        mapped(f"{name}_out", f"{name}_rows", lambda c, i: blurred(c, "x", "y")),
+    ]
+
+
 def local_contrast(source="pixels", amount=40.0, radius=2):
     s = max(-1.0, min(1.0, amount / 100))
     return [*box_mean(source, radius, "lc"), mapped("lc_out", "lc", lambda c, i: clamp(f"{c} + ({c} - m{c}) * {n(s)}"))]
@@ -194,16 +250,10 @@ def downsample(source="gray", name="half"):
 
 
 def threshold_bitmap(source="gray", name="bitmap"):
-    """Bits above the lower median, masked where a value is within four of it."""
+    """Bits above the lower median (from a histogram of the levels), masked where a value is within four of it."""
     return [
-        (f"{name}_median", f"SELECT image_id, percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS med FROM {source} WHERE valid = 1 GROUP BY image_id"),
+        (f"{name}_levels", f"SELECT image_id, v, count(*) AS c FROM {source} WHERE valid = 1 GROUP BY image_id, v"),
+        (f"{name}_sums", f"SELECT image_id, v, sum(c) OVER (PARTITION BY image_id ORDER BY v) AS cum, sum(c) OVER (PARTITION BY image_id) AS n FROM {name}_levels"),
+        (f"{name}_median", f"SELECT image_id, min(v) AS med FROM {name}_sums WHERE cum > (n - 1) DIV 2 GROUP BY image_id"),
         (name, f"SELECT p.image_id, y, x, CASE WHEN v >= med THEN 1 ELSE 0 END AS bit, CASE WHEN valid = 1 AND abs(v - med) > 4 THEN 1 ELSE 0 END AS mask FROM {source} p JOIN {name}_median m ON p.image_id = m.image_id"),
     ]
-
-
-def shift_scores(shifts: str, reference="ref", candidate="cand"):
-    """Mismatch and valid counts of bitmaps for each shift: candidates move to the reference's places, one equi-join."""
-    return [
-        ("moved", f"SELECT c.image_id, c.y - dy AS y, c.x - dx AS x, dx, dy, c.bit, c.mask FROM {candidate} c CROSS JOIN ({shifts}) s"),
-        ("scores", f"SELECT m.image_id, dx, dy, cast(sum(abs(m.bit - r.bit) * m.mask * r.mask) AS bigint) AS mismatch, cast(sum(m.mask * r.mask) AS bigint) AS valid FROM moved m JOIN {reference} r ON m.image_id = r.image_id AND m.y = r.y AND m.x = r.x GROUP BY m.image_id, dx, dy"),
-    ]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import pixel as px
-from ..functions.dialect import chain, spark_text
+from ..functions.dialect import chain, r6, spark_text
+from ..operators import brackets, mapping
 from ..sources.fixtures import closure, fixtures
 
 #: Ridge on the diagonal, level whose response is fixed at 0, and its weight.
@@ -40,36 +42,47 @@ def _solved(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve of every series and channel (0 red, 1 green, 2 blue): sums by level pairs (at most 256 x 257 rows of a group) and one solve."""
+    """The curve of every series and channel (0 red, 1 green, 2 blue): sums by level pairs (at most 256 x 257 rows of a group) and one
+    solve.  A series without static pixels has none."""
     from .registry import NORMAL
 
-    right = [
-        ("sides", "SELECT o.image_id, o.channel, o.z, -1 AS zz, o.w * o.loge - o.w * sl / s AS v FROM obs o JOIN tot t ON o.image_id = t.image_id AND o.channel = t.channel AND o.y = t.y AND o.x = t.x"),
-        ("result", "SELECT image_id, channel, z, zz, sum(v) AS v FROM (SELECT * FROM cells UNION ALL SELECT * FROM sides) u GROUP BY image_id, channel, z, zz"),
-    ]
-    sums = spark.sql(spark_text(chain([*closure(["bracket"], fixtures(True, sf_dir)), *NORMAL, *right])))
-    return sums.groupBy("image_id", "channel").applyInPandas(_solved, "image_id long, channel int, z int, g double")
+    sums = ("result", "SELECT image_id, channel, z, zz, sum(v) AS v FROM cells GROUP BY image_id, channel, z, zz")
+    cells = spark.sql(spark_text(chain([*closure(["bracket", "frame"], fixtures(True, sf_dir)), *NORMAL, sums])))
+    return cells.groupBy("image_id", "channel").applyInPandas(_solved, "image_id long, channel int, z int, g double")
+
+
+def hdr_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracket to bytes: mask, sample, response of the three channels, merge by the solved response, mapping, halves to even.
 
+    The curves of a series are one row of three arrays of 256, joined to its pixels by the series; series without a curve take
+    the logarithm of the level.
+    """
+    from .registry import MASKED, NATURAL
 
-def response_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The red channel's curve of every series."""
-    return response_curves(spark, sf_dir).filter("channel = 0").drop("channel")
+    curves = response_curves(spark, sf_dir).groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "g"))), lambda x: x["g"]).alias("g"))
+    curves = curves.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == k, F.col("g"))).alias(f"g_{c}") for k, c in enumerate(px.RGB)])
+    pixels = spark.sql(spark_text(chain([*closure(["bracket"], fixtures(True, sf_dir)), *MASKED, ("result", "SELECT * FROM masked")])))
+    joined = pixels.join(curves, "image_id", "left")
+    merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))")
+    plan = mapping.plan(NATURAL, "merged", hdr=True, scene=0.35)
+    return spark.sql(spark_text(chain([("masked", "SELECT * FROM {src}"), *merge, *plan, ("result", mapping.quantized(plan[-1][0]))])), src=joined)
 
 
 def lstsq_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least-squares plane of luminance over (x, y, 1) in each image, from its moments."""
-    lum = px.luma()
-    text = spark_text(chain([*closure(["unit"], fixtures(True, sf_dir)), ("result", f"SELECT image_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, sum({lum}) AS sl, sum(x * {lum}) AS sxl, sum(y * {lum}) AS syl FROM unit GROUP BY image_id")]))
+    """Least-squares plane of luminance over (x, y, 1) in each image."""
+    return spark.sql(spark_text(chain([*closure(["unit"], fixtures(True, sf_dir)), *plane()])))
 
-    def fit(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                a, b, c = np.linalg.lstsq(np.array([[r.sxx, r.sxy, r.sx], [r.sxy, r.syy, r.sy], [r.sx, r.sy, r.n]], float), np.array([r.sxl, r.syl, r.sl]), rcond=None)[0]
-                out.append((r.image_id, round(a, 6), round(b, 6), round(c, 6)))
-            yield pd.DataFrame(out, columns=["image_id", "a", "b", "c"])
 
-    return spark.sql(text).mapInPandas(fit, "image_id long, a double, b double, c double")
+def plane() -> list[tuple[str, str]]:
+    """The plane from covariances: two unknowns by the rule of Cramer, the third from the means."""
+    lum = px.luma()
+    means = ", ".join(f"avg({v}) AS {k}" for k, v in (("mx", "x"), ("my", "y"), ("ml", lum), ("mxx", "x * x"), ("mxy", "x * y"), ("myy", "y * y"), ("mxl", f"x * {lum}"), ("myl", f"y * {lum}")))
+    return [
+        ("means", f"SELECT image_id, {means} FROM unit GROUP BY image_id"),
+        ("spreads", "SELECT image_id, mx, my, ml, mxx - mx * mx AS xx, mxy - mx * my AS xy, myy - my * my AS yy, mxl - mx * ml AS xl, myl - my * ml AS yl FROM means"),
+        ("slopes", "SELECT *, (xl * yy - yl * xy) / (xx * yy - xy * xy) AS a, (yl * xx - xl * xy) / (xx * yy - xy * xy) AS b FROM spreads"),
+        ("result", f"SELECT image_id, {r6('a')} AS a, {r6('b')} AS b, {r6('ml - a * mx - b * my')} AS c FROM slopes"),
+    ]
 
 
-QUERIES = {"response_curve": response_curves, "lstsq_small": lstsq_small}
+QUERIES = {"response_curve": response_curves, "hdr_pipeline": hdr_pipeline, "lstsq_small": lstsq_small}

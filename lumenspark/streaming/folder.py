@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.settings import Settings, tone_map
+from ..operators.mapping import tone_map
+from ..sources.settings import Settings
 
 SCHEMA = "image_id long, y int, x int, r double, g double, b double"
 
