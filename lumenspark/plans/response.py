@@ -32,40 +32,56 @@ def solve(normal: np.ndarray, right: np.ndarray, smooth: float = 500.0) -> np.nd
     return np.linalg.solve(m, right)
 
 
-def _solved(rows: pd.DataFrame) -> pd.DataFrame:
-    normal, right = np.zeros((256, 256)), np.zeros(256)
-    cells = rows[rows.zz >= 0]
-    normal[cells.z, cells.zz] = cells.v
-    sides = rows[rows.zz < 0]
-    right[sides.z] = sides.v
-    return pd.DataFrame({"image_id": rows.image_id.iloc[0], "channel": rows.channel.iloc[0], "z": np.arange(256), "g": np.round(solve(normal, right), 6) + 0.0})
+def _solver(smooth: float):
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        normal, right = np.zeros((256, 256)), np.zeros(256)
+        cells = rows[rows.zz >= 0]
+        normal[cells.z, cells.zz] = cells.v
+        sides = rows[rows.zz < 0]
+        right[sides.z] = sides.v
+        return pd.DataFrame({"image_id": rows.image_id.iloc[0], "channel": rows.channel.iloc[0], "z": np.arange(256), "g": np.round(solve(normal, right, smooth), 6) + 0.0})
 
+    return solved
 
-def response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve of every series and channel (0 red, 1 green, 2 blue): sums by level pairs (at most 256 x 257 rows of a group) and one
-    solve.  A series without static pixels has none."""
-    from .registry import NORMAL
 
-    sums = ("result", "SELECT image_id, channel, z, zz, sum(v) AS v FROM cells GROUP BY image_id, channel, z, zz")
-    cells = spark.sql(spark_text(chain([*closure(["bracket", "frame"], fixtures(True, sf_dir)), *NORMAL, sums])))
-    return cells.groupBy("image_id", "channel").applyInPandas(_solved, "image_id long, channel int, z int, g double")
+def curves_of(framed: DataFrame, count: int = 3, samples: int = 500, smooth: float = 500.0, motion: float = 50.0) -> DataFrame:
+    """The curve of every series and channel (0 red, 1 green, 2 blue) of framed pixels: sums by level pairs (at most 256 x 257 rows of
+    a group) and one solve.  A series without static pixels has none."""
+    text = chain([("framed", "SELECT * FROM {src}"), brackets.masked(brackets.motion_alpha(motion), count), *brackets.sample(samples), *brackets.normal_equations(count), ("result", "SELECT image_id, channel, z, zz, sum(v) AS v FROM cells GROUP BY image_id, channel, z, zz")])
+    cells = framed.sparkSession.sql(spark_text(text), src=framed)
+    return cells.groupBy("image_id", "channel").applyInPandas(_solver(smooth), "image_id long, channel int, z int, g double")
 
 
-def hdr_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracket to bytes: mask, sample, response of the three channels, merge by the solved response, mapping, halves to even.
+def bracket_to_bytes(bracket: DataFrame, count: int, settings, samples: int = 500, smooth: float = 500.0, motion: float = 50.0, scene: float = 0.24) -> DataFrame:
+    """Frames (image_id, frame, y, x, r, g, b, loge) to bytes: mask, sample, response of the three channels, merge by it, mapping.
 
     The curves of a series are one row of three arrays of 256, joined to its pixels by the series; series without a curve take
-    the logarithm of the level.
+    the logarithm of the level.  A pixel that a frame lacks is left out.
     """
-    from .registry import MASKED, NATURAL
-
-    curves = response_curves(spark, sf_dir).groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "g"))), lambda x: x["g"]).alias("g"))
+    spark = bracket.sparkSession
+    framed = spark.sql(spark_text(chain([("bracket", "SELECT * FROM {src}"), brackets.framed("bracket", count), ("result", f"SELECT * FROM framed WHERE {' AND '.join(f'l{f} IS NOT NULL' for f in range(count))}")])), src=bracket)
+    curves = curves_of(framed, count, samples, smooth, motion).groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "g"))), lambda x: x["g"]).alias("g"))
     curves = curves.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == k, F.col("g"))).alias(f"g_{c}") for k, c in enumerate(px.RGB)])
-    pixels = spark.sql(spark_text(chain([*closure(["bracket"], fixtures(True, sf_dir)), *MASKED, ("result", "SELECT * FROM masked")])))
-    joined = pixels.join(curves, "image_id", "left")
-    merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))")
-    plan = mapping.plan(NATURAL, "merged", hdr=True, scene=0.35)
-    return spark.sql(spark_text(chain([("masked", "SELECT * FROM {src}"), *merge, *plan, ("result", mapping.quantized(plan[-1][0]))])), src=joined)
+    merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))", count)
+    plan = mapping.plan(settings, "merged", hdr=True, scene=scene)
+    text = chain([("framed", "SELECT * FROM {src}"), brackets.masked(brackets.motion_alpha(motion), count), *merge, *plan, ("result", mapping.quantized(plan[-1][0]))])
+    return spark.sql(spark_text(text), src=framed.join(curves, "image_id", "left"))
+
+
+def _bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(spark_text(chain([*closure(["bracket"], fixtures(True, sf_dir)), ("result", "SELECT * FROM bracket")])))
+
+
+def response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = spark.sql(spark_text(chain([("bracket", "SELECT * FROM {src}"), brackets.framed(), ("result", "SELECT * FROM framed")])), src=_bracket(spark, sf_dir))
+    return curves_of(framed)
+
+
+def hdr_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets to bytes with the solved response."""
+    from .registry import NATURAL
+
+    return bracket_to_bytes(_bracket(spark, sf_dir), 3, NATURAL, scene=0.35)
 
 
 def lstsq_small(spark: SparkSession, sf_dir: str) -> DataFrame:
