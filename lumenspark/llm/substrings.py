@@ -294,10 +294,15 @@ def repeated(docs: DataFrame, length: int = 400, passage: int = 51) -> DataFrame
     texts = _regions(docs, wanted)
     starts = _sorted_repeats(_bytes_of(texts, length, passage), length, passage, split)
     removed = _removed(texts, starts, length, passage).dropDuplicates(["sha"])
-    copies = slim.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
-    out = slim.join(copies, "sha").join(removed, "sha", "left")
-    whole = (F.col("copies") > 1) & (F.col("n") >= length)
-    shared = (F.col("copies") > 1) & (F.col("w") >= passage)
+    copies = common.staged(slim.groupBy("sha").count().filter("count > 1"), "copies")
+    many = copies.filter(F.col("count") > BLOCK).select("sha")
+    again = F.lit(True)
+    rest, hot = slim, slim.limit(0).withColumn("again", again)
+    if 0 < many.count() <= BROADCAST_GRAMS:  # texts of very many copies go wholly or have nothing to go: their rows join no table
+        rest, hot = slim.join(F.broadcast(many), "sha", "left_anti"), slim.join(F.broadcast(many), "sha", "left_semi").withColumn("again", again)
+    out = rest.join(copies.select("sha", again.alias("again")), "sha", "left").join(removed, "sha", "left").unionByName(hot, allowMissingColumns=True)
+    whole = F.col("again").isNotNull() & (F.col("n") >= length)
+    shared = F.col("again").isNotNull() & (F.col("w") >= passage)
     return out.select(
         "doc_id",
         F.col("n").alias("n_bytes"),
