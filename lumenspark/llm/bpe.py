@@ -196,7 +196,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
     """Encode and decode every whole ``text``: key, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the token ids.
 
     A null or empty text has no tokens (both digests are those of no bytes); rows, ties and repeats stay one to one; other
-    columns are not read.  The rank file is read on the driver and sent as one broadcast (its size is that of a vocabulary).
+    columns are not read; an empty table gives no rows.  The rank file is read on the driver and sent as one broadcast (its size is that of a vocabulary).
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:

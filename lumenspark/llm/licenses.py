@@ -40,7 +40,7 @@ def licenses(docs: DataFrame, texts: dict[str, str] | None = None, key: str = "d
     """key, digest (of the normal form) and license (id, or null) of every document.
 
     Null, empty and sign-only texts match nothing; of known texts with one normal form the first id counts; rows stay one
-    to one; other columns aren't read.  The known digests are as many as ``texts`` and are broadcast.
+    to one, repeated ones too; an empty table gives no rows; other columns aren't read.  The known digests are as many as ``texts`` and are broadcast.
     """
     known = docs.sparkSession.createDataFrame([(i, name, body) for i, (name, body) in enumerate(list(texts.items()) if texts else all_texts())], "at int, license string, body string")
     known = known.groupBy(common.digest(canonical(F.col("body"))).alias("known")).agg(F.min_by("license", "at").alias("license"))

@@ -311,9 +311,12 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The documents of which one row of each component stays: that with the least doc_id, then class.
 
     Rows are told apart by doc_id and class: of rows that share a doc_id (or have none) only those of one component are
-    duplicates.  Rows without words are linked with nothing and all stay.  Texts shuffle only where the rows that go, or
+    duplicates.  Rows without words are linked with nothing and all stay; an empty table gives an empty one.  Other columns are
+    carried, whatever their names.  Texts shuffle only where the rows that go, or
     doc_ids that occur twice, are too many to broadcast; only texts of the latter are read for their classes.
     """
+    columns = docs.columns
+    docs = docs.select(*[docs[c].alias(c if c in ("doc_id", "text") else f"__c{i}") for i, c in enumerate(columns)])
     slim, joined = _grouped(docs, words, percent)
     blank = F.length(F.translate(F.coalesce(docs["text"], F.lit("")), common.WHITE_CHARS, "")) == 0
     full = slim.filter("n > 0")
@@ -332,4 +335,4 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         lost = _few(gone.join(twice.withColumnRenamed("__id", "__twice"), F.col("__id").eqNullSafe(F.col("__twice")), "left_semi"), BROADCAST_CLASSES)
         shared = shared.join(lost, (F.col("__cls") == F.col("__gone")) & shared["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
         kept = kept.unionByName(shared.dropDuplicates(["doc_id", "__cls"]).drop("__cls"))
-    return kept.unionByName(docs.filter(blank))
+    return kept.unionByName(docs.filter(blank)).toDF(*columns)

@@ -182,7 +182,8 @@ _READ = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.in
 def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order and store the images; returns the stored table.
 
-    Equal doc_ids stand in the order of their texts, nulls come first; a null text is empty and has the end id alone.
+    Equal doc_ids stand in the order of their texts, nulls come first; a null text is empty and has the end id alone; repeated
+    rows are stored as often as they come; other columns aren't read; an empty table gives no image.
     """
     import hashlib
     import json
@@ -225,7 +226,7 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
 
 
 def read_images(images: DataFrame) -> DataFrame:
-    """Unpack every document from the stored images: doc_id, start, n_tokens, ids_crc32."""
+    """Unpack every document from the stored images: doc_id, start, n_tokens, ids_crc32; without images no rows."""
 
     def scan(batches):
         for batch in batches:

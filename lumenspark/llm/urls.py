@@ -89,7 +89,8 @@ _files: dict[str, RuleFile] = {}
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule (the longest that fits, else null) and verdict (its own, else ``default``) of each url.
 
-    Null, empty and scheme-less urls have empty host and path and no rule; rows stay one to one; other columns aren't read.
+    Null, empty and scheme-less urls have empty host and path and no rule; no two rules that fit a url are of one length (one
+    host, one path); rows stay one to one, repeated ones too; an empty table gives no rows; other columns aren't read.
     The file goes to executors through Spark's file distribution: each has one local copy, whose pages its workers share.
     """
     spark = pages.sparkSession

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenspark.llm import bpe, components, decontaminate, licenses, ngram_join, quality, queries, secrets, sharding, substrings, suffixes, token_files, urls
+from lumenspark.llm import bpe, common, components, decontaminate, licenses, ngram_join, quality, queries, secrets, sharding, substrings, suffixes, token_files, urls
 from lumenspark.llm.license_texts import TEXTS
 
 random.seed(5)
@@ -164,7 +164,12 @@ def test_licenses(spark):
 def test_urls(spark):
     rows = ["http://a.example.com/en/x?q", "HTTP://WWW.Example.COM/en/", "https://x.net/es/1#f", "x.net/es/", None, "", "ftp://com/", "http://net", "://net/fr/?", "http://user@b.net:80/fr/", "http://xcom/", "http://a.net/es"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(rows)], "page_id long, url string, host string")
-    assert got(urls.judge(pages, queries.URL_RULES), "page_id", "host", "path", "rule", "verdict") == sorted(((i, *brute.url_verdict(u, queries.URL_RULES)) for i, u in enumerate(rows)), key=repr)
+    expected = sorted(((i, *brute.url_verdict(u, queries.URL_RULES)) for i, u in enumerate(rows)), key=repr)
+    assert got(urls.judge(pages, queries.URL_RULES), "page_id", "host", "path", "rule", "verdict") == expected
+    assert got(urls.judge(pages.unionByName(pages), queries.URL_RULES), "page_id", "host", "path", "rule", "verdict") == sorted(expected * 2, key=repr)
+    assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0 and {r.verdict for r in urls.judge(pages, []).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://" + "a." * 5000 + "example.com/en/" + "x" * 100_000, "h")], "page_id long, url string, host string")
+    assert [r.rule for r in urls.judge(long, queries.URL_RULES).collect()] == ["example.com/en/"]
 
 
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 31])
@@ -266,6 +271,33 @@ def test_pipeline(spark):
             assert r.ids == encoding.encode_ordinary(read[r.doc_id])
 
 
+def test_stages_take_any_rows(spark, tmp_path):
+    passage = prose(30, 77)
+    texts = [None, "", " \n", "x", prose(400, 60), prose(400, 60), prose(400, 61) + " password=hunter2hunter2", prose(200, 62) + " " + passage + " " + prose(200, 63), prose(60_000, 64), prose(400, 65)]
+    names = ["__hit", "__c0", "__t", "__id", "host", "failed", "hit", "spans", "kept", "n_words", "cls", "token", "rep"]
+    rows = [(i if i not in (4, 9) else None, t, "en", None if i % 2 else "s", len(t or ""), *names) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[8]], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` string" for c in names)])).repartition(3)
+    spark.createDataFrame([(1, passage), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = docs
+    for name, stage in corpus_pipeline.STAGES:
+        given = stage(spark, docs, str(tmp_path))
+        if name == "tokenize":
+            break
+        assert given.columns == docs.columns and all(tuple(r[5:]) == tuple(names) for r in given.collect()), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = common.staged(given, "stage")
+    kept = [(r.doc_id, r.n_tokens) for r in given.collect()]
+    assert sorted((repr(i) for i, _ in kept)) == ["5", "6", "8", "None"] and all(n > 300 for _, n in kept)
+
+
+@pytest.mark.parametrize("block", [1, 2000])
+def test_many_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    rows = [(i, t) for i, t in enumerate([prose(100, 70)] * 5 + [prose(20, 71)] * 4 + [prose(52, 72)[:380]] * 3 + [prose(100, 73), None, None, "", ""])]
+    expected = sorted(((*a, b) for a, b in zip(brute.repeated(rows), brute.passage_words(rows), strict=True)), key=repr)
+    assert got(substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words") == expected
+
+
 def test_one_of_each_decides_by_row(spark):
     a, b, c, d = prose(200, 21), prose(200, 22), prose(200, 23), prose(200, 24)
     near = b.replace(b.split()[100], "changed", 1)
