@@ -25,6 +25,11 @@ def _light(f: int) -> str:
     return f"({px.luma(*(f'{c}{f}' for c in RGB))} / 255.0e0)"
 
 
+def scene(count: int = 3) -> tuple[str, str]:
+    """scene: average luminance of the frames of each image, from 0 to 1."""
+    return "scene", f"SELECT image_id, greatest(0.0e0, least(1.0e0, avg(({' + '.join(_light(f) for f in range(count))}) / {n(count)}))) AS scene FROM framed GROUP BY image_id"
+
+
 def motion_alpha(strength: float) -> float:
     """Of a motion strength from 1 to 100; nothing counts as motion at 0 or below."""
     return max(1.0, min(100.0, strength)) * 0.12 if strength > 0 else 0.0
@@ -36,8 +41,9 @@ def masked(alpha: float, count: int = 3) -> tuple[str, str]:
     return "masked", f"SELECT *, exp(-3.0e0 * {n(alpha)} * ({terms})) AS m FROM framed"
 
 
-def merged(response: Callable[[str, str], str], count: int = 3) -> list[tuple[str, str]]:
-    """Radiance: weighted means over frames of ``response(channel, level)`` less the exposure; the darkest frame without weights."""
+def merged(response: Callable[[str, str], str], count: int = 3, carried: str = "") -> list[tuple[str, str]]:
+    """Radiance: weighted means over frames of ``response(channel, level)`` less the exposure; the darkest frame without weights.  ``carried``: further
+    columns, each with a comma behind."""
     gate = f"CASE WHEN m > {n(STATIC)} THEN 1.0e0 ELSE 0.0e0 END"
     weights = ", ".join(f"least({', '.join(px.hat_weight(f'{c}{f}') for c in RGB)}) * {gate if f else '1.0e0'} AS w{f}" for f in range(count))
     total = " + ".join(f"w{f}" for f in range(count))
@@ -48,7 +54,7 @@ def merged(response: Callable[[str, str], str], count: int = 3) -> list[tuple[st
         darkest = "CASE " + " ".join(f"WHEN l{f} = {least} THEN {light[f]}" for f in range(count)) + " END"
         return f"exp(CASE WHEN {total} > 0.0e0 THEN ({' + '.join(f'{light[f]} * w{f}' for f in range(count))}) / ({total}) ELSE {darkest} END) AS {c}"
 
-    return [("weighted", f"SELECT *, {weights} FROM masked"), ("merged", f"SELECT {KEYS}, {', '.join(channel(c) for c in RGB)} FROM weighted")]
+    return [("weighted", f"SELECT *, {weights} FROM masked"), ("merged", f"SELECT {KEYS}, {carried}{', '.join(channel(c) for c in RGB)} FROM weighted")]
 
 
 def sample(total: int) -> list[tuple[str, str]]:

@@ -14,7 +14,7 @@ from .steps import KEYS, RGB
 SOURCE = ("s_r", "s_g", "s_b")
 
 
-def core(settings: Settings, source: str, hdr: bool, scene: float) -> list[tuple[str, str]]:
+def core(settings: Settings, source: str, hdr: bool, scene: float | str) -> list[tuple[str, str]]:
     """The mapper of the type of settings."""
     s, common, ranges = settings, settings.common(), settings.ranges()
     if isinstance(s, AcesSettings):
@@ -28,33 +28,34 @@ def core(settings: Settings, source: str, hdr: bool, scene: float) -> list[tuple
     raise TypeError(f"no mapper for {type(s).__name__}")
 
 
-def _carried(chain: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The steps with the source pixel as further columns: every projection of pixels begins with their keys."""
-    return [(name, sql.replace(f"SELECT {KEYS},", f"SELECT {KEYS}, {', '.join(SOURCE)},")) for name, sql in chain]
+def _carried(chain: list[tuple[str, str]], columns: tuple[str, ...]) -> list[tuple[str, str]]:
+    """The steps with further columns of the pixels: every projection of pixels begins with their keys."""
+    return [(name, sql.replace(f"SELECT {KEYS},", f"SELECT {KEYS}, {', '.join(columns)},")) for name, sql in chain]
 
 
-def plan(settings: Settings, source: str = "pixels", hdr: bool = False, scene: float = 0.24) -> list[tuple[str, str]]:
+def plan(settings: Settings, source: str = "pixels", hdr: bool = False, scene: float | str = 0.24) -> list[tuple[str, str]]:
     """White balance, mapper, tone boost, dehaze, local contrast, colour temperature, Lab stage, saturation ranges, blend.
 
     The mapper runs for radiance maps, or where its own controls or gamma aren't neutral; otherwise the common controls go to
     the Lab stage and saturation ranges, which mappers apply themselves, are a stage of their own, evaluated on the source.
     Stages without effect leave no step.  The blend takes the source of a single image, but the mapped radiance map.
+    ``scene``: average brightness of the frames of a radiance map, or the column of the source that has it.
     """
     s, ranges = settings, settings.ranges()
     mapped = hdr or not s.core_neutral() or abs(s.gamma - 1) > 1e-5
     weight = max(0.0, min(100.0, s.transparent)) / 100
     carry = (bool(ranges) and not mapped) or (weight > 1e-6)
     out: list[tuple[str, str]] = []
-    at, kept = source, False
+    at, kept = source, ()
 
     def add(chain: list[tuple[str, str]]) -> None:
         nonlocal at
-        out.extend(_carried(chain) if kept else chain)
+        out.extend(_carried(chain, kept) if kept else chain)
         at = out[-1][0]
 
     def keep(name: str) -> None:
         nonlocal at, kept
-        kept = True
+        kept = SOURCE
         out.append((name, f"SELECT {KEYS}, r, g, b, {', '.join(f'{c} AS {k}' for c, k in zip(RGB, SOURCE, strict=True))} FROM {at}"))
         at = name
 
@@ -62,8 +63,10 @@ def plan(settings: Settings, source: str = "pixels", hdr: bool = False, scene: f
         keep("tm_source")
     if s.white_balance_reference_type != "None":
         color = s.white_balance_reference_color
+        kept = (*kept, scene) if hdr and isinstance(scene, str) else kept
         reference = s.white_balance_reference_type.lower()
         add(steps.white_balance(at) if reference == "auto" else steps.white_balance(at, reference, (color.red, color.green, color.blue)))
+    kept = tuple(c for c in kept if c != scene)
     if mapped:
         add(core(s, at, hdr, scene))
     if carry and hdr:

@@ -38,18 +38,22 @@ LOG_AVERAGE = f"exp(avg(ln(greatest({px.luma()}, {n(px.EPS)}))))"
 
 
 def natural(source="pixels", hdr=False, scene=0.24, target=0.24, percentile=1.0, out_gray=0.25, compensate=False, compression=4.0, ev=0.0, brightness=1.0, contrast=1.0, saturation=0.0, gamma=1.0, bypass=True, ranges=()):
-    """Natural tone mapping: compression about the log average, or the LDR bypass where nothing forces compression."""
+    """Natural tone mapping: compression about the log average, or the LDR bypass where nothing forces compression.
+
+    ``scene``: average brightness of the frames of a radiance map, or the column of the source that has it.
+    """
     e, sat = 2.0**ev, max(0.0, px.saturation_multiplier(saturation))
     white = "max(lum)" if percentile >= 1 else f"percentile_cont({percentile}) WITHIN GROUP (ORDER BY lum)"
-    steps = [("nt_lum", f"SELECT {KEYS}, r, g, b, {px.luma()} AS lum FROM {source}"), stats("nt_lum", f"exp(avg(ln(greatest(lum, {n(px.EPS)})))) AS a, max(lum) AS top, {white} AS w", "nt_stats")]
+    seen = f", {scene} AS scene_light" if hdr and isinstance(scene, str) else ""
+    steps = [("nt_lum", f"SELECT {KEYS}, r, g, b, {px.luma()} AS lum{seen} FROM {source}"), stats("nt_lum", f"exp(avg(ln(greatest(lum, {n(px.EPS)})))) AS a, max(lum) AS top, {white} AS w{', max(scene_light) AS scene_light' if seen else ''}", "nt_stats")]
     if bypass and not hdr:
         k = f"{n(e)}" + (f" * {clamp(f'{n(out_gray)} / greatest(a * {n(e)}, {n(px.EPS)})', 0.1, 4.0)}" if compensate else "")
         steps.append(("nt_mapped", f"SELECT p.*, {clamp(f'{px.contrast(f"greatest(lum * {k}, {n(px.EPS)})", max(contrast, 0.0))}' if abs(contrast - 1) >= 1e-6 else f'greatest(lum * {k}, {n(px.EPS)})')} AS m0, {n(sat)} AS s0 FROM nt_lum p JOIN nt_stats USING (image_id)"))
         steps.append(("nt_scaled", f"SELECT {KEYS}, r, g, b, {clamp(f'm0 * {n(max(brightness, 0.0))}')} AS m, {clamp(f'm0 * {n(max(brightness, 0.0))}')} / greatest(lum, {n(px.EPS)}) AS k, s0 FROM nt_mapped"))
     else:
-        t = max(0.01, min(0.99, scene * (target / 0.24))) if hdr else max(target, 0.01)
-        wp = f"greatest(w * {n(t)} / greatest(a, {n(px.EPS)}), 1.0e-3)"
-        steps.append(("nt_image", f"SELECT image_id, a, {n(t)} / greatest(a, {n(px.EPS)}) AS k0, {wp} * {wp} * {n(max(compression, 1e-3))} AS w2, top / (top + a + {n(px.EPS)}) AS dr FROM nt_stats"))
+        t = clamp(f"scene_light * {n(target / 0.24)}", 0.01, 0.99) if seen else n(max(0.01, min(0.99, scene * (target / 0.24))) if hdr else max(target, 0.01))
+        wp = f"greatest(w * {t} / greatest(a, {n(px.EPS)}), 1.0e-3)"
+        steps.append(("nt_image", f"SELECT image_id, a, {t} / greatest(a, {n(px.EPS)}) AS k0, {wp} * {wp} * {n(max(compression, 1e-3))} AS w2, top / (top + a + {n(px.EPS)}) AS dr FROM nt_stats"))
         mean = f"greatest(a * k0, {n(px.EPS)})"
         comp = clamp(f"{n(out_gray)} / greatest({mean} * (1.0e0 + {mean} / w2) / (1.0e0 + {mean}), {n(px.EPS)})", 0.1, 4.0) if compensate else "1.0e0"
         steps.append(("nt_exposed", f"SELECT p.*, greatest(lum, {n(px.EPS)}) AS l1, greatest(lum, {n(px.EPS)}) * k0 * {n(e)} AS ex, w2, dr, {comp} AS bc FROM nt_lum p JOIN nt_image USING (image_id)"))

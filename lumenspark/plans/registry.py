@@ -123,6 +123,7 @@ q(
     f"{r6('CASE WHEN iso IS NULL OR f_number IS NULL OR exposure_time IS NULL THEN -1.0e0 ELSE ln(t) + ln(i / 100.0e0) - 2.0e0 * ln(f) END')} AS log_exposure, {r6('ln(f * f / t * i) / ln(2.0e0)')} AS ev, bias, make, model FROM filled",
 )
 
+q("load_channels", ["raster", "level"], f"SELECT {KEYS}, z AS channel, cast(CASE z WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS double) AS v FROM raster CROSS JOIN level WHERE z < 3 AND y % 10 = 4")
 q("metadata_copy", ["exif"], ("copies", "SELECT frame_id + 1000000 AS frame_id, frame_id AS source_id FROM exif WHERE frame_id % 8 = 3"), f"SELECT c.frame_id, {r6('e.exposure_time')} AS exposure_time, f_number, iso, bias, make, model FROM copies c JOIN exif e ON c.source_id = e.frame_id")
 
 # Aggregates --------------------------------------------------------------------------------------------------------
@@ -179,8 +180,8 @@ q("motion_replace", ["bracket"], br.framed(), ("weighed", f"SELECT *, {_motion}
 q("lut_lookup", ["raster", "response"], f"SELECT {KEYS}, {r6('w')} AS w, {r6('p.g')} AS g FROM raster JOIN (SELECT z, g, w FROM response) p ON r = z")
 MERGE = [*MASKED, *br.merged(lambda c, z: f"ln(({z} + 0.5e0) / 128.5e0)")]
 q("merge_radiance", ["bracket"], *MERGE, f"SELECT {KEYS}, " + ", ".join(f"{r6(c)} AS {c}" for c in RGB) + " FROM merged")
-_hdr = mapping.plan(NATURAL, "merged", hdr=True, scene=0.35)
-q("hdr_tonemapped", ["bracket"], *MERGE, *_hdr, shown(_hdr[-1][0]))
+_hdr = mapping.plan(replace(NATURAL, white_balance_reference_type="Auto"), "lit", hdr=True, scene="scene")
+q("hdr_tonemapped", ["bracket"], *MERGE, br.scene(), ("lit", "SELECT m.*, scene FROM merged m JOIN scene s ON m.image_id = s.image_id"), *_hdr, shown(_hdr[-1][0]))
 q("fallback_frame", ["bracket"], "SELECT image_id, min_by(frame, loge) AS darkest FROM (SELECT DISTINCT image_id, frame, loge FROM bracket) f GROUP BY image_id")
 SAMPLE = [*MASKED, *br.sample(500)]
 q("stratified_sample", ["bracket"], *SAMPLE, f"SELECT {KEYS}, bin FROM sample")

@@ -52,8 +52,9 @@ def curves_of(framed: DataFrame, count: int = 3, samples: int = 500, smooth: flo
     return cells.groupBy("image_id", "channel").applyInPandas(_solver(smooth), "image_id long, channel int, z int, g double")
 
 
-def bracket_to_bytes(bracket: DataFrame, count: int, settings, samples: int = 500, smooth: float = 500.0, motion: float = 50.0, scene: float = 0.24) -> DataFrame:
-    """Frames (image_id, frame, y, x, r, g, b, loge) to bytes: mask, sample, response of the three channels, merge by it, mapping.
+def bracket_to_bytes(bracket: DataFrame, count: int, settings, samples: int = 500, smooth: float = 500.0, motion: float = 50.0) -> DataFrame:
+    """Frames (image_id, frame, y, x, r, g, b, loge) to bytes: mask, sample, response of the three channels, merge by it, mapping
+    about the average light of the frames.
 
     The curves of a series are one row of three arrays of 256, joined to its pixels by the series; series without a curve take
     the logarithm of the level.  A pixel that a frame lacks is left out.
@@ -62,10 +63,11 @@ def bracket_to_bytes(bracket: DataFrame, count: int, settings, samples: int = 50
     framed = spark.sql(spark_text(chain([("bracket", "SELECT * FROM {src}"), brackets.framed("bracket", count), ("result", f"SELECT * FROM framed WHERE {' AND '.join(f'l{f} IS NOT NULL' for f in range(count))}")])), src=bracket)
     curves = curves_of(framed, count, samples, smooth, motion).groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "g"))), lambda x: x["g"]).alias("g"))
     curves = curves.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == k, F.col("g"))).alias(f"g_{c}") for k, c in enumerate(px.RGB)])
-    merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))", count)
-    plan = mapping.plan(settings, "merged", hdr=True, scene=scene)
+    lights = spark.sql(spark_text(chain([("framed", "SELECT * FROM {src}"), brackets.scene(count), ("result", "SELECT * FROM scene")])), src=framed)
+    merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))", count, "scene, ")
+    plan = mapping.plan(settings, "merged", hdr=True, scene="scene")
     text = chain([("framed", "SELECT * FROM {src}"), brackets.masked(brackets.motion_alpha(motion), count), *merge, *plan, ("result", mapping.quantized(plan[-1][0]))])
-    return spark.sql(spark_text(text), src=framed.join(curves, "image_id", "left"))
+    return spark.sql(spark_text(text), src=framed.join(curves, "image_id", "left").join(lights, "image_id"))
 
 
 def _bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def hdr_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brackets to bytes with the solved response."""
     from .registry import NATURAL
 
-    return bracket_to_bytes(_bracket(spark, sf_dir), 3, NATURAL, scene=0.35)
+    return bracket_to_bytes(_bracket(spark, sf_dir), 3, NATURAL)
 
 
 def lstsq_small(spark: SparkSession, sf_dir: str) -> DataFrame:
