@@ -60,9 +60,10 @@ def _merged(lists: list[np.ndarray], n: int) -> np.ndarray:
     return seen
 
 
-def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None, copies: list[int] | None = None) -> tuple[list[int], list[int]]:
+def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None, copies: list[int] | None = None, counted: bool = True) -> tuple[list[int], list[int]]:
     """The root of each set (the place of a set it is connected with) and its number of links, where a linked set counts as
-    often as it has copies.  With ``side``, only sets of two sides are compared."""
+    often as it has copies.  With ``side``, only sets of two sides are compared.  Not ``counted``: candidates that are connected
+    already are not verified again, and numbers of links mean nothing."""
     total = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     sides = np.array(side if side else [0] * total, np.int64)
@@ -110,6 +111,8 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None,
         runs = [entries[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
         seen = _merged(runs[:cut], bound)
         other = np.flatnonzero(seen)
+        if not counted:
+            other = other[label[other] != label[i]]
         need = -(-percent * (size[i] + size[other]) // (100 + percent))
         able = (need <= np.minimum(size[i], size[other])) & (seen[other] + skipped >= need)
         other, need = other[able], need[able]
@@ -216,7 +219,7 @@ def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame
     return stars.unionByName(rows.filter(F.col("token").isin(often)).select(F.col("cls").alias("a"), node.alias("b"))).filter("a <> b").distinct()
 
 
-def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int, counted: bool) -> DataFrame:
     """``cls``, ``root``, ``links`` and ``blocks`` from the search within clusters; ``reps``: rep, cls, copies, cluster, blocks."""
     small = reps.count() <= BROADCAST_CLASSES
     held = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("cluster", "cls", "copies", "blocks", "text")
@@ -231,7 +234,7 @@ def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
         n = rows[classes[0]][2]
         # a task of two blocks compares sets of one with sets of the other, also where one of them is empty
         side = None if task // n == task % n else [int(rows[c][1] == task % n) for c in classes]
-        roots, counts = linked([rows[c][0] for c in classes], percent, side, [rows[c][3] for c in classes])
+        roots, counts = linked([rows[c][0] for c in classes], percent, side, [rows[c][3] for c in classes], counted)
         return pa.RecordBatch.from_pydict({"cls": classes, "root": [classes[r] for r in roots], "links": counts, "blocks": [n] * len(classes)}, schema=schema)
 
     def scan(batches):
@@ -251,7 +254,7 @@ def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     return common.staged(held.mapInArrow(scan, "cls binary, root binary, links long, blocks int"), "searched")
 
 
-def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, words: int, percent: int, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """A row for each document (doc_id, n, cls), and cls, least (doc_id), keeper (the least doc_id, nulls last, then class,
     of the group) and links of each class that is linked with others or has copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
@@ -266,7 +269,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     large = classes.filter("cluster is not null").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1")
     clustered = classes.filter("cluster is not null").join(_few(large, BROADCAST_CLASSES), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    found = _searched(docs, clustered.drop("n"), words, percent)
+    found = _searched(docs, clustered.drop("n"), words, percent, counted)
     whole = found.filter("blocks = 1").select("cls", "root")
     if found.filter("blocks > 1").limit(1).count():
         over = connected(found.filter("blocks > 1").select(F.col("cls").alias("a"), F.col("root").alias("b")))
@@ -317,7 +320,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     columns = docs.columns
     docs = docs.select(*[docs[c].alias(c if c in ("doc_id", "text") else f"__c{i}") for i, c in enumerate(columns)])
-    slim, joined = _grouped(docs, words, percent)
+    slim, joined = _grouped(docs, words, percent, counted=False)
     blank = F.length(F.translate(F.coalesce(docs["text"], F.lit("")), common.WHITE_CHARS, "")) == 0
     full = slim.filter("n > 0")
     rows = full.join(_few(joined.select("cls", "keeper"), BROADCAST_CLASSES), "cls", "left")

@@ -68,6 +68,8 @@ def test_links_match_brute_force():
     sets = [np.unique(np.array([x if r.random() < 0.97 else r.randrange(10**9) for x in base], np.int64)) for _ in range(40)] + [np.unique(np.array([r.randrange(10**9) for _ in range(r.randrange(1, 50))], np.int64)) for _ in range(30)]
     for sides in (None, [i % 2 for i in range(len(sets))]):
         roots = ngram_join.links(sets, 85, sides)
+        again = ngram_join.linked(sets, 85, sides, counted=False)[0]
+        assert [[again[i] == again[j] for j in range(i)] for i in range(len(sets))] == [[roots[i] == roots[j] for j in range(i)] for i in range(len(sets))]
         parent = list(range(len(sets)))
         for i in range(len(sets)):
             for j in range(i):
