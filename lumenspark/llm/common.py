@@ -38,9 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs survive lost executors and recompute nothing."""
+    return staged_at(df, label)[0]
+
+
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, and the path for ``removed``."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more: what came of it has been staged itself."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def digest(data: Column) -> Column:

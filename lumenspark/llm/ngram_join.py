@@ -155,7 +155,7 @@ def _binary(values: list[bytes], times: list[int]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * len(data) + 1, 16, dtype=np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _described(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
     """A row for each document (doc_id, n, cls, and ``sent``, its number of rows of the other kind),
     and rows (token, cls) of the low shingles of each class, or its prefix by hash where that is longer."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sent", pa.int64()), ("cls", pa.binary()), ("token", pa.int64())])
@@ -183,7 +183,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 none = pa.nulls(len(flat), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, _binary(owners, [len(t) for t in tokens]), pa.array(flat)], schema=schema)
 
-    return common.staged(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described")
+    return common.staged_at(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described")
 
 
 def _common(tokens: DataFrame, slim: DataFrame) -> list[int]:
@@ -207,12 +207,13 @@ def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame
     if often:
         several = [r.token for r in many.groupBy("token").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("token").collect()]
         shared = shared.unionByName(many.filter(F.col("token").isin(several)).select("cls", F.lit(2**62).alias("df"), "token"))
-    lists = common.staged(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared")
+    lists, held = common.staged_at(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared")
     sizes = slim.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
     # all shingles of one class alone come first in the order; what the prefix still needs are the rarest shared ones
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
     needed = lists.join(sizes, "cls").withColumn("need", (prefix - (F.col("sent") - F.size("shared"))).cast("int")).filter("need > 0")
     rows = common.staged(needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("x.token", "cls"), "prefixes")
+    common.removed(tokens.sparkSession, held)
     stars = rows.filter(~F.col("token").isin(often)).select(F.col("cls").alias("a"), F.min("cls").over(of_token).alias("b"))
     # nodes of shingles follow all classes but for chance, and are no class themselves
     node = F.unhex(F.concat(F.lit("FF" * 8), F.lpad(F.hex("token"), 16, "0")))
@@ -258,9 +259,10 @@ def _grouped(docs: DataFrame, words: int, percent: int, counted: bool = True) ->
     """A row for each document (doc_id, n, cls), and cls, least (doc_id), keeper (the least doc_id, nulls last, then class,
     of the group) and links of each class that is linked with others or has copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    described = _described(docs, words, percent)
-    slim = described.filter("token is null").select("doc_id", "n", "sent", "cls")
+    described, held = _described(docs, words, percent)
+    slim = common.staged(described.filter("token is null").select("doc_id", "n", "sent", "cls"), "documents")
     pairs = _prefix_links(described.filter("token is not null").select("token", "cls"), slim, percent)
+    common.removed(docs.sparkSession, held)  # the rows of shingles are the largest table here, and the prefixes are staged
     clusters = connected(pairs)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
