@@ -97,7 +97,7 @@ def test_long_words_do_not_collide(spark):
     assert got(found, "doc_id", "n_shingles", "component_id", "n_links") == sorted(((d, 1, d, 0) for d, _ in rows), key=repr)
 
 
-@pytest.mark.parametrize("limit", ["BLOCK", "BLOCK_SHINGLES", "COMMON", "SAMPLED"])
+@pytest.mark.parametrize("limit", ["BLOCK", "BLOCK_SHINGLES", "COMMON"])
 def test_limits_of_tasks_change_nothing(docs, rows, limit, monkeypatch):
     monkeypatch.setattr(ngram_join, limit, 1)
     assert got(ngram_join.components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows), key=repr)
