@@ -46,9 +46,11 @@ STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.staged(docs, f"pipeline-{name}")
-    return docs
+    """The stages one after another; each one's table is deleted when the next one's is written."""
+    docs, before = common.read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = common.staged_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            common.removed(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

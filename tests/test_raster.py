@@ -85,9 +85,9 @@ def test_every_setting_has_an_effect(spark, kind):
     p = image(4, 5)
     df = frame(spark, p).cache()
     assert kind().is_neutral() and mapping.tone_map(df, kind()) is df
-    known = {f.name for f in fields(kind)}
-    for name, value in CHANGES.items():
-        if name in known:
+    known, shared, turn = {f.name for f in fields(kind)}, {f.name for f in fields(st.Settings)}, list(st.TYPES.values()).index(kind)
+    for i, (name, value) in enumerate(CHANGES.items()):
+        if name in known and (name not in shared or i % 4 == turn):  # what all share takes turns
             s = kind(**{name: value})
             assert not s.is_neutral(), name
             assert np.abs(array(mapping.tone_map(df, s)) - p).max() > 1e-4, name
@@ -101,7 +101,7 @@ def test_every_setting_has_an_effect(spark, kind):
 
 
 @pytest.mark.parametrize("kind", list(st.TYPES.values()))
-@pytest.mark.parametrize(("control", "sweep"), [("exposure_ev", [float(x) for x in range(-10, 11)]), ("brightness", [1.0, 1.05, 1.1, 1.3, 1.6])])
+@pytest.mark.parametrize(("control", "sweep"), [("exposure_ev", [float(x) for x in range(-10, 11, 2)]), ("brightness", [1.0, 1.05, 1.1, 1.3, 1.6])])
 def test_monotone(spark, kind, control, sweep):
     df = frame(spark, image(4, 5)).cache()
     means = [mapping.tone_map(df, kind(**{control: v})).selectExpr(f"avg({px.luma()}) AS m", f"{i} AS i") for i, v in enumerate(sweep)]
