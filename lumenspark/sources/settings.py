@@ -41,12 +41,12 @@ class Filter:
 
 
 # The built-in filters, off by default.
-SKIN = Filter("Skin", "Reduces saturation in common skin-tone ranges.", False, -30.0, (
+SKIN = Filter("Skin", "Less saturation where hues are those of skin.", False, -30.0, (
     Range(0.0, 50.0, 0.12, 0.85, 0.20, 1.00, -30.0),
     Range(355.0, 18.0, 0.10, 0.70, 0.25, 1.00, -30.0),
     Range(18.0, 38.0, 0.08, 0.65, 0.18, 0.95, -30.0),
 ))
-GRAY = Filter("Gray color", "Reduces saturation in colors close to neutral gray.", False, -55.0, (Range(0.0, 360.0, 0.0, 0.18, 0.05, 0.95, -55.0),))
+GRAY = Filter("Gray color", "Less saturation where colours are nearly gray.", False, -55.0, (Range(0.0, 360.0, 0.0, 0.18, 0.05, 0.95, -55.0),))
 
 
 @dataclass(frozen=True)
