@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs survive lost executors and recompute nothing."""
-    return staged_at(df, label)[0]
+    return staged_at(df, label, codec)[0]
 
 
-def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def staged_at(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """The same, and the path for ``removed``."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -183,7 +183,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, st
                 none = pa.nulls(len(flat), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, _binary(owners, [len(t) for t in tokens]), pa.array(flat)], schema=schema)
 
-    return common.staged_at(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described")
+    return common.staged_at(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described", "zstd")
 
 
 def _common(tokens: DataFrame, slim: DataFrame) -> list[int]:
@@ -207,12 +207,12 @@ def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame
     if often:
         several = [r.token for r in many.groupBy("token").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("token").collect()]
         shared = shared.unionByName(many.filter(F.col("token").isin(several)).select("cls", F.lit(2**62).alias("df"), "token"))
-    lists, held = common.staged_at(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared")
+    lists, held = common.staged_at(shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared")), "shared", "zstd")
     sizes = slim.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sent").alias("sent"))
     # all shingles of one class alone come first in the order; what the prefix still needs are the rarest shared ones
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
     needed = lists.join(sizes, "cls").withColumn("need", (prefix - (F.col("sent") - F.size("shared"))).cast("int")).filter("need > 0")
-    rows = common.staged(needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("x.token", "cls"), "prefixes")
+    rows = common.staged(needed.select("cls", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("x")).select("x.token", "cls"), "prefixes", "zstd")
     common.removed(tokens.sparkSession, held)
     stars = rows.filter(~F.col("token").isin(often)).select(F.col("cls").alias("a"), F.min("cls").over(of_token).alias("b"))
     # nodes of shingles follow all classes but for chance, and are no class themselves

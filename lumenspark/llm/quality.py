@@ -146,6 +146,6 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
     """
     columns = docs.columns
     carried = [f"__c{i}" for i in range(len(columns))]
-    scored = common.staged(_scored(docs, [docs[c] for c in columns], docs[host], docs[text]).select(*carried, "host", "failed", "doubtful"), "quality-documents")
+    scored = common.staged(_scored(docs, [docs[c] for c in columns], docs[host], docs[text]).select(*carried, "host", "failed", "doubtful"), "quality-documents", "zstd")
     out = judged(scored, host_table(scored.select("host", "failed")))
     return out.filter("kept").select(*[F.col(c).alias(name) for c, name in zip(carried, columns, strict=True)])
