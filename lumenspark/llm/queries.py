@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, licenses, ngram_join, quality, secrets, sharding, substrings, token_files, urls
+from . import bpe, common, decontaminate, fim, licenses, ngram_join, quality, secrets, sharding, substrings, token_files, urls
 
 #: The rules of the URL query.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -53,4 +54,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_ngram_jaccard_join, op3_substring_dedup, op4_byte_bpe, op5_sharding, op6_licenses, op7_url_filter, op8_token_files, op9_decontamination, op10_quality_rules)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(common.read(spark, sf_dir, "documents"), rate=90, spm_rate=20))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_ngram_jaccard_join, op3_substring_dedup, op4_byte_bpe, op5_sharding, op6_licenses, op7_url_filter, op8_token_files, op9_decontamination, op10_quality_rules, op11_fill_in_middle)}

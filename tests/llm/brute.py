@@ -187,3 +187,17 @@ def url_verdict(url, rules, default="allow"):
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(rule) > len(best[0])):
             best = rule, verdict
     return host, path, best and best[0], best[1] if best else default
+
+
+def fill_in_middle(doc_id, text):
+    """n, form, prefix_chars, middle_chars, digests of the output and of the text."""
+    text = text or ""
+    n, digits = len(text), sha("1:" + ("" if doc_id is None else str(doc_id)))
+    h1, h2, h3, h4 = (int(digits[8 * k : 8 * k + 8], 16) for k in range(4))
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, sha(text), sha(text)
+    low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = text[:low], text[low:high], text[high:]
+    spm = h4 % 100 < 20
+    output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return n, "spm" if spm else "psm", low, high - low, sha(output), sha(text)
