@@ -201,3 +201,17 @@ def fill_in_middle(doc_id, text):
     spm = h4 % 100 < 20
     output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
     return n, "spm" if spm else "psm", low, high - low, sha(output), sha(text)
+
+
+def archive_rows(pages, least=0):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of (page_id, html); of equal page ids the first row answers."""
+    key = lambda x: (x[0] is None, x[0] or 0)
+    data = [(p, (h or "").encode(), i) for i, (p, h) in enumerate(pages)]
+    first = {}
+    for p, d, i in sorted(data, key=lambda x: (key(x), x[2])):
+        first.setdefault(d, (p, i))
+    out = []
+    for p, d, i in data:
+        again = len(d) >= least and first[d][1] != i
+        out.append((p, len(d), base64.b32encode(hashlib.sha1(d).digest()).decode(), "revisit" if again else "response", first[d][0] if again else None))
+    return out
