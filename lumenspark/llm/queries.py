@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, fim, licenses, ngram_join, quality, secrets, sharding, substrings, token_files, urls, warc
+from . import bpe, common, decontaminate, fim, licenses, ngram_join, quality, secrets, sharding, substrings, token_alignment, token_files, urls, warc
 
 #: The rules of the URL query.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -63,4 +63,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(common.read(spark, sf_dir, "pages"), revisit_from=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_ngram_jaccard_join, op3_substring_dedup, op4_byte_bpe, op5_sharding, op6_licenses, op7_url_filter, op8_token_files, op9_decontamination, op10_quality_rules, op11_fill_in_middle, op12_warc)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_ngram_jaccard_join, op3_substring_dedup, op4_byte_bpe, op5_sharding, op6_licenses, op7_url_filter, op8_token_files, op9_decontamination, op10_quality_rules, op11_fill_in_middle, op12_warc, op13_token_alignment)}

@@ -215,3 +215,59 @@ def archive_rows(pages, least=0):
         again = len(d) >= least and first[d][1] != i
         out.append((p, len(d), base64.b32encode(hashlib.sha1(d).digest()).decode(), "revisit" if again else "response", first[d][0] if again else None))
     return out
+
+
+def token_alignment(rows):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of (doc_id, text), every text encoded whole."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in visible} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in visible)}
+    a_bytes = {i: bytes(byte[c] for c in t) for t, i in a.get_vocab(with_added_tokens=False).items()}
+    b_bytes = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    found = []
+    for _, text in rows:
+        groups, data = [], (" " + (text or "")).encode()
+        if text:
+            sides = [[(i, a_bytes[i]) for i in a.encode(" " + text, add_special_tokens=False).ids], [(i, b_bytes(i)) for i in b.encode(text)]]
+            if all(b"".join(x for _, x in side) == data for side in sides):
+                ends = []
+                for side in sides:
+                    at, own = 0, []
+                    for i, x in side:
+                        at += len(x)
+                        own.append((at, i))
+                    ends.append(own)
+                low = 0
+                for high in sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}):
+                    groups.append(tuple([i for e, i in own if low < e <= high] for own in ends) if len(data) < 3000 else None)
+                    low = high
+                if groups and groups[0] is None:  # the same by one walk over both sides
+                    groups, both, at = [], sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}), [0, 0]
+                    for high in both:
+                        group = ([], [])
+                        for k in (0, 1):
+                            while at[k] < len(ends[k]) and ends[k][at[k]][0] <= high:
+                                group[k].append(ends[k][at[k]][1])
+                                at[k] += 1
+                        groups.append(group)
+        found.append(groups)
+    counts = Counter(pair for groups in found for pair in {(x, y) for ga, gb in groups for x in set(ga) for y in set(gb)})
+    top = defaultdict(int)
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    out = []
+    for (d, _), groups in zip(rows, found, strict=True):
+        links = Counter()
+        for ga, gb in groups:
+            ca, cb = Counter(ga), Counter(gb)
+            for x, n in ca.items():
+                for y, m in cb.items():
+                    links[x, y] += n * m
+        names = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+        out.append((d, sum(len(ga) for ga, _ in groups), sum(len(gb) for _, gb in groups), len(groups), sum(links.values()), sum(n for p, n in links.items() if counts[p] == top[p[0]]), sum(n * counts[p] for p, n in links.items()), sha(names) if groups else ""))
+    return out
