@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters of text, and distinct segments, after which a block is closed; segments in a row of its list.
-BLOCK, BLOCK_SEGMENTS, LISTED = 32 << 20, 1 << 20, 4096
+BLOCK, BLOCK_SEGMENTS, LISTED = 8 << 20, 1 << 19, 4096
 #: Pairs of one group up to which they are written out; above, equal ids of a group are counted first.
 WIDE = 4096
-#: Segments of texts that are put together at once.
-TOGETHER = 1 << 20
+#: Segments of texts that are put together at once, and segments that are tokenised as one text.
+TOGETHER, JOINED = 1 << 19, 1000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
+_SOFT = re.compile(r" \s|\s ")
 _HEX = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -84,24 +85,42 @@ class Pair:
         return bool(plain and not inner and prefixed)
 
     def cut(self, text: str) -> list[str]:
-        """The segments of a text with a space before it; all of it where the vocabularies don't allow cuts."""
-        return _CUT.split(" " + text) if self.separable else [" " + text]
+        """The segments of a text with a space before it, each without its first space; all of it where the vocabularies don't allow cuts."""
+        if not self.separable:
+            return [text]
+        if text[0] != " " and text[-1] != " " and not _SOFT.search(text):
+            return text.split(" ")
+        return [s[1:] for s in _CUT.split(" " + text)]
+
+    def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and numbers by segment, the same of B, and which segments have their bytes in both; the others have no tokens.
+
+        Segments that end in no white space are tokenised many in a text, which they are cut from by their bytes.
+        """
+        texts = [s.encode() for s in segments]
+        if self.separable and len(segments) > 1 and not any(not s or s[-1].isspace() for s in segments):
+            whole = " ".join(segments)
+            ids = np.array(self.a.encode(" " + whole, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(whole), np.int64)
+            expected = (" " + whole).encode()
+            if all(b"".join(map(table.__getitem__, i.tolist())) == expected for i, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True)):
+                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+                numbers = [np.diff(np.searchsorted(np.cumsum(size[i]), ends, side="right"), prepend=0) for i, size in zip(ids, (self.a_size, self.b_size), strict=True)]
+                return ids[0], numbers[0], ids[1], numbers[1], np.ones(len(segments), bool)
+        a_lists = [e.ids for e in self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+        b_lists = [ids if ids or s else [self.blank] for s, ids in zip(segments, self.b.encode(segments, num_threads=1), strict=True)]
+        same = np.ones(len(segments), bool)
+        for k, text in enumerate(texts):
+            same[k] = all(b"".join(map(table.__getitem__, lists[k])) == b" " + text for lists, table in ((a_lists, self.a_bytes), (b_lists, self.b_bytes)))
+            if not same[k]:
+                a_lists[k] = b_lists[k] = []
+        (a, n_a), (b, n_b) = ((np.array([i for ids in lists for i in ids], np.int64), np.array(list(map(len, lists)), np.int64)) for lists in (a_lists, b_lists))
+        return a, n_a, b, n_b, same
 
     def aligned(self, segments: list[str]) -> tuple[np.ndarray, ...]:
-        """Of segments, each with a space before it: ids of A and numbers by segment, the same of B, tokens of A and B in each group, groups
+        """Of segments (each has a space before it): ids of A and numbers by segment, the same of B, tokens of A and B in each group, groups
         by segment, and which segments have the same bytes in both; the others have no tokens."""
-        a_lists = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b_lists = [ids if ids or s != " " else [self.blank] for s, ids in zip(segments, self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)]
-        bytes_of = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        whole = "".join(segments).encode()
-        same = np.ones(len(segments), bool)
-        if any(bytes_of((i for ids in lists for i in ids), table) != whole for lists, table in ((a_lists, self.a_bytes), (b_lists, self.b_bytes))):
-            for k, s in enumerate(segments):
-                own = s.encode()
-                same[k] = bytes_of(a_lists[k], self.a_bytes) == own == bytes_of(b_lists[k], self.b_bytes)
-                if not same[k]:
-                    a_lists[k] = b_lists[k] = []
-        (a, n_a), (b, n_b) = ((np.array([i for ids in lists for i in ids], np.int64), np.array(list(map(len, lists)), np.int64)) for lists in (a_lists, b_lists))
+        parts = [self._encoded(segments[i : i + JOINED]) for i in range(0, len(segments), JOINED)]
+        a, n_a, b, n_b, same = map(np.concatenate, zip(*parts, strict=True))
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
         sizes = np.stack([np.bincount(np.searchsorted(ends, e), minlength=len(ends)) for e in (a_ends, b_ends)], axis=1)
@@ -120,10 +139,24 @@ def _pair(name: str, held) -> Pair:
     return _pairs[name]
 
 
-def _binary(values: np.ndarray, numbers: np.ndarray) -> pa.Array:
-    """Values row by row as binary."""
-    offsets = np.concatenate([[0], np.cumsum(numbers * values.itemsize * (values.size // max(len(values), 1)))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _packed(a, n_a, b, n_b, sizes, n_groups) -> pa.Array:
+    """A row of 32 bits for each segment: tokens of A and of B, ids of A, ids of B, tokens of A and B in each group."""
+    numbers = 2 + n_a + n_b + 2 * n_groups
+    low = np.cumsum(numbers) - numbers
+    out = np.zeros(int(numbers.sum()), np.uint32)
+    out[low], out[low + 1] = n_a, n_b
+    for values, start, n in ((a, low + 2, n_a), (b, low + 2 + n_a, n_b), (sizes.ravel(), low + 2 + n_a + n_b, 2 * n_groups)):
+        out[_ranges(start, n)] = values
+    offsets = np.concatenate([[0], np.cumsum(4 * numbers)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n_a), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(values: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``_packed`` was given, with twice the groups' numbers."""
+    low = np.cumsum(numbers) - numbers
+    n_a, n_b = values[low].astype(np.int64), values[low + 1].astype(np.int64)
+    n_sizes = numbers - 2 - n_a - n_b
+    return values[_ranges(low + 2, n_a)], n_a, values[_ranges(low + 2 + n_a, n_b)], n_b, values[_ranges(low + 2 + n_a + n_b, n_sizes)], n_sizes
 
 
 def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +215,17 @@ def _segmented(docs: DataFrame, name: str, held, key: str, text: str) -> DataFra
 # 2. Distinct segments -----------------------------------------------------------------------------------------------
 
 
-def _aligned(segments: DataFrame, name: str, held) -> DataFrame:
-    """segment, ids of A and of B (32 bits each), tokens of both in each group, and whether both have the segment's bytes."""
+def _aligned(segments: DataFrame, name: str, sent) -> DataFrame:
+    """segment, its alignment (``_packed``), and whether both tokenizers have its bytes."""
 
     def scan(batches):
-        pair = _pair(name, held)
+        pair = _pair(name, sent)
         for batch in batches:
-            a, n_a, b, n_b, sizes, n_groups, same = pair.aligned(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(a.astype(np.uint32), n_a), _binary(b.astype(np.uint32), n_b), _binary(sizes.astype(np.uint32), n_groups), pa.array(same)], names=["segment", "a", "b", "sizes", "same"])
+            held = sorted(batch.column(0).to_pylist(), key=lambda s: not s or s[-1].isspace())  # those that go alone come together
+            a, n_a, b, n_b, sizes, n_groups, same = pair.aligned(held)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), _packed(a, n_a, b, n_b, sizes, n_groups), pa.array(same)], names=["segment", "alignment", "same"])
 
-    return segments.mapInArrow(scan, "segment string, a binary, b binary, sizes binary, same boolean")
+    return segments.mapInArrow(scan, "segment string, alignment binary, same boolean")
 
 
 # 3. and 4. Blocks ---------------------------------------------------------------------------------------------------
@@ -255,14 +289,12 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch], b_ids: int) -> Iterator[tuple[Block, int, pa.RecordBatch | None]]:
     """(block, its number, some of its texts), and (block, number, None) behind its last text.  Rows come by block, kind and number: values of
     pairs (0), alignments (1), texts (2)."""
-    names = ("a", "b", "sizes")
     held: dict[str, list] = defaultdict(list)
     block, number = None, None
 
     def built() -> Block:
-        parts = {c: [_values(x.column(c), np.uint32) for x in held["aligned"]] for c in names}
-        flat = [np.concatenate([p[k] for p in parts[c]]) for c in names for k in (0, 1)]
-        out = Block(*flat, np.concatenate([x.column("same").to_numpy(zero_copy_only=False) for x in held["aligned"]]), b_ids)
+        parts = [_values(x.column("alignment"), np.uint32) for x in held["aligned"]]
+        out = Block(*_unpacked(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))), np.concatenate([x.column("same").to_numpy(zero_copy_only=False) for x in held["aligned"]]), b_ids)
         if held["values"]:
             out.value(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held["values"]]) for c in ("pair", "n", "best")))
         return out
@@ -377,7 +409,7 @@ class Alignment:
         texts, self._texts_at = common.staged_at(_segmented(docs, name, sent, key, text), "segmented", "zstd")
         listed = texts.filter("segments IS NOT NULL").select("block", "low", F.posexplode("segments").alias("place", "segment")).select("block", (F.col("low") + F.col("place")).alias("place"), "segment")
         distinct, at = common.staged_at(_aligned(listed.select("segment").distinct(), name, sent), "aligned", "zstd")
-        self._joined, self._joined_at = common.staged_at(listed.join(distinct, "segment").select("block", F.lit(1).alias("kind"), "place", "a", "b", "sizes", "same"), "aligned-by-block", "zstd")
+        self._joined, self._joined_at = common.staged_at(listed.join(distinct, "segment").select("block", F.lit(1).alias("kind"), "place", "alignment", "same"), "aligned-by-block", "zstd")
         common.removed(spark, at)
         self._rows = texts.filter("segments IS NULL").select("block", F.lit(2).alias("kind"), F.lit(0).alias("place"), "doc_id", "seq")
         self._seen, self._seen_at = common.staged_at(_counted(_together([self._joined, self._rows]), self.b_ids), "pairs-by-block", "zstd")
