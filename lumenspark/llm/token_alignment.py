@@ -20,20 +20,21 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Characters of text, and distinct segments, after which a block is closed; segments in a row of its list.
 BLOCK, BLOCK_SEGMENTS, LISTED = 8 << 20, 1 << 19, 4096
-#: Pairs of one group up to which they are written out; above, equal ids of a group are counted first.
-WIDE = 4096
+#: Pairs of one group up to which they are written out (above, equal ids of a group are counted first); groups that are written out at once.
+WIDE, STEP = 4096, 1 << 16
 #: Segments of texts that are put together at once, and segments that are tokenised as one text.
 TOGETHER, JOINED = 1 << 19, 1000
 
@@ -139,26 +140,49 @@ def _pair(name: str, held) -> Pair:
     return _pairs[name]
 
 
+#: A first number that says: the row goes on in 32 bits.
+_LONG = 0xFFFF
+
+
 def _packed(a, n_a, b, n_b, sizes, n_groups) -> pa.Array:
-    """A row of 32 bits for each segment: tokens of A and of B, ids of A, ids of B, tokens of A and B in each group."""
+    """A row for each segment: tokens of A and of B, ids of A, ids of B, tokens of A and B in each group; of 16 bits, and of 32 behind ``_LONG`` where
+    a number needs them."""
     numbers = 2 + n_a + n_b + 2 * n_groups
     low = np.cumsum(numbers) - numbers
     out = np.zeros(int(numbers.sum()), np.uint32)
     out[low], out[low + 1] = n_a, n_b
     for values, start, n in ((a, low + 2, n_a), (b, low + 2 + n_a, n_b), (sizes.ravel(), low + 2 + n_a + n_b, 2 * n_groups)):
         out[_ranges(start, n)] = values
-    offsets = np.concatenate([[0], np.cumsum(4 * numbers)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(n_a), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+    if out.size and out.max() >= _LONG:
+        rows = [out[x : x + n] for x, n in zip(low.tolist(), numbers.tolist(), strict=True)]
+        return pa.array([(np.concatenate([np.array([_LONG], np.uint16), r.view(np.uint16)]) if r.max() >= _LONG else r.astype(np.uint16)).tobytes() for r in rows], pa.binary())
+    offsets = np.concatenate([[0], np.cumsum(2 * numbers)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n_a), [None, pa.py_buffer(offsets), pa.py_buffer(out.astype(np.uint16))])
 
 
 def _unpacked(values: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     """What ``_packed`` was given, with twice the groups' numbers."""
     low = np.cumsum(numbers) - numbers
+    if (values[low] == _LONG).any():
+        rows = [values[x : x + n] for x, n in zip(low.tolist(), numbers.tolist(), strict=True)]
+        rows = [r[1:].copy().view(np.uint32) if r[0] == _LONG else r.astype(np.uint32) for r in rows]
+        values, numbers = np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
+        low = np.cumsum(numbers) - numbers
     n_a, n_b = values[low].astype(np.int64), values[low + 1].astype(np.int64)
     n_sizes = numbers - 2 - n_a - n_b
     return values[_ranges(low + 2, n_a)], n_a, values[_ranges(low + 2 + n_a, n_b)], n_b, values[_ranges(low + 2 + n_a + n_b, n_sizes)], n_sizes
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their lowest bytes first, then the next: the higher ones hardly differ, and are packed well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: pa.Scalar) -> np.ndarray:
+    held = data.as_buffer()
+    return np.frombuffer(held, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64) if held is not None and held.size else np.zeros(0, np.int64)
+
+
 def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     """The values of all rows one after another, and their number by row."""
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
@@ -180,7 +204,7 @@ def _ranges(starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 # 1. Segments by block -----------------------------------------------------------------------------------------------
 
 
-def _segmented(docs: DataFrame, name: str, held, key: str, text: str) -> DataFrame:
+def _segmented(docs: DataFrame, name: str, held, key: str, text: str, most: int) -> DataFrame:
     """Rows of texts (block, doc_id, seq: numbers of their segments) and of lists (block, low, segments: those from number ``low`` on)."""
     from pyspark import TaskContext
 
@@ -200,11 +224,11 @@ def _segmented(docs: DataFrame, name: str, held, key: str, text: str) -> DataFra
             for value in batch.column("text"):
                 whole = value.as_py() or ""
                 parts = pair.cut(whole) if whole else []
-                rows.append(np.fromiter(map(place.__getitem__, parts), np.uint32, len(parts)).tobytes())
+                rows.append(_planes(np.fromiter(map(place.__getitem__, parts), np.uint32, len(parts))))
                 size += len(whole)
             none = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), batch.column(0), pa.array(rows, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.list_(pa.string()))], schema=schema)
-            if size >= BLOCK or len(place) >= BLOCK_SEGMENTS:
+            if size >= most or len(place) >= BLOCK_SEGMENTS:
                 yield from lists()
                 block, place, size = block + 1, defaultdict(count().__next__), 0
         yield from lists()
@@ -216,16 +240,15 @@ def _segmented(docs: DataFrame, name: str, held, key: str, text: str) -> DataFra
 
 
 def _aligned(segments: DataFrame, name: str, sent) -> DataFrame:
-    """segment, its alignment (``_packed``), and whether both tokenizers have its bytes."""
+    """segment and its alignment (``_packed``), which has no tokens where a tokenizer loses bytes."""
 
     def scan(batches):
         pair = _pair(name, sent)
         for batch in batches:
             held = sorted(batch.column(0).to_pylist(), key=lambda s: not s or s[-1].isspace())  # those that go alone come together
-            a, n_a, b, n_b, sizes, n_groups, same = pair.aligned(held)
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), _packed(a, n_a, b, n_b, sizes, n_groups), pa.array(same)], names=["segment", "alignment", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), _packed(*pair.aligned(held)[:-1])], names=["segment", "data"])
 
-    return segments.mapInArrow(scan, "segment string, alignment binary, same boolean")
+    return segments.mapInArrow(scan, "segment string, data binary")
 
 
 # 3. and 4. Blocks ---------------------------------------------------------------------------------------------------
@@ -234,35 +257,40 @@ def _aligned(segments: DataFrame, name: str, sent) -> DataFrame:
 class Block:
     """The alignments of a block's segments, by number; pairs of ids are numbers ``a * b_ids + b``."""
 
-    def __init__(self, a, n_a, b, n_b, sizes, n_sizes, same, b_ids: int) -> None:
-        self.a, self.b, self.n_a, self.n_b, self.same, self.b_ids = a.astype(np.int64), b.astype(np.int64), n_a.astype(np.int64), n_b.astype(np.int64), same, b_ids
-        self.sizes, self.n_groups = sizes.reshape(-1, 2).astype(np.int64), n_sizes.astype(np.int64) // 2
-        across = self.sizes[:, 0] * self.sizes[:, 1]
+    def __init__(self, a, n_a, b, n_b, sizes, n_sizes, b_ids: int) -> None:
+        self.a, self.b, self.n_a, self.n_b, self.same = a, b, n_a, n_b, n_a > 0
+        self.sizes, self.n_groups = sizes.reshape(-1, 2), n_sizes // 2
+        across = self.sizes[:, 0].astype(np.int64) * self.sizes[:, 1]
         self.n_links = np.diff(np.concatenate([[0], np.cumsum(across)])[_offsets(self.n_groups)])
         low_a, low_b = (_offsets(self.sizes[:, k])[:-1] for k in (0, 1))
-        owner = np.repeat(np.arange(len(n_a)), self.n_groups)
-        narrow = np.flatnonzero(across <= WIDE)
-        group = np.repeat(narrow, across[narrow])
-        within = _ranges(np.zeros(len(narrow), np.int64), across[narrow])
-        keys = [self.a[low_a[group] + within // self.sizes[group, 1]] * b_ids + self.b[low_b[group] + within % self.sizes[group, 1]]]
-        owners, weights = [owner[group]], [np.ones(len(group), np.int64)]
-        for g in np.flatnonzero(across > WIDE):
-            (ua, ka), (ub, kb) = (np.unique(x[low[g] : low[g] + self.sizes[g, k]], return_counts=True) for k, (x, low) in enumerate(((self.a, low_a), (self.b, low_b))))
-            keys.append((ua[:, None] * b_ids + ub[None, :]).ravel())
-            owners.append(np.full(len(keys[-1]), owner[g]))
-            weights.append((ka[:, None] * kb[None, :]).ravel())
-        key, owner, self.weight = np.concatenate(keys), np.concatenate(owners), np.concatenate(weights)
-        if len(keys) > 1:
-            order = np.argsort(owner, kind="stable")
-            key, owner, self.weight = key[order], owner[order], self.weight[order]
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
-        self.pair_offsets = _offsets(np.bincount(owner, minlength=len(n_a)))
+        known, found, weights, numbers = [], [], [], np.zeros(len(across), np.int64)
+        edges = np.unique([*range(0, len(across), STEP), *np.flatnonzero(across > WIDE), *(np.flatnonzero(across > WIDE) + 1), len(across)])
+        for low, high in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            if across[low] > WIDE:  # a wide group alone: equal ids first
+                (ua, ka), (ub, kb) = (np.unique(x[at[low] : at[low] + self.sizes[low, k]], return_counts=True) for k, (x, at) in enumerate(((a, low_a), (b, low_b))))
+                key, weight = (ua.astype(np.int64)[:, None] * b_ids + ub[None, :]).ravel(), (ka[:, None] * kb[None, :]).ravel()
+                numbers[low] = len(key)
+            else:
+                own = np.arange(low, high)
+                numbers[low:high] = across[low:high]
+                group = np.repeat(own, across[low:high])
+                within, wide = _ranges(np.zeros(high - low, np.int64), across[low:high]), self.sizes[group, 1]
+                key = a[low_a[group] + within // wide].astype(np.int64) * b_ids + b[low_b[group] + within % wide]
+                weight = np.ones(len(key), np.int64)
+            keys, inverse = np.unique(key, return_inverse=True)
+            known.append(keys)
+            found.append(inverse.astype(np.int32))
+            weights.append(weight.astype(np.int32))
+        self.pairs = np.unique(np.concatenate(known)) if known else np.zeros(0, np.int64)
+        self.pair = np.concatenate([np.searchsorted(self.pairs, k)[i].astype(np.int32) for k, i in zip(known, found, strict=True)]) if known else np.zeros(0, np.int32)
+        self.weight = np.concatenate(weights) if weights else np.zeros(0, np.int32)
+        self.pair_offsets = np.concatenate([[0], np.cumsum(numbers)])[_offsets(self.n_groups)]
         self.seen = np.zeros(len(self.pairs), np.int64)
         self._mark, self._segment_mark = np.zeros(len(self.pairs), np.int64), np.zeros(len(n_a), np.int64)
 
     def count(self, seq: np.ndarray) -> None:
         """Count each pair that a text of these segments holds, once."""
-        if not self.same[seq].all():
+        if not len(seq) or not self.same[seq].all():
             return
         self._segment_mark[seq] = np.arange(len(seq))
         own = seq[self._segment_mark[seq] == np.arange(len(seq))]
@@ -287,16 +315,17 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], b_ids: int) -> Iterator[tuple[Block, int, pa.RecordBatch | None]]:
-    """(block, its number, some of its texts), and (block, number, None) behind its last text.  Rows come by block, kind and number: values of
-    pairs (0), alignments (1), texts (2)."""
+    """(block, its number, some of its texts), and (block, number, None) behind its last text.  Rows (block, kind, place, data, n) come by block,
+    kind and place: values of pairs (0: pair, count and whether it is the highest in ``n``), alignments (1: number), texts (2: key)."""
     held: dict[str, list] = defaultdict(list)
     block, number = None, None
 
     def built() -> Block:
-        parts = [_values(x.column("alignment"), np.uint32) for x in held["aligned"]]
-        out = Block(*_unpacked(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))), np.concatenate([x.column("same").to_numpy(zero_copy_only=False) for x in held["aligned"]]), b_ids)
+        parts = [_values(x.column("data"), np.uint16) for x in held["aligned"]]
+        out = Block(*_unpacked(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))), b_ids)
         if held["values"]:
-            out.value(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held["values"]]) for c in ("pair", "n", "best")))
+            keys, n = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held["values"]]).astype(np.int64) for c in ("place", "n"))
+            out.value(keys, n >> 1, n & 1)
         return out
 
     for batch in batches:
@@ -325,7 +354,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], b_ids: int) -> Iterator[tuple[Blo
 def _together(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
+        rows = rows.unionByName(part)
     return rows.repartition("block").sortWithinPartitions("block", "kind", "place")
 
 
@@ -341,11 +370,8 @@ def _counted(rows: DataFrame, b_ids: int) -> DataFrame:
             if block is None:
                 continue
             if texts is not None:
-                flat, numbers = _values(texts.column("seq"), np.uint32)
-                at = _offsets(numbers).tolist()
-                for low, high in zip(at, at[1:], strict=False):
-                    if high > low:
-                        block.count(flat[low:high].astype(np.int64))
+                for data in texts.column("data"):
+                    block.count(_numbers(data))
             else:
                 there = np.flatnonzero(block.seen)
                 for low in range(0, len(there), 100_000):
@@ -365,12 +391,12 @@ def _composed(rows: DataFrame, b_ids: int, groups: bool) -> DataFrame:
                 continue
             if number != known:
                 known, written = number, block.written() if block else None
-            flat, numbers = _values(texts.column("seq"), np.uint32)
+            numbers = pc.fill_null(pc.binary_length(texts.column("data")), 0).to_numpy() // 4
             at, n = _offsets(numbers), texts.num_rows
             low = 0
             while low < n:
                 high = max(low + 1, int(np.searchsorted(at, at[low] + TOGETHER, side="right")) - 1)
-                seq, offsets = flat[at[low] : at[high]].astype(np.int64), at[low : high + 1] - at[low]
+                seq, offsets = np.concatenate([_numbers(x) for x in texts.column("data").slice(low, high - low)]), at[low : high + 1] - at[low]
                 by_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[seq])])[offsets])  # noqa: B023, E731
                 sums = [by_text(getattr(block, c)) if block is not None else np.zeros(high - low, np.int64) for c in _NUMBERS]
                 tokens = (numbers[low:high] > 0) & (by_text(~block.same) == 0 if block is not None else False)
@@ -386,7 +412,7 @@ def _composed(rows: DataFrame, b_ids: int, groups: bool) -> DataFrame:
                     digests.append(sha.hexdigest() if tokens[k] else "")
                     if groups:
                         strings.append(b"".join(pieces).decode())
-                yield pa.RecordBatch.from_arrays([texts.column("doc_id").slice(low, high - low), *(pa.array(np.where(tokens, s, 0), pa.int64()) for s in sums), pa.array(digests), *([pa.array(strings)] if groups else [])], schema=schema)
+                yield pa.RecordBatch.from_arrays([texts.column("place").slice(low, high - low), *(pa.array(np.where(tokens, s, 0), pa.int64()) for s in sums), pa.array(digests), *([pa.array(strings)] if groups else [])], schema=schema)
                 low = high
 
     return rows.mapInArrow(scan, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string" + ", groups string" * groups)
@@ -395,40 +421,52 @@ def _composed(rows: DataFrame, b_ids: int, groups: bool) -> DataFrame:
 # The operator -------------------------------------------------------------------------------------------------------
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """What a job has shuffled is deleted when the job has ended: its result is stored, and nothing reads the shuffle again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Alignment:
     """Steps 1 to 3, stored: ``pairs`` (a, b, n, best: the linked ids, the texts that hold them, and whether n is the highest of a), and
     ``texts``, one row for each text."""
 
-    def __init__(self, docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text") -> None:
+    def __init__(self, docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> None:
         spark = docs.sparkSession
         with open(a, encoding="utf-8") as f, open(b, "rb") as g:
             held = f.read(), g.read()
         name = hashlib.sha256(held[0].encode() + held[1]).hexdigest()
         self.b_ids = len(Pair(*held).b_bytes)
         sent = spark.sparkContext.broadcast(held)  # the size of two vocabularies
-        texts, self._texts_at = common.staged_at(_segmented(docs, name, sent, key, text), "segmented", "zstd")
-        listed = texts.filter("segments IS NOT NULL").select("block", "low", F.posexplode("segments").alias("place", "segment")).select("block", (F.col("low") + F.col("place")).alias("place"), "segment")
-        distinct, at = common.staged_at(_aligned(listed.select("segment").distinct(), name, sent), "aligned", "zstd")
-        self._joined, self._joined_at = common.staged_at(listed.join(distinct, "segment").select("block", F.lit(1).alias("kind"), "place", "alignment", "same"), "aligned-by-block", "zstd")
-        common.removed(spark, at)
-        self._rows = texts.filter("segments IS NULL").select("block", F.lit(2).alias("kind"), F.lit(0).alias("place"), "doc_id", "seq")
-        self._seen, self._seen_at = common.staged_at(_counted(_together([self._joined, self._rows]), self.b_ids), "pairs-by-block", "zstd")
-        sums = self._seen.groupBy("pair").agg(F.sum("n").alias("n"))
-        first = (F.col("pair") - F.col("pair") % self.b_ids) / self.b_ids
-        sums = sums.withColumn("a", first.cast("long"))
-        tops = sums.groupBy("a").agg(F.max("n").alias("top"))
-        self._values, self._values_at = common.staged_at(sums.join(tops, "a").select("pair", "a", "n", (F.col("n") == F.col("top")).alias("best")), "pair-counts")
+        with _tidy(spark):
+            texts = common.staged(_segmented(docs, name, sent, key, text, block), "segmented", "zstd")
+            listed = texts.filter("segments IS NOT NULL").select("block", "low", F.posexplode("segments").alias("place", "segment")).select("block", (F.col("low") + F.col("place")).cast("long").alias("place"), "segment")
+            distinct, at = common.staged_at(_aligned(listed.select("segment").distinct(), name, sent), "aligned", "zstd")
+            none = F.lit(None).cast("long").alias("n")
+            self._joined = common.staged(listed.join(distinct, "segment").select("block", F.lit(1).alias("kind"), "place", "data", none), "aligned-by-block", "zstd")
+            common.removed(spark, at)
+            self._rows = texts.filter("segments IS NULL").select("block", F.lit(2).alias("kind"), F.col("doc_id").alias("place"), F.col("seq").alias("data"), none)
+            self._seen = common.staged(_counted(_together([self._joined, self._rows]), self.b_ids), "pairs-by-block", "zstd")
+            sums = self._seen.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", ((F.col("pair") - F.col("pair") % self.b_ids) / self.b_ids).cast("long"))
+            tops = sums.groupBy("a").agg(F.max("n").alias("top"))
+            self._values = common.staged(sums.join(tops, "a").select("pair", "a", "n", (F.col("n") == F.col("top")).alias("best")), "pair-counts")
 
     @property
     def pairs(self) -> DataFrame:
         return self._values.select("a", (F.col("pair") % self.b_ids).alias("b"), "n", "best")
 
     def texts(self, groups: bool = False) -> DataFrame:
-        values = self._seen.select("block", "pair").join(self._values, "pair").select("block", F.lit(0).alias("kind"), F.lit(0).alias("place"), "pair", "n", F.col("best").cast("long").alias("best"))
+        values = self._seen.select("block", "pair").join(self._values, "pair").select("block", F.lit(0).alias("kind"), F.col("pair").alias("place"), F.lit(None).cast("binary").alias("data"), (F.col("n") * 2 + F.col("best").cast("long")).alias("n"))
         return _composed(_together([values, self._joined, self._rows]), self.b_ids, groups)
 
 
-def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", groups: bool = False, block: int = BLOCK) -> DataFrame:
     """Alignment of every whole text by tokenizers ``a`` (a tokenizers file, byte-level BPE) and ``b`` (a sentencepiece model): doc_id, n_a,
     n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with ``groups`` the groups as text.
 
@@ -436,4 +474,4 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     digest.  Rows, ties, repeats and null keys stay one to one, each row counts as a document; other columns aren't read; an empty
     table gives no rows.
     """
-    return Alignment(docs, a, b, key, text).texts(groups)
+    return Alignment(docs, a, b, key, text, block).texts(groups)

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -38,21 +39,32 @@ def test_segments_have_the_tokens_of_their_texts(pair):
     assert not pair.aligned(["a▁b"])[-1].any()
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK": 40, "LISTED": 3, "WIDE": 2, "TOGETHER": 5, "JOINED": 4}, {"BLOCK_SEGMENTS": 10, "WIDE": 0}])
-def test_edges(spark, limits):
+@pytest.mark.parametrize("limits", [{"WIDE": 2, "_LONG": 400}, {"WIDE": 0, "STEP": 3}, {"STEP": 1, "JOINED": 4}])
+def test_limits_change_nothing(pair, limits, monkeypatch):
+    segments = sorted({s for text in [*mixed(60, 3), "ab" * 300] for s in pair.cut(text)})
+
+    def held():
+        packed = token_alignment._packed(*pair.aligned(segments)[:-1])
+        block = token_alignment.Block(*token_alignment._unpacked(*token_alignment._values(packed, np.uint16)), len(pair.b_bytes))
+        for k in range(0, len(segments), 7):
+            block.count(np.arange(k, min(len(segments), k + 9)))
+        block.value(block.pairs, block.seen + 1, block.seen % 2)
+        return [block.pairs.tolist(), block.seen.tolist(), block.count_sum.tolist(), block.n_best.tolist(), block.n_links.tolist(), block.written().to_pylist()]
+
+    expected = held()
+    for k, v in limits.items():
+        monkeypatch.setattr(token_alignment, k, v)
+    assert held() == expected
+
+
+@pytest.mark.parametrize("block", [token_alignment.BLOCK, 40])
+def test_edges(spark, block):
     texts = [*mixed(150, 2), None, "", " ", "  ", " a", "a ", "a▁b ▁", "▁", "tie", "tie", "ab" * 3000, "\U0001f1e9" * 400, "word " * 20_000]
     rows = [(None if i == 3 else i if i != 20 else 19, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(d, t, 1, "s", True) for d, t in rows], "doc_id long, text string, block int, segment string, same boolean").repartition(4)
-    before = {k: getattr(token_alignment, k) for k in limits}
-    try:
-        for k, v in limits.items():
-            setattr(token_alignment, k, v)
-        found = token_alignment.align(docs, A, B, groups=True)
-        assert sorted(map(tuple, found.select(*COLUMNS).collect()), key=repr) == sorted(brute.token_alignment(rows), key=repr)
-        assert found.filter(F.col("groups_sha256") != F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).count() == 0
-    finally:
-        for k, v in before.items():
-            setattr(token_alignment, k, v)
+    found = token_alignment.align(docs, A, B, groups=True, block=block)
+    assert sorted(map(tuple, found.select(*COLUMNS).collect()), key=repr) == sorted(brute.token_alignment(rows), key=repr)
+    assert found.filter(F.col("groups_sha256") != F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).count() == 0
 
 
 def test_pairs_and_empty(spark):
