@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import pixel as px
 from .functions.dialect import chain, spark_text
-from .operators import brackets, catalog, mapping, steps
+from .operators import brackets, catalog, mapping, registration, steps
 from .plans.response import bracket_to_bytes
 from .sources import images
 from .sources.settings import NaturalSettings, Settings, from_xml, load_presets
@@ -49,8 +49,11 @@ def series_of(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, named.join(members.select("folder", "path"), ["folder", "path"], "left_anti")
 
 
-def process(spark: SparkSession, folder: str, out: str, settings: Settings | None = None, samples: int = 1000, smooth: float = 300.0, motion: float = 80.0) -> tuple[list[str], list[str]]:
-    """Names of the files written for brackets and for singles; metadata blocks are copied from the first or only file."""
+def process(spark: SparkSession, folder: str, out: str, settings: Settings | None = None, samples: int = 1000, smooth: float = 300.0, motion: float = 80.0, align: bool = True, subpixel: bool = False) -> tuple[list[str], list[str]]:
+    """Names of the files written for brackets and for singles; metadata blocks are copied from the first or only file.
+
+    Frames are moved onto the first one of their bracket before they are merged, unless ``align`` is false; ``subpixel`` refines the shifts.
+    """
     settings = settings or NaturalSettings()
     found, frames = cataloged(spark, folder)
     work = f"{out}/.work"
@@ -62,6 +65,9 @@ def process(spark: SparkSession, folder: str, out: str, settings: Settings | Non
     for row in members.select("size").distinct().orderBy("size").collect():
         of_size = members.filter(F.col("size") == row["size"])
         bracket = read.join(of_size.select("source", "series", "frame", "loge"), "source").select(F.xxhash64("series").alias("image_id"), "frame", "y", "x", "r", "g", "b", "loge")
+        if align:
+            lights = of_size.select(F.xxhash64("series").alias("image_id"), "frame", "loge")
+            bracket = registration.align(bracket, subpixel)[0].join(lights, ["image_id", "frame"])
         heads = of_size.filter("frame = 0").select(F.xxhash64("series").alias("image_id"), "source", "path")
         done = images.encode(bracket_to_bytes(bracket, row["size"], settings, samples, smooth, motion), exif=heads.join(blocks, "source"))
         merged += images.save(done.join(heads, "image_id").withColumn("name", _name()), f"{out}/Hdr")
@@ -86,6 +92,8 @@ def main() -> None:
     parser.add_argument("--settings", help="settings file (XML)")
     parser.add_argument("--presets", help="folder of saturation filters")
     parser.add_argument("--log", help="file for the log")
+    parser.add_argument("--no-align", action="store_true", help="merge frames as they are")
+    parser.add_argument("--subpixel", action="store_true", help="shifts in quarters of a pixel")
     given = parser.parse_args()
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s", filename=given.log)
     settings = NaturalSettings()
@@ -94,7 +102,7 @@ def main() -> None:
             settings = from_xml(f.read())
     settings = mapping.with_presets(settings, load_presets(given.presets or settings.saturation_filter_presets_directory))
     spark = SparkSession.builder.appName("lumenspark batch").getOrCreate()
-    process(spark, given.folder, given.out, settings)
+    process(spark, given.folder, given.out, settings, align=not given.no_align, subpixel=given.subpixel)
     spark.stop()
 
 

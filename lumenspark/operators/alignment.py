@@ -182,7 +182,8 @@ def subpixel(reference: str, candidate: str, centres: str, w: int, h: int, strid
 
 def resampled(source: str, transforms: str, w: int, h: int, fill: str | None = None) -> list[tuple[str, str]]:
     """``resampled``: bytes of the source by each image's transform (dx, dy, cosine c, sine s), bilinear.  Pixels that come from
-    outside are black, the pixel itself (``own``), or that of another image table of full size, the reference.
+    outside are black, the pixel itself (``own``), or that of another image table of full size, the reference.  An image that stays
+    where it is is kept as it is.
 
     The four taps of each destination pixel are met in one join and summed in one grouping, which carries the fill along.
     """
@@ -193,9 +194,9 @@ def resampled(source: str, transforms: str, w: int, h: int, fill: str | None = N
     kept = lambda c: f"f_{c}" if fill else "0"
     return [
         ("rs_taps", taps),
-        ("rs_places", f"SELECT p.image_id, y, x, r AS f_r, g AS f_g, b AS f_b, {rounded(sx, 9)} AS sx, {rounded(sy, 9)} AS sy FROM {grid} p JOIN {transforms} t ON p.image_id = t.image_id"),
+        ("rs_places", f"SELECT p.image_id, y, x, r AS f_r, g AS f_g, b AS f_b, {rounded(sx, 9)} AS sx, {rounded(sy, 9)} AS sy, CASE WHEN dx = 0 AND dy = 0 AND abs(s) < 1.0e-5 THEN 1 ELSE 0 END AS still FROM {grid} p JOIN {transforms} t ON p.image_id = t.image_id"),
         ("rs_cells", "SELECT *, cast(floor(sx) AS int) AS x0, cast(floor(sy) AS int) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM rs_places"),
-        ("rs_tapped", f"SELECT image_id, y, x, f_r, f_g, f_b, x0 + tx AS tx, y0 + ty AS ty, {share} AS share FROM rs_cells CROSS JOIN rs_taps"),
-        ("rs_sums", "SELECT t.image_id, t.y, t.x, max(f_r) AS f_r, max(f_g) AS f_g, max(f_b) AS f_b, count(p.r) AS found, " + ", ".join(f"sum(share * p.{c}) AS {c}" for c in RGB) + f" FROM rs_tapped t LEFT JOIN {source} p ON t.image_id = p.image_id AND t.ty = p.y AND t.tx = p.x GROUP BY t.image_id, t.y, t.x"),
-        ("resampled", f"SELECT {KEYS}, " + ", ".join(f"CASE WHEN found = 4 THEN cast(ROUND_EVEN({rounded(c, 6)}, 0) AS int) ELSE {kept(c)} END AS {c}" for c in RGB) + " FROM rs_sums"),
+        ("rs_tapped", f"SELECT image_id, y, x, f_r, f_g, f_b, still, x0 + tx AS tx, y0 + ty AS ty, {share} AS share FROM rs_cells CROSS JOIN rs_taps"),
+        ("rs_sums", "SELECT t.image_id, t.y, t.x, max(f_r) AS f_r, max(f_g) AS f_g, max(f_b) AS f_b, max(still) AS still, count(p.r) AS found, " + ", ".join(f"sum(share * p.{c}) AS {c}" for c in RGB) + f" FROM rs_tapped t LEFT JOIN {source} p ON t.image_id = p.image_id AND t.ty = p.y AND t.tx = p.x GROUP BY t.image_id, t.y, t.x"),
+        ("resampled", f"SELECT {KEYS}, " + ", ".join(f"CASE WHEN found = 4 OR still = 1 AND found > 0 THEN cast(ROUND_EVEN({rounded(c, 6)}, 0) AS int) ELSE {kept(c)} END AS {c}" for c in RGB) + " FROM rs_sums"),
     ]

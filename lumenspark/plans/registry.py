@@ -123,8 +123,8 @@ q(
     f"{r6('CASE WHEN iso IS NULL OR f_number IS NULL OR exposure_time IS NULL THEN -1.0e0 ELSE ln(t) + ln(i / 100.0e0) - 2.0e0 * ln(f) END')} AS log_exposure, {r6('ln(f * f / t * i) / ln(2.0e0)')} AS ev, bias, make, model FROM filled",
 )
 
-q("load_channels", ["raster", "level"], f"SELECT {KEYS}, z AS channel, cast(CASE z WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS double) AS v FROM raster CROSS JOIN level WHERE z < 3 AND y % 10 = 4")
-q("metadata_copy", ["exif"], ("copies", "SELECT frame_id + 1000000 AS frame_id, frame_id AS source_id FROM exif WHERE frame_id % 8 = 3"), f"SELECT c.frame_id, {r6('e.exposure_time')} AS exposure_time, f_number, iso, bias, make, model FROM copies c JOIN exif e ON c.source_id = e.frame_id")
+q("load_channels", ["raster", "level"], f"SELECT {KEYS}, z AS channel, cast(CASE z WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS double) AS v FROM raster CROSS JOIN level WHERE z < 3")
+q("metadata_copy", ["exif"], ("copies", "SELECT frame_id + 1000000 AS frame_id, frame_id AS source_id FROM exif"), f"SELECT c.frame_id, {r6('e.exposure_time')} AS exposure_time, f_number, iso, bias, make, model FROM copies c JOIN exif e ON c.source_id = e.frame_id")
 
 # Aggregates --------------------------------------------------------------------------------------------------------
 q("target_brightness", ["bracket"], ("each", f"SELECT image_id, frame, avg({px.luma()} / 255.0e0) AS m FROM bracket GROUP BY image_id, frame"), f"SELECT image_id, {r6(clamp('avg(m)'))} AS target FROM each GROUP BY image_id")
@@ -204,9 +204,6 @@ q("best_shift", ["gray"], *_small, *al.best("scores", "pairs", "best"), "SELECT
 _moved = ("moved", f"SELECT image_id, y + 5 - cast(image_id % 11 AS int) AS y, x + cast(image_id % 7 AS int) - 3 AS x, v, valid, {W} AS w, {H} AS h FROM gray WHERE y + 5 - cast(image_id % 11 AS int) BETWEEN 0 AND {H - 1} AND x + cast(image_id % 7 AS int) - 3 BETWEEN 0 AND {W - 1}")
 _translation = [("ref_gray", f"SELECT image_id, y, x, v, 1 AS valid, {W} AS w, {H} AS h FROM gray"), _moved, *al.translation("ref_gray", "moved", W, H)]
 q("align_translation", ["gray"], *_translation, f"SELECT image_id, dx, dy, {r6('score')} AS score FROM translation")
-_turned = ("turned", f"SELECT p.image_id, p.y, p.x, coalesce(g.v, 0) AS v, CASE WHEN g.v IS NULL THEN 0 ELSE 1 END AS valid, {W} AS w, {H} AS h FROM (SELECT image_id, y, x, {al.turned('x', 'y', -1.5, W, H)} FROM smooth) p LEFT JOIN smooth g ON p.image_id = g.image_id AND p.ny = g.y AND p.nx = g.x")
-_rotation = [_turned, *al.rotation("smooth", "turned", W, H)]
-q("align_rotation", ["smooth"], *_rotation, f"SELECT image_id, dx, dy, angle, {r6('score')} AS score FROM transform")
 _half = ("shifted", f"SELECT image_id, y, x, v0 + ((v1 - v0) DIV 2) AS v, 1 AS valid, {W} AS w, {H} AS h FROM (SELECT image_id, y, x, v AS v0, coalesce(lead(v) OVER (PARTITION BY image_id, y ORDER BY x), v) AS v1 FROM smooth) t")
 _subpixel = [_half, ("centres", "SELECT DISTINCT image_id, 0 AS dx, 0 AS dy FROM smooth"), *al.subpixel("smooth", "shifted", "centres", W, H, stride=4)]
 q("subpixel_corr", ["smooth"], *_subpixel, f"SELECT image_id, dx, dy, {r6('corr')} AS corr FROM correlations")
@@ -241,12 +238,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import response
+    from . import aligned, response
 
-    return {name: _query(name) for name in Q} | response.QUERIES
+    return {name: _query(name) for name in Q} | response.QUERIES | aligned.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import response
+    from . import aligned, response
 
-    return {name: render(name, False) for name in Q} | {"lstsq_small": duck_text(chain([*closure(["unit"], fixtures(False, "")), *response.plane()]))}
+    return {name: render(name, False) for name in Q} | {"lstsq_small": duck_text(chain([*closure(["unit"], fixtures(False, "")), *response.plane()]))} | aligned.oracle_sql()

@@ -11,6 +11,7 @@ from ..functions import pixel as px
 from ..functions.dialect import chain, r6, spark_text
 from ..operators import brackets, mapping
 from ..sources.fixtures import closure, fixtures
+from ..storage import Stage
 
 #: Ridge on the diagonal, level whose response is fixed at 0, and its weight.
 RIDGE, ANCHOR = 1e-8, 128
@@ -57,17 +58,20 @@ def bracket_to_bytes(bracket: DataFrame, count: int, settings, samples: int = 50
     about the average light of the frames.
 
     The curves of a series are one row of three arrays of 256, joined to its pixels by the series; series without a curve take
-    the logarithm of the level.  A pixel that a frame lacks is left out.
+    the logarithm of the level.  A pixel that a frame lacks is left out.  The framed pixels and the radiance are stored once each in the
+    shared folder: curves, light and statistics read them there.
     """
     spark = bracket.sparkSession
-    framed = spark.sql(spark_text(chain([("bracket", "SELECT * FROM {src}"), brackets.framed("bracket", count), ("result", f"SELECT * FROM framed WHERE {' AND '.join(f'l{f} IS NOT NULL' for f in range(count))}")])), src=bracket)
+    stage = Stage(spark, "bracket")
+    framed = stage.put(spark.sql(spark_text(chain([("bracket", "SELECT * FROM {src}"), brackets.framed("bracket", count), ("result", f"SELECT * FROM framed WHERE {' AND '.join(f'l{f} IS NOT NULL' for f in range(count))}")])), src=bracket))
     curves = curves_of(framed, count, samples, smooth, motion).groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "g"))), lambda x: x["g"]).alias("g"))
     curves = curves.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == k, F.col("g"))).alias(f"g_{c}") for k, c in enumerate(px.RGB)])
     lights = spark.sql(spark_text(chain([("framed", "SELECT * FROM {src}"), brackets.scene(count), ("result", "SELECT * FROM scene")])), src=framed)
     merge = brackets.merged(lambda c, z: f"coalesce(get(g_{c}, {z}), ln(({z} + 0.5e0) / 128.5e0))", count, "scene, ")
+    text = chain([("framed", "SELECT * FROM {src}"), brackets.masked(brackets.motion_alpha(motion), count), *merge, ("result", "SELECT * FROM merged")])
+    merged = stage.put(spark.sql(spark_text(text), src=framed.join(curves, "image_id", "left").join(lights, "image_id")))
     plan = mapping.plan(settings, "merged", hdr=True, scene="scene")
-    text = chain([("framed", "SELECT * FROM {src}"), brackets.masked(brackets.motion_alpha(motion), count), *merge, *plan, ("result", mapping.quantized(plan[-1][0]))])
-    return spark.sql(spark_text(text), src=framed.join(curves, "image_id", "left").join(lights, "image_id"))
+    return spark.sql(spark_text(chain([("merged", "SELECT * FROM {src}"), *plan, ("result", mapping.quantized(plan[-1][0]))])), src=merged)
 
 
 def _bracket(spark: SparkSession, sf_dir: str) -> DataFrame:

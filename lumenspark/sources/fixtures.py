@@ -32,6 +32,7 @@ def fixtures(spark: bool, sf_dir: str) -> dict[str, tuple[list[str], str]]:
     # a dark scene, so that the bright frame is clipped in highlights only
     scene = lambda c: f"(3 * {c} DIV 8)"
     byte = lambda c: f"cast(CASE WHEN {moved} THEN 255 - {scene(c)} ELSE least(255, floor({scene(c)} * (CASE frame {scale} END))) END AS int)"
+    around = lambda line, order: f"OVER (PARTITION BY image_id, {line} ORDER BY {order} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
     kind = "CASE event_type WHEN 'view' THEN 0.0e0 WHEN 'click' THEN -2.0e0 WHEN 'purchase' THEN 2.0e0 END"
     folder, number = "lpad(cast(event_id DIV 16 AS string), 6, '0')", "lpad(cast(event_id AS string), 8, '0')"
     return {
@@ -43,7 +44,10 @@ def fixtures(spark: bool, sf_dir: str) -> dict[str, tuple[list[str], str]]:
         "gray": (["raster"], "SELECT image_id, y, x, (54 * r + 183 * g + 19 * b) DIV 256 AS v, CASE WHEN (x + y) % 7 = 0 THEN 0 ELSE 1 END AS valid, 64 AS w, 100 AS h FROM raster"),
         "level": ([], series("z", 0, 255, spark)),
         "response": (["level"], "SELECT z, ln((z + 0.5e0) / 128.5e0) AS g, exp(-((z - 128) / 96.0e0) * ((z - 128) / 96.0e0)) AS w FROM level"),
-        "smooth": (["raster"], "SELECT image_id, y, x, cast(floor(128.0e0 + 50.0e0 * sin(x / 6.0e0 + image_id) * cos(y / 8.0e0) + 40.0e0 * sin((x + 2 * y) / 15.0e0 + image_id) + 20.0e0 * cos((3 * x - y) / 9.0e0)) AS int) AS v, 1 AS valid, 64 AS w, 100 AS h FROM raster"),
+        # means of seven by seven pixels of the raster, with more contrast
+        "soft_lines": (["raster"], f"SELECT image_id, y, x, sum((54 * r + 183 * g + 19 * b) DIV 256) {around('y', 'x')} AS s, count(*) {around('y', 'x')} AS n FROM raster"),
+        "soft": (["soft_lines"], f"SELECT image_id, y, x, sum(s) {around('x', 'y')} AS s, sum(n) {around('x', 'y')} AS n FROM soft_lines"),
+        "smooth": (["soft"], "SELECT image_id, y, x, cast(greatest(0, least(255, 128 + ((s - 128 * n) * 5) DIV n)) AS int) AS v, 1 AS valid, 64 AS w, 100 AS h FROM soft"),
         "catalog": ([], f"SELECT {folder} AS folder, CASE event_id % 16 WHEN 0 THEN concat('IMG', {folder}, '_over.jpg') WHEN 1 THEN concat('IMG', {folder}, '_UNDER.JPG') WHEN 2 THEN concat('img', {folder}, '.jpeg') WHEN 15 THEN concat('p', {number}, '.txt') ELSE concat('p', {number}, '.png') END AS path, CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 16 = 0 THEN 2.0e0 WHEN event_id % 16 = 1 THEN -2.0e0 WHEN event_id % 16 = 2 THEN 0.0e0 ELSE {kind} END AS bias, CASE WHEN user_id % 2 = 0 THEN 64 ELSE 32 END AS width, CASE WHEN user_id % 2 = 0 THEN 100 ELSE 50 END AS height FROM {table('events', spark, sf_dir)}"),
         "exif": ([], f"SELECT event_id AS frame_id, CASE WHEN event_type = 'error' THEN NULL ELSE 1.0e0 / (1 + user_id % 250) END AS exposure_time, CASE WHEN event_type = 'signup' THEN NULL ELSE 2.0e0 + (user_id % 9) END AS f_number, CASE WHEN event_type = 'click' THEN NULL ELSE 100.0e0 * (1 + event_id % 4) END AS iso, cast(event_id % 9 AS double) AS shutter_speed_value, cast(event_id % 7 AS double) AS aperture_value, CASE WHEN event_type = 'error' THEN NULL ELSE event_id % 5 - 2.0e0 END AS bias, CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('maker ', cast(user_id % 3 AS string)) END AS make, concat('model ', cast(user_id % 4 AS string)) AS model FROM {table('events', spark, sf_dir)}"),
     }
