@@ -156,9 +156,9 @@ def _binary(values: list[bytes], times: list[int]) -> pa.Array:
 
 
 def _described(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
-    """A row for each document (doc_id, n, cls, and ``sent``, its number of rows of the other kind),
+    """A row for each document (doc_id, tid: a hash of its text, n, cls, and ``sent``, its number of rows of the other kind),
     and rows (token, cls) of the low shingles of each class, or its prefix by hash where that is longer."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sent", pa.int64()), ("cls", pa.binary()), ("token", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sent", pa.int64()), ("cls", pa.binary()), ("token", pa.int64()), ("tid", pa.int64())])
     bound = int(-(2**63) + 2**64 * min(1.0, LOW * (100 - percent) / 100)) if LOW * (100 - percent) < 100 else 2**63 - 1
 
     def scan(batches):
@@ -177,13 +177,13 @@ def _described(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, st
                     tokens.append(s[: sent[-1]])
                     owners.append(c)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sent, pa.int64()), pa.array(classes, pa.binary()), none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sent, pa.int64()), pa.array(classes, pa.binary()), none, batch.column("tid")], schema=schema)
             if tokens:
                 flat = np.concatenate(tokens)
                 none = pa.nulls(len(flat), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, _binary(owners, [len(t) for t in tokens]), pa.array(flat)], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, _binary(owners, [len(t) for t in tokens]), pa.array(flat), none], schema=schema)
 
-    return common.staged_at(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long"), "described", "zstd")
+    return common.staged_at(docs.mapInArrow(scan, "doc_id long, n long, sent long, cls binary, token long, tid long"), "described", "zstd")
 
 
 def _common(tokens: DataFrame, slim: DataFrame) -> list[int]:
@@ -220,10 +220,28 @@ def _prefix_links(tokens: DataFrame, slim: DataFrame, percent: int) -> DataFrame
     return stars.unionByName(rows.filter(F.col("token").isin(often)).select(F.col("cls").alias("a"), node.alias("b"))).filter("a <> b").distinct()
 
 
+def _once(batches):
+    """Rows of each class once, as far as a task remembers."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for c in batch.column("cls").to_pylist():
+            keep.append(c not in seen)
+            seen.add(c)
+        if len(seen) > 200_000:
+            seen.clear()
+        yield batch if all(keep) else batch.filter(pa.array(keep))
+
+
 def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int, counted: bool) -> DataFrame:
-    """``cls``, ``root``, ``links`` and ``blocks`` from the search within clusters; ``reps``: rep, cls, copies, cluster, blocks."""
+    """``cls``, ``root``, ``links`` and ``blocks`` from the search within clusters; ``reps``: rep, tid, cls, copies, cluster, blocks.
+
+    Texts meet their class by doc_id and the hash of the text: an id alone may have very many texts.  Of repeated rows a task sends one on.
+    """
     small = reps.count() <= BROADCAST_CLASSES
-    held = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("cluster", "cls", "copies", "blocks", "text")
+    reps = reps.withColumnRenamed("tid", "rep_tid")
+    held = docs.join(F.broadcast(reps) if small else reps, docs["doc_id"].eqNullSafe(reps["rep"]) & (docs["tid"] == reps["rep_tid"])).select("cluster", "cls", "copies", "blocks", "text")
+    held = held.mapInArrow(_once, held.schema)
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     held = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumn("task", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
@@ -247,7 +265,7 @@ def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int, counte
                     if rows:
                         yield solved(now[1], rows)
                     now, rows = (cluster, t), {}
-                if _class_of(s) == c:  # a doc_id may have several texts
+                if _class_of(s) == c:  # for texts of equal ids and hashes
                     rows[c] = s, b, n, m
         if rows:
             yield solved(now[1], rows)
@@ -258,15 +276,16 @@ def _searched(docs: DataFrame, reps: DataFrame, words: int, percent: int, counte
 def _grouped(docs: DataFrame, words: int, percent: int, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """A row for each document (doc_id, n, cls), and cls, least (doc_id), keeper (the least doc_id, nulls last, then class,
     of the group) and links of each class that is linked with others or has copies."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("tid"))
     described, held = _described(docs, words, percent)
-    slim = common.staged(described.filter("token is null").select("doc_id", "n", "sent", "cls"), "documents")
+    slim = common.staged(described.filter("token is null").select("doc_id", "tid", "n", "sent", "cls"), "documents")
     pairs = _prefix_links(described.filter("token is not null").select("token", "cls"), slim, percent)
     common.removed(docs.sparkSession, held)  # the rows of shingles are the largest table here, and the prefixes are staged
     clusters = connected(pairs)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-    classes = slim.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = slim.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("rep"), F.first("n").alias("n"))
+    classes = classes.select("cls", "copies", F.col("rep.doc_id").alias("rep"), F.col("rep.tid").alias("tid"), "n")
     classes = common.staged(classes.join(clusters, "cls", "left").filter("copies > 1 or cluster is not null"), "clustered")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     large = classes.filter("cluster is not null").groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1")

@@ -359,3 +359,36 @@ def test_license_query_finds_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = dict(got(queries.op6_licenses(spark, str(tmp_path)), "doc_id", "license"))
     assert [(i, found[i], name) for i, (_, name) in enumerate(planted) if found[i] != name] == []
+
+
+def test_many_rows_without_ids_cost_no_more(spark):
+    """Near copies that share one id, or have none, are found like others, in about the time of others."""
+    import time
+
+    r = random.Random(21)
+    base = [prose(1, i) for i in range(60)]
+
+    def text(i):
+        words = list(base)
+        words[r.randrange(60)] = f"w{i}"
+        return " ".join(words)
+
+    texts = [text(i) for i in range(3000)]
+    took = {}
+    for name, ids in (("ids", list(range(3000))), ("none", [None] * 3000), ("one", [7] * 3000)):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+        best = []
+        for _ in range(2):
+            began = time.time()
+            found = ngram_join.components(docs, 4, 60).collect()
+            best.append(time.time() - began)
+        took[name] = min(best)
+        assert len(found) == 3000 and len({x.component_id for x in found}) == 1 and {x.n_links for x in found} == {2999}
+    assert max(took["none"], took["one"]) < 1.5 * took["ids"] + 2
+
+
+def test_repeated_rows_are_sent_once(spark):
+    near = PASSAGE + " " + prose(100, 31)
+    docs = spark.createDataFrame([(None, near)] * 400 + [(None, near + " more")] * 300 + [(5, near + " other")], "doc_id long, text string").repartition(3)
+    found = ngram_join.components(docs, 4, 85).collect()
+    assert len(found) == 701 and {(x.component_id, x.n_links) for x in found} == {(5, 700)}
