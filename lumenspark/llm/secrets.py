@@ -55,6 +55,18 @@ def _running(lengths: str) -> Column:
             x -> slice(aggregate(x.c, array(x.o), (acc, v) -> concat(acc, array(acc[size(acc) - 1] + v))), 1, size(x.c))))""")
 
 
+def _running_max(values: str) -> str:
+    """The greatest of the elements up to each, in chunks as ``_running``."""
+    size = 256
+    return f"""
+        flatten(transform(
+            aggregate(
+                transform(sequence(0, (size({values}) - 1) div {size}), k -> slice({values}, k * {size} + 1, {size})),
+                cast(array() as array<struct<o: int, c: array<int>>>),
+                (acc, c) -> concat(acc, array(struct(if(size(acc) = 0, -1, greatest(acc[size(acc) - 1].o, array_max(acc[size(acc) - 1].c))) as o, c as c)))),
+            x -> slice(aggregate(x.c, array(x.o), (acc, v) -> concat(acc, array(greatest(acc[size(acc) - 1], v)))), 2, size(x.c))))"""
+
+
 def _matches(df: DataFrame, pattern: str, out: str, group: int = 0) -> DataFrame:
     """Column ``out``: structs s, e, v (start, end in code points; the group's text) of all matches in ``__t``.
 
@@ -100,11 +112,23 @@ def spans(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     for kind, (pattern, bits) in CLASSES.items():
         step = _matches(step, pattern, f"__{kind}")
         step = step.withColumn(f"__{kind}", F.expr(f"filter(__{kind}, x -> {' and '.join(f'not x.v rlike {_quoted(a)}' for a in ALLOWED)} and {_windowed('x.v', bits)})"))
-    placed = ", ".join(f"transform({'filter(__assign, x -> length(x.v) >= ' + str(LEAST_VALUE) + ')' if k == 'assign' else '__' + k}, x -> struct(x.s as s, x.e as e, {i} as k))" for i, k in enumerate(KINDS[:3]))
-    step = step.select(*keep, "__t", *[f"__{k}" for k in KINDS[3:]], F.expr(f"concat({placed})").alias("__base"))
+    base = {k: "filter(__assign, x -> length(x.v) >= " + str(LEAST_VALUE) + ")" if k == "assign" else f"__{k}" for k in KINDS[:3]}
+    named = lambda source, i: F.expr(f"transform({source}, x -> struct(x.s as s, x.e as e, {i} as k))")
+    step = step.select(*keep, "__t", *[named(base[k], i).alias(f"__{k}") for i, k in enumerate(KINDS[:3])], *[named(f"__{k}", i).alias(f"__{k}") for i, k in enumerate(KINDS[3:], 3)])
     for i, k in enumerate(KINDS[3:], 3):
-        step = step.withColumn("__base", F.expr(f"concat(__base, transform(filter(__{k}, x -> not exists(__base, b -> b.s <= x.s and x.e <= b.e)), x -> struct(x.s as s, x.e as e, {i} as k)))"))
-    return step.select(*keep, "__t", F.expr("array_sort(__base, (a, b) -> case when a.s <> b.s then a.s - b.s else a.k - b.k end)").alias("found"))
+        for other in KINDS[:i]:
+            step = step.withColumn(f"__{k}", F.expr(_beyond(f"__{k}", f"__{other}")))
+    return step.select(*keep, "__t", F.expr(f"transform(array_sort(transform(concat({', '.join(f'__{k}' for k in KINDS)}), x -> struct(x.s as s, x.k as k, x.e as e))), x -> struct(x.s as s, x.e as e, x.k as k))").alias("found"))
+
+
+def _beyond(own: str, others: str) -> str:
+    """Those of the spans ``own`` that none of ``others`` holds; spans of either don't overlap and are sorted.
+
+    Starts of both are sorted together, those of ``others`` first among equals: a span's place less the number of spans of its own before it
+    is the number of others that begin no later, and the last of these is the only one that can hold it.
+    """
+    places = f"filter(transform(array_sort(concat(transform({others}, b -> struct(b.s as s, 0 as t)), transform({own}, x -> struct(x.s as s, 1 as t)))), (v, i) -> if(v.t = 1, i, -1)), i -> i >= 0)"
+    return f"transform(array(struct({others} as b, {places} as p)), q -> filter({own}, (x, j) -> coalesce(get(q.b, get(q.p, j) - j - 1).e < x.e, true)))[0]"
 
 
 def _quoted(pattern: str) -> str:
@@ -134,10 +158,10 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
     keep = named.columns
     at = columns.index(text)
     found = spans(named, F.col(keep[at]), keep)
-    merged = """aggregate(found, cast(array() as array<struct<s: int, e: int>>), (acc, x) -> case
-        when size(acc) > 0 and x.s < acc[size(acc) - 1].e
-        then concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].s as s, greatest(acc[size(acc) - 1].e, x.e) as e)))
-        else concat(acc, array(struct(x.s as s, x.e as e))) end)"""
+    # a union of overlapping spans begins where a span begins no sooner than all before it end; ends so far are running maxima
+    begins = "filter(transform(q.f, (x, i) -> if(i = 0 or x.s >= q.m[i - 1], i, -1)), i -> i >= 0)"
+    union = "transform(r.g, (i, n) -> struct(q.f[i].s as s, q.m[coalesce(get(r.g, n + 1), size(q.f)) - 1] as e))"
+    merged = f"transform(array(struct(found as f, {_running_max('transform(found, x -> x.e)')} as m)), q -> transform(array(struct({begins} as g)), r -> {union})[0])[0]"
     step = found.select(*keep, "__t", F.when(F.size("found") > 0, F.expr(merged)).alias("__u"))
     rest = f"""concat(array_join(transform(__u, (x, i) -> concat(substring(__t, if(i = 0, 0, __u[i - 1].e) + 1, x.s - if(i = 0, 0, __u[i - 1].e)), '{MARK}')), ''),
         substring(__t, __u[size(__u) - 1].e + 1, length(__t)))"""

@@ -392,3 +392,26 @@ def test_repeated_rows_are_sent_once(spark):
     docs = spark.createDataFrame([(None, near)] * 400 + [(None, near + " more")] * 300 + [(5, near + " other")], "doc_id long, text string").repartition(3)
     found = ngram_join.components(docs, 4, 85).collect()
     assert len(found) == 701 and {(x.component_id, x.n_links) for x in found} == {(5, 700)}
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    def text(n):
+        g = random.Random(n)
+        key = lambda k: "".join(g.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=k))
+        return " ".join(g.choice([f"password={key(24)}", key(30), f"{g.getrandbits(128):032x}", "word"]) for _ in range(n))
+
+    took = {}
+    for n in (1000, 4000, 8000):
+        docs = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        best = []
+        for _ in range(2):
+            began = time.time()
+            (row,) = secrets.secrets(docs).collect()
+            best.append(time.time() - began)
+        took[n] = min(best)
+        assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256, row.spans) == brute.secrets(text(n))
+    assert took[8000] < 2.5 * took[4000] + 1
+    redone = secrets.redacted(spark.createDataFrame([(1, text(4000))], "doc_id long, text string"), length=None).collect()[0].text
+    assert redone.count(secrets.MARK) > 2000 and not secrets.secrets(spark.createDataFrame([(1, redone)], "doc_id long, text string")).collect()[0].spans
