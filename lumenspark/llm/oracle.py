@@ -35,8 +35,8 @@ judged AS (
 hosts AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (rules_failed)::DOUBLE AS k FROM judged GROUP BY host),
 moments AS (SELECT sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) - (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS spread FROM hosts),
 prior AS (SELECT m, CASE WHEN spread > 0 THEN least(1000.0::DOUBLE, greatest(2.0::DOUBLE, m * (1 - m) / spread - 1)) ELSE 1000.0::DOUBLE END AS weight FROM moments),
-rates AS (SELECT host, m, (k + m * weight) / (n + weight) AS rate FROM hosts, prior),
-verdicts AS (SELECT host, CASE WHEN rate > 0.5::DOUBLE THEN 'bad' WHEN rate > 1.01::DOUBLE * m THEN 'suspect' ELSE 'good' END AS host_verdict FROM rates)
+rates AS (SELECT host, m, (k + m * weight) / (n + weight) AS rate, n + weight + 1 AS size FROM hosts, prior),
+verdicts AS (SELECT host, CASE WHEN rate > 0.5::DOUBLE THEN 'bad' WHEN rate - m > 1.6448536269514722::DOUBLE * sqrt(rate * (1 - rate) / size) THEN 'suspect' ELSE 'good' END AS host_verdict FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (rules_failed OR host_verdict = 'bad' OR doubtful AND host_verdict = 'suspect') AS kept, rules_failed, doubtful, host, host_verdict
 FROM judged JOIN verdicts USING (host)"""

