@@ -8,6 +8,7 @@ system, committed once, safe to retry); ``dump`` writes them as plain files wher
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from itertools import chain
@@ -102,6 +103,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_str(data), end
+        encoded = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if json.loads(data)["model"].get("end_of_word_suffix") != "</w>" or encoded(" One\t\n two's ") != [i for w in ("One", "two's") for i in encoded(w)]:
+            raise ValueError("a tokenizer that drops white space and marks the ends of words is needed")
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(1 + max(vocabulary.values()), bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -182,17 +186,17 @@ _READ = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.in
 def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order and store the images; returns the stored table.
 
-    Equal doc_ids stand in the order of their texts, nulls come first; a null text is empty and has the end id alone; repeated
+    Equal doc_ids stand in the order in which the table has them (so rows of one id, or of none, fill many partitions), nulls come first; a null text is empty and has the end id alone; repeated
     rows are stored as often as they come; other columns aren't read; an empty table gives no image.
     """
     import hashlib
-    import json
 
     from pyspark import TaskContext
 
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
+    WordEncoder(text, end)  # refuses other tokenizers before any task runs
     data, bits = spark.sparkContext.broadcast(text), bits_for(1 + max(max(json.loads(text)["model"]["vocab"].values()), end))
 
     name = hashlib.sha256(f"{end} {text}".encode()).hexdigest()
@@ -219,9 +223,10 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
         if keys:
             yield closed()
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.monotonically_increasing_id().alias("place"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("place")
     n = partitions or max(docs.rdd.getNumPartitions() * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("place")
     return common.staged(ordered.mapInArrow(scan, _IMAGES), "token-images")
 
 

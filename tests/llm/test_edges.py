@@ -422,3 +422,14 @@ def test_hosts_that_differ_by_chance_are_good(spark):
     rows = [(i, i % 8, r.random() < 0.2) for i in range(4000)] + [(i, 9, r.random() < 0.32) for i in range(4000, 4500)] + [(i, 10, True) for i in range(4500, 4502)]
     found = {x.host: x.verdict for x in quality.host_table(spark.createDataFrame(rows, "doc_id long, host int, failed boolean")).collect()}
     assert found[9] == "suspect" and sum(found[h] != "good" for h in range(8)) <= 1 and found[10] != "bad"
+
+
+def test_token_files_of_one_id(spark):
+    """Rows of one id are dealt to many tasks, and still stand one behind the other."""
+    docs = spark.createDataFrame([(None, f"word number {i}") for i in range(2000)], "doc_id long, text string").repartition(4)
+    images = token_files.write_images(docs, public_tokenizers.path("word_bpe_49k.json"), partitions=8)
+    assert images.groupBy("part").count().count() >= 6
+    found = sorted((r.start, r.n_tokens) for r in token_files.read_images(images).collect())
+    assert len(found) == 2000 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False)) and found[0][0] == 0
+    with pytest.raises(ValueError, match="white space"):
+        token_files.write_images(docs, public_tokenizers.path("byte_bpe_50k.json"))
