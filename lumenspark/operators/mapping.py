@@ -20,7 +20,7 @@ def core(settings: Settings, source: str, hdr: bool, scene: float | str) -> list
     if isinstance(s, AcesSettings):
         return steps.aces(source, hdr=hdr, key=s.key, **common)
     if isinstance(s, NaturalSettings):
-        return steps.natural(source, hdr=hdr, scene=scene, target=s.target_gray, percentile=s.white_point_percentile, out_gray=s.output_mid_gray, compensate=s.auto_brightness_compensation, bypass=s.bypass_tone_compression_for_ldr, compression=s.tonal_range_compression, ranges=ranges, **common)
+        return steps.natural(source, hdr=hdr, scene=scene, target=s.target_gray, percentile=s.white_point_percentile, out_gray=s.output_mid_gray, compensate=s.auto_brightness_compensation, bypass=s.bypass_tone_compression_for_ldr, threshold=s.ldr_bypass_white_point_threshold, compression=s.tonal_range_compression, ranges=ranges, **common)
     if isinstance(s, ContrastSettings):
         return steps.contrast_balancer(source, forced=hdr, strength=s.strength, compression=s.tone_compression, effect=s.lighting_effect, luminance=s.luminance, white=s.white_clip, black=s.black_clip, ranges=ranges, **common)
     if isinstance(s, BrightnessSettings):
@@ -30,7 +30,7 @@ def core(settings: Settings, source: str, hdr: bool, scene: float | str) -> list
 
 def _carried(chain: list[tuple[str, str]], columns: tuple[str, ...]) -> list[tuple[str, str]]:
     """The steps with further columns of the pixels: every projection of pixels begins with their keys."""
-    return [(name, sql.replace(f"SELECT {KEYS},", f"SELECT {KEYS}, {', '.join(columns)},")) for name, sql in chain]
+    return [(name, sql.replace(f"SELECT {KEYS},", f"SELECT {KEYS}, {', '.join(columns)},", 1)) for name, sql in chain]
 
 
 def plan(settings: Settings, source: str = "pixels", hdr: bool = False, scene: float | str = 0.24) -> list[tuple[str, str]]:

@@ -34,33 +34,77 @@ def stats(source: str, aggregates: str, name: str) -> tuple[str, str]:
     return name, f"SELECT image_id, {aggregates} FROM {source} GROUP BY image_id"
 
 
+#: A threshold that no image passes.
+LIMITLESS = 3.0e38
+#: Bins to a unit in the search of percentiles.
+BINS = 1024
+
+
+def quantiles(source: str, value: str, shares: dict[str, float], name: str) -> list[tuple[str, str]]:
+    """``name``: image_id and, by names, the values at shares of the sorted values of each image, between neighbours in proportion.
+
+    A histogram tells in which bins the wanted ranks lie; only the distinct values of these bins, with their numbers, are sorted.
+    """
+    asked = " UNION ALL ".join(f"SELECT '{k}' AS k, {n(p)} AS p, {step} AS step" for k, p in shares.items() for step in (0, 1))
+    picked = lambda k, step: f"max(CASE WHEN k = '{k}' AND step = {step} THEN v END)"
+    part = lambda k, p: f"({n(p)} * (max(n) - 1) - floor({n(p)} * (max(n) - 1)))"
+    return [
+        (f"{name}_bin", f"SELECT image_id, v, cast(floor(v * {n(BINS)}) AS bigint) AS bin FROM (SELECT image_id, {value} AS v FROM {source}) q"),
+        (f"{name}_hist", f"SELECT image_id, bin, count(*) AS c FROM {name}_bin GROUP BY image_id, bin"),
+        (f"{name}_cum", f"SELECT image_id, bin, c, sum(c) OVER (PARTITION BY image_id ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY image_id) AS n FROM {name}_hist"),
+        (f"{name}_asked", asked),
+        (f"{name}_rank", f"SELECT image_id, bin, upto - c AS before, upto, n, k, step, least(n - 1, cast(floor(p * (n - 1)) AS bigint) + step) AS place FROM {name}_cum CROSS JOIN {name}_asked"),
+        (f"{name}_held", f"SELECT * FROM {name}_rank WHERE place >= before AND place < upto"),
+        (f"{name}_some", f"SELECT DISTINCT image_id, bin FROM {name}_held"),
+        (f"{name}_vals", f"SELECT b.image_id, b.bin, v, count(*) AS c FROM {name}_bin b JOIN {name}_some s ON b.image_id = s.image_id AND b.bin = s.bin GROUP BY b.image_id, b.bin, v"),
+        (f"{name}_sort", f"SELECT image_id, bin, v, c, sum(c) OVER (PARTITION BY image_id, bin ORDER BY v) AS upto FROM {name}_vals"),
+        (f"{name}_hit", f"SELECT h.image_id, k, step, n, v FROM {name}_held h JOIN {name}_sort s ON h.image_id = s.image_id AND h.bin = s.bin WHERE h.place - h.before < s.upto AND h.place - h.before >= s.upto - s.c"),
+        (name, f"SELECT image_id, {', '.join(f'{picked(k, 0)} + ({picked(k, 1)} - {picked(k, 0)}) * {part(k, p)} AS {k}' for k, p in shares.items())} FROM {name}_hit GROUP BY image_id"),
+    ]
+
+
 LOG_AVERAGE = f"exp(avg(ln(greatest({px.luma()}, {n(px.EPS)}))))"
 
 
-def natural(source="pixels", hdr=False, scene=0.24, target=0.24, percentile=1.0, out_gray=0.25, compensate=False, compression=4.0, ev=0.0, brightness=1.0, contrast=1.0, saturation=0.0, gamma=1.0, bypass=True, ranges=()):
+def natural(source="pixels", hdr=False, scene=0.24, target=0.24, percentile=1.0, out_gray=0.25, compensate=False, compression=4.0, ev=0.0, brightness=1.0, contrast=1.0, saturation=0.0, gamma=1.0, bypass=True, threshold=None, ranges=()):
     """Natural tone mapping: compression about the log average, or the LDR bypass where nothing forces compression.
 
-    ``scene``: average brightness of the frames of a radiance map, or the column of the source that has it.
+    ``scene``: average brightness of the frames of a radiance map, or the column of the source that has it.  ``threshold``: images whose white
+    level or greatest luminance is above it are not bypassed.
     """
     e, sat = 2.0**ev, max(0.0, px.saturation_multiplier(saturation))
-    white = "max(lum)" if percentile >= 1 else f"percentile_cont({percentile}) WITHIN GROUP (ORDER BY lum)"
+    eps, lum = n(px.EPS), f"greatest(lum, {n(px.EPS)})"
+    bypass, by_image = bypass and not hdr, bypass and not hdr and threshold is not None and threshold < LIMITLESS
     seen = f", {scene} AS scene_light" if hdr and isinstance(scene, str) else ""
-    steps = [("nt_lum", f"SELECT {KEYS}, r, g, b, {px.luma()} AS lum{seen} FROM {source}"), stats("nt_lum", f"exp(avg(ln(greatest(lum, {n(px.EPS)})))) AS a, max(lum) AS top, {white} AS w{', max(scene_light) AS scene_light' if seen else ''}", "nt_stats")]
-    if bypass and not hdr:
-        k = f"{n(e)}" + (f" * {clamp(f'{n(out_gray)} / greatest(a * {n(e)}, {n(px.EPS)})', 0.1, 4.0)}" if compensate else "")
-        steps.append(("nt_mapped", f"SELECT p.*, {clamp(f'{px.contrast(f"greatest(lum * {k}, {n(px.EPS)})", max(contrast, 0.0))}' if abs(contrast - 1) >= 1e-6 else f'greatest(lum * {k}, {n(px.EPS)})')} AS m0, {n(sat)} AS s0 FROM nt_lum p JOIN nt_stats USING (image_id)"))
-        steps.append(("nt_scaled", f"SELECT {KEYS}, r, g, b, {clamp(f'm0 * {n(max(brightness, 0.0))}')} AS m, {clamp(f'm0 * {n(max(brightness, 0.0))}')} / greatest(lum, {n(px.EPS)}) AS k, s0 FROM nt_mapped"))
+    steps = [("nt_lum", f"SELECT {KEYS}, r, g, b, {px.luma()} AS lum{seen} FROM {source}")]
+    steps.append(stats("nt_lum", f"exp(avg(ln({lum}))) AS a, max(lum) AS top{', max(scene_light) AS scene_light' if seen else ''}", "nt_sums"))
+    if percentile >= 1:
+        steps.append(("nt_stats", "SELECT *, top AS w FROM nt_sums"))
+    else:
+        steps += [*quantiles("nt_lum", "lum", {"w": max(0.0, percentile)}, "nt_white"), ("nt_stats", "SELECT s.*, w FROM nt_sums s JOIN nt_white q ON s.image_id = q.image_id")]
+    # the bypass: luminance by the exposure, compensated by the average
+    k = f"{n(e)}" + (f" * {clamp(f'{n(out_gray)} / greatest(a * {n(e)}, {eps})', 0.1, 4.0)}" if compensate else "")
+    plain = f"greatest(lum * {k}, {eps})"
+    plain = clamp(clamp(px.contrast(plain, max(contrast, 0.0)) if abs(contrast - 1) >= 1e-6 else plain) + f" * {n(max(brightness, 0.0))}")
+    # the compression
+    t = clamp(f"scene_light * {n(target / 0.24)}", 0.01, 0.99) if seen else n(max(0.01, min(0.99, scene * (target / 0.24))) if hdr else max(target, 0.01))
+    wp = f"greatest(w * {t} / greatest(a, {eps}), 1.0e-3)"
+    mean = f"greatest(a * k0, {eps})"
+    comp = clamp(f"{n(out_gray)} / greatest({mean} * (1.0e0 + {mean} / w2) / (1.0e0 + {mean}), {eps})", 0.1, 4.0) if compensate else "1.0e0"
+    ac = f"(1.0e0 + {n(contrast - 1)} * (0.35e0 + 0.65e0 * dr))"
+    s0 = n(sat) if sat <= 1 else f"(1.0e0 + {n(sat - 1)} * (0.4e0 + 0.6e0 * dr) * (1.0e0 - {clamp(f'(ex - ex / (1.0e0 + ex)) / (ex + {eps})')}))"
+    m = clamp(clamp(f"(ex * (1.0e0 + ex / w2) / (1.0e0 + ex) * bc - 0.5e0) * {ac} + 0.5e0") + f" * {n(brightness)}")
+    if bypass and not by_image:
+        steps += [("nt_exposed", f"SELECT p.*, {plain} AS m, {n(sat)} AS s0 FROM nt_lum p JOIN nt_stats USING (image_id)"), ("nt_scaled", f"SELECT {KEYS}, r, g, b, m, m / {lum} AS k, s0 FROM nt_exposed")]
     else:
-        t = clamp(f"scene_light * {n(target / 0.24)}", 0.01, 0.99) if seen else n(max(0.01, min(0.99, scene * (target / 0.24))) if hdr else max(target, 0.01))
-        wp = f"greatest(w * {t} / greatest(a, {n(px.EPS)}), 1.0e-3)"
-        steps.append(("nt_image", f"SELECT image_id, a, {t} / greatest(a, {n(px.EPS)}) AS k0, {wp} * {wp} * {n(max(compression, 1e-3))} AS w2, top / (top + a + {n(px.EPS)}) AS dr FROM nt_stats"))
-        mean = f"greatest(a * k0, {n(px.EPS)})"
-        comp = clamp(f"{n(out_gray)} / greatest({mean} * (1.0e0 + {mean} / w2) / (1.0e0 + {mean}), {n(px.EPS)})", 0.1, 4.0) if compensate else "1.0e0"
-        steps.append(("nt_exposed", f"SELECT p.*, greatest(lum, {n(px.EPS)}) AS l1, greatest(lum, {n(px.EPS)}) * k0 * {n(e)} AS ex, w2, dr, {comp} AS bc FROM nt_lum p JOIN nt_image USING (image_id)"))
-        ac = f"(1.0e0 + {n(contrast - 1)} * (0.35e0 + 0.65e0 * dr))"
-        s0 = n(sat) if sat <= 1 else f"(1.0e0 + {n(sat - 1)} * (0.4e0 + 0.6e0 * dr) * (1.0e0 - {clamp(f'(ex - ex / (1.0e0 + ex)) / (ex + {n(px.EPS)})')}))"
-        m = clamp(clamp(f"(ex * (1.0e0 + ex / w2) / (1.0e0 + ex) * bc - 0.5e0) * {ac} + 0.5e0") + f" * {n(brightness)}")
-        steps.append(("nt_scaled", f"SELECT {KEYS}, r, g, b, {m} AS m, {m} / l1 AS k, {s0} AS s0 FROM nt_exposed"))
+        low = f"CASE WHEN w <= {n(threshold)} AND top <= {n(threshold)} THEN 1 ELSE 0 END" if by_image else "0"
+        either = lambda x, y: f"CASE WHEN low = 1 THEN {x} ELSE {y} END" if by_image else y
+        steps += [
+            ("nt_image", f"SELECT image_id, a, {low} AS low, {t} / greatest(a, {eps}) AS k0, {wp} * {wp} * {n(max(compression, 1e-3))} AS w2, top / (top + a + {eps}) AS dr FROM nt_stats"),
+            ("nt_exposed", f"SELECT p.*, {lum} AS l1, {lum} * k0 * {n(e)} AS ex, a, low, w2, dr, {comp} AS bc FROM nt_lum p JOIN nt_image USING (image_id)"),
+            ("nt_both", f"SELECT *, {either(plain, m)} AS m, {either(n(sat), s0)} AS s0 FROM nt_exposed"),
+            ("nt_scaled", f"SELECT {KEYS}, r, g, b, m, m / l1 AS k, s0 FROM nt_both"),
+        ]
     h, s, v = px.hsv()
     hs = "CASE WHEN greatest(r * k, g * k, b * k) <= 1.0e-6 THEN 0.0e0 ELSE (greatest(r * k, g * k, b * k) - least(r * k, g * k, b * k)) / greatest(r * k, g * k, b * k) END"
     factor = px.range_factor(h, s, v, ranges)
@@ -195,12 +239,24 @@ def lab_post(source="pixels", exposure=0.0, brightness=1.0, shadows=1.0, midtone
 
 
 def box_mean(source="pixels", radius=2, name="box"):
-    """Separable mean over the samples that exist: one window by rows, one by columns, both keyed by image and line."""
-    row = f"OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
-    col = f"OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
+    """Separable mean over the samples that exist.  Sums along lines and columns are differences of two running sums, so the cost has no
+    radius in it; windows are keyed by image and line."""
+
+    def summed(line: str, order: str, value: str) -> tuple[str, str]:
+        """Running sums and totals; the sum about each place from them."""
+        over = f"OVER (PARTITION BY image_id, {line} ORDER BY {order})"
+        return f"sum({value}) {over.replace(')', ' ROWS UNBOUNDED PRECEDING)')}", f"coalesce(lead(u_{value}, {radius}) {over}, last_value(u_{value}) {over.replace(')', ' ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')}) - coalesce(lag(u_{value}, {radius + 1}) {over}, 0.0e0)"
+
+    def along(source: str, line: str, order: str, values: list[str], out: str) -> list[tuple[str, str]]:
+        sums = ", ".join(f"{summed(line, order, v)[0]} AS u_{v}" for v in values)
+        means = ", ".join(f"{summed(line, order, v)[1]} AS s{v}" for v in values)
+        return [(f"{out}_run", f"SELECT *, {sums} FROM {source}"), (out, f"SELECT {KEYS}, r, g, b, {means} FROM {out}_run")]
+
     return [
-        (f"{name}_rows", f"SELECT {KEYS}, r, g, b, " + ", ".join(f"sum({c}) {row} AS s{c}" for c in px.RGB) + f", count(*) {row} AS nr FROM {source}"),
-        (name, f"SELECT {KEYS}, r, g, b, " + ", ".join(f"sum(s{c}) {col} / sum(nr) {col} AS m{c}" for c in px.RGB) + f" FROM {name}_rows"),
+        (f"{name}_in", f"SELECT {KEYS}, r, g, b, 1.0e0 AS n FROM {source}"),
+        *along(f"{name}_in", "y", "x", ["r", "g", "b", "n"], f"{name}_rows"),
+        *along(f"{name}_rows", "x", "y", ["sr", "sg", "sb", "sn"], f"{name}_cols"),
+        (name, f"SELECT {KEYS}, r, g, b, " + ", ".join(f"ss{c} / ssn AS m{c}" for c in px.RGB) + f" FROM {name}_cols"),
     ]
 
 
@@ -235,7 +291,7 @@ def analyzer(source="pixels"):
     log = "ln(greatest(lum, 0.0e0) + 1.0e-6) / ln(2.0e0)"
     return [
         ("an_lum", f"SELECT image_id, lum, greatest(0, least(255, cast(floor(lum * 255.0e0) AS int))) AS bin FROM (SELECT image_id, {px.luma()} AS lum FROM {source}) q"),
-        ("an_ev", f"SELECT image_id, percentile_cont(0.05) WITHIN GROUP (ORDER BY {log}) AS p5, percentile_cont(0.5) WITHIN GROUP (ORDER BY {log}) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY {log}) AS p95 FROM an_lum GROUP BY image_id"),
+        *quantiles("an_lum", log, {"p5": 0.05, "p50": 0.5, "p95": 0.95}, "an_ev"),
         ("an_bins", "SELECT image_id, bin, count(*) AS c FROM an_lum GROUP BY image_id, bin"),
         ("an_cum", "SELECT image_id, bin, c, sum(c) OVER (PARTITION BY image_id ORDER BY bin) AS cum, sum(c) OVER (PARTITION BY image_id) AS n FROM an_bins"),
         ("an_hist", f"SELECT image_id, {first(0.2)} AS p20, {first(0.95)} AS h95, {mass(89, 166)} / cast(max(n) AS double) AS mid, {mass(0, 63)} / cast(max(n) AS double) AS dark, {mass(217, 255)} / cast(max(n) AS double) AS light, {mean(64, 192)} AS mb, {mean(89, 166)} AS mm FROM an_cum GROUP BY image_id"),

@@ -133,7 +133,7 @@ q("normalize_untonemapped", ["hdr"], pixels("hdr"), op.stats("hdr", f"0.4e0 / gr
 q("log_average", ["hdr"], f"SELECT image_id, {r6(op.LOG_AVERAGE)} AS a FROM hdr GROUP BY image_id")
 q("auto_exposure_aces", ["hdr"], f"SELECT image_id, {r6(f'0.18e0 / (exp(avg(ln(1.0e-4 + {px.luma()}))) + 1.0e-9)')} AS exposure FROM hdr GROUP BY image_id")
 q("input_scale", ["hdr"], f"SELECT image_id, {r6(f'CASE WHEN max({_hi}) <= 1.0001e0 THEN 1.0e0 ELSE 0.18e0 / exp(avg(ln(greatest({px.luma()}, 1.0e-9)))) END')} AS scale FROM hdr GROUP BY image_id")
-q("percentile_lum", ["unit"], f"SELECT image_id, {r6(f'percentile_cont(0.98) WITHIN GROUP (ORDER BY {px.luma()})')} AS p98, {r6(f'percentile_cont(0.5) WITHIN GROUP (ORDER BY {px.luma()})')} AS p50 FROM unit GROUP BY image_id")
+q("percentile_lum", ["unit"], *op.quantiles("unit", px.luma(), {"p98": 0.98, "p50": 0.5}, "pct"), f"SELECT image_id, {r6('p98')} AS p98, {r6('p50')} AS p50 FROM pct")
 _bins = ("bins", f"SELECT image_id, greatest(0, least(255, cast(floor({px.luma()} * 255.0e0) AS int))) AS bin FROM unit")
 q("histogram256", ["unit", "level"], _bins, ("images", "SELECT DISTINCT image_id FROM bins"), ("counts", "SELECT image_id, bin, count(*) AS c FROM bins GROUP BY image_id, bin"), "SELECT i.image_id, z AS bin, coalesce(c, 0) AS c FROM images i CROSS JOIN level LEFT JOIN counts k ON k.image_id = i.image_id AND k.bin = z")
 q("hist_percentile", ["unit"], _bins, ("counts", "SELECT image_id, bin, count(*) AS c FROM bins GROUP BY image_id, bin"), ("cum", "SELECT image_id, bin, sum(c) OVER (PARTITION BY image_id ORDER BY bin) AS cum, sum(c) OVER (PARTITION BY image_id) AS total FROM counts"), "SELECT image_id, " + ", ".join(f"{r6(f'min(CASE WHEN cum > {n(p)} * (total - 1) THEN bin END) / 255.0e0')} AS p{int(100 * p)}" for p in (0.2, 0.5, 0.95)) + " FROM cum GROUP BY image_id")
@@ -156,6 +156,7 @@ def settings_query(name: str, source: str, settings: st.Settings, hdr: bool = Fa
 
 mapper("tonemap_natural_ldr", "unit", op.natural(gamma=1.25, compensate=True, out_gray=0.22, contrast=1.1, saturation=35.0, ev=0.25, ranges=RANGES))
 settings_query("tonemap_natural_compressed", "unit", replace(NATURAL, bypass_tone_compression_for_ldr=False))
+settings_query("tonemap_natural_bounded", "unit", replace(NATURAL, ldr_bypass_white_point_threshold=0.93))
 settings_query("tonemap_natural_hdr", "hdr", NATURAL, hdr=True, scene=0.35)
 settings_query("tonemap_aces", "unit", ACES)
 settings_query("tonemap_aces_hdr", "hdr", ACES, hdr=True)

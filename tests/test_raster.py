@@ -315,3 +315,32 @@ def test_series_cover_every_event(spark):
     assert sorted(tuple(r) for r in q["series_catalog"](spark, sf).select("folder", "first_path", "width", "height", "members", "biases").collect()) == sorted(series)
     assert sorted(tuple(r) for r in q["series_singles"](spark, sf).select("folder", "path").collect()) == sorted(singles)
     assert sorted(tuple(r) for r in q["series_merge_named"](spark, sf).select("folder", "first_path", "path").collect()) == sorted(merged) and merged
+
+
+def test_bypass_threshold_is_by_image(spark):
+    p = image(4, 5)
+    base = dict(exposure_ev=0.2, contrast=1.1, saturation=20.0)
+    mapped = lambda scale, **k: array(mapping.tone_map(frame(spark, p * scale), st.NaturalSettings(**base, **k)))
+    core = dict(gamma=1.1)
+    for scale, bypassed in ((1.0, False), (0.4, True)):
+        limited = mapped(scale, ldr_bypass_white_point_threshold=0.5, **core)
+        plain, compressed = mapped(scale, **core), mapped(scale, bypass_tone_compression_for_ldr=False, **core)
+        assert np.abs(limited - (plain if bypassed else compressed)).max() < 1e-12 < 1e-3 < np.abs(plain - compressed).max()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 100])
+def test_box_mean_by_running_sums(spark, radius):
+    p = image(9, 11)
+    chain = steps.box_mean(radius=radius)
+    got = steps.apply(frame(spark, p), [*chain, ("result", "SELECT y, x, mr AS r, mg AS g, mb AS b FROM box")])
+    expected = np.array([[p[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1].mean((0, 1)) for x in range(11)] for y in range(9)])
+    assert np.abs(array(got) - expected).max() < 1e-12
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(12)
+    images = {0: r.uniform(-3, 50, 997), 1: np.full(40, 2.5), 2: np.array([1.0]), 3: r.integers(0, 3, 300) / 2.0, 4: 0.5 + r.uniform(0, 1e-7, 500)}
+    rows = spark.createDataFrame([(i, float(v)) for i, a in images.items() for v in a], "image_id long, v double")
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.98, "e": 1.0}
+    for row in steps.apply(rows, [*steps.quantiles("pixels", "v", shares, "q"), ("result", "SELECT * FROM q")]).collect():
+        assert [row[k] for k in shares] == pytest.approx(np.quantile(images[row.image_id], list(shares.values())), abs=1e-12)
