@@ -15,23 +15,18 @@ from .functions import pixel as px
 from .functions.dialect import chain, spark_text
 from .operators import brackets, catalog, mapping, registration, steps
 from .plans.response import bracket_to_bytes
-from .sources import images
+from .sources import image_files, images
 from .sources.settings import NaturalSettings, Settings, from_xml, load_presets
+from .storage import Stage
 
 log = logging.getLogger("lumenspark.batch")
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table that several jobs read beside the results: files are listed and decoded once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cataloged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """path and content of the files, and their metadata with folder and name."""
-    found = images.files(spark, folder)
+    """Pixels of the files, and their metadata with folder and name."""
+    source = image_files.registered(spark).read.format("images")
     parts = F.regexp_extract("source", "^(.*)/([^/]*)$", 1), F.regexp_extract("source", "^(.*)/([^/]*)$", 2)
-    return found, images.frames(found).withColumnRenamed("path", "source").withColumns({"folder": parts[0], "path": parts[1]})
+    return source.option("rows", "pixels").load(folder), spark.read.format("images").load(folder).withColumnRenamed("path", "source").withColumns({"folder": parts[0], "path": parts[1]})
 
 
 def series_of(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,35 +44,40 @@ def series_of(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, named.join(members.select("folder", "path"), ["folder", "path"], "left_anti")
 
 
-def process(spark: SparkSession, folder: str, out: str, settings: Settings | None = None, samples: int = 1000, smooth: float = 300.0, motion: float = 80.0, align: bool = True, subpixel: bool = False) -> tuple[list[str], list[str]]:
-    """Names of the files written for brackets and for singles; metadata blocks are copied from the first or only file.
+def process(spark: SparkSession, folder: str, out: str, settings: Settings | None = None, samples: int = 1000, smooth: float = 300.0, motion: float = 80.0, align: bool = True, subpixel: bool = False) -> None:
+    """Files for brackets and for singles, in ``Hdr`` and ``Single`` of ``out``; metadata blocks are copied from the first or only file.
 
     Frames are moved onto the first one of their bracket before they are merged, unless ``align`` is false; ``subpixel`` refines the shifts.
     """
     settings = settings or NaturalSettings()
-    found, frames = cataloged(spark, folder)
-    work = f"{out}/.work"
-    frames = _stored(frames, f"{work}/frames")
-    members, singles = (_stored(df, f"{work}/{name}") for name, df in zip(("members", "singles"), series_of(frames), strict=True))
-    read = _stored(images.pixels(found).withColumnRenamed("path", "source"), f"{work}/pixels")
+    pixels, frames = cataloged(spark, folder)
+    stage = Stage(spark, "batch")  # files are listed and decoded once
+    frames = stage.put(frames)
+    members, singles = map(stage.put, series_of(frames))
+    read = stage.put(pixels.withColumnRenamed("path", "source"))
     blocks = frames.select("source", "exif")
-    merged: list[str] = []
     for row in members.select("size").distinct().orderBy("size").collect():
         of_size = members.filter(F.col("size") == row["size"])
         bracket = read.join(of_size.select("source", "series", "frame", "loge"), "source").select(F.xxhash64("series").alias("image_id"), "frame", "y", "x", "r", "g", "b", "loge")
         if align:
             lights = of_size.select(F.xxhash64("series").alias("image_id"), "frame", "loge")
-            bracket = registration.align(bracket, subpixel)[0].join(lights, ["image_id", "frame"])
+            moved, _, aligned = registration.align(bracket, subpixel)
+            bracket = stage.put(moved.join(lights, ["image_id", "frame"]))
+            aligned.clear()
         heads = of_size.filter("frame = 0").select(F.xxhash64("series").alias("image_id"), "source", "path")
         done = images.encode(bracket_to_bytes(bracket, row["size"], settings, samples, smooth, motion), exif=heads.join(blocks, "source"))
-        merged += images.save(done.join(heads, "image_id").withColumn("name", _name()), f"{out}/Hdr")
-    log.info("%d brackets written", len(merged))
+        _written(done.join(heads, "image_id"), f"{out}/Hdr")
+        log.info("brackets of %d frames written", row["size"])
     heads = singles.select(F.xxhash64("source").alias("image_id"), "source", "path")
     unit = read.join(heads.select("source", "image_id"), "source").select("image_id", "y", "x", *[(F.col(c) / 255.0).alias(c) for c in px.RGB])
     mapped = steps.apply(mapping.tone_map(unit, settings), [("result", mapping.quantized("pixels"))])
-    single = images.save(images.encode(mapped, exif=heads.join(blocks, "source")).join(heads, "image_id").withColumn("name", _name()), f"{out}/Single")
-    log.info("%d single images written", len(single))
-    return sorted(merged), sorted(single)
+    _written(images.encode(mapped, exif=heads.join(blocks, "source")).join(heads, "image_id"), f"{out}/Single")
+    log.info("single images written")
+    stage.clear()
+
+
+def _written(done: DataFrame, folder: str) -> None:
+    done.select(_name().alias("name"), "content").write.format("images").mode("append").save(folder)
 
 
 def _name():

@@ -1,23 +1,22 @@
-"""Image files: listing with capture metadata, decoding to pixels, encoding and writing.
+"""Contents of image files: capture metadata, decoding to pixels, encoding.
 
-Files are read through Spark's binary source, one row each.  PNG is decoded and encoded here; other formats need an installed
+``image_files`` reads and writes the files.  PNG is decoded and encoded here; other formats need an installed
 decoder (``PIL``), without which their files are an error, not a gap in the result.  Metadata are read from JPEG and PNG alike.
 """
 
 from __future__ import annotations
 
 import io
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import ENDINGS
+from ..operators.catalog import ENDINGS as ENDINGS
 
 # Tags and value types of the metadata block, and the columns they go to.
 TAGS = {0x010F: "make", 0x0110: "model", 0x829A: "exposure_time", 0x829D: "f_number", 0x8827: "iso", 0x9201: "shutter_speed_value", 0x9202: "aperture_value", 0x9204: "bias"}
@@ -109,92 +108,84 @@ def decoded(data: bytes) -> np.ndarray:
         raise ValueError("only PNG files of eight bits, without palette and interlacing, are decoded")
     n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(b"".join(b for k, b in parts if k == b"IDAT")), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.uint8)
-    for y in range(height):
-        kind, line = int(raw[y, 0]), raw[y, 1:]
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.cumsum(line.reshape(width, n), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            out[y] = line + above
-        else:
-            out[y] = _predicted(line.tolist(), above.tolist(), n, kind)
-        above = out[y]
-    pixels = out.reshape(height, width, n)
+    pixels = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, n))
     return pixels[..., :3] if n > 2 else np.repeat(pixels[..., :1], 3, axis=2)
 
 
-def _predicted(line: list[int], above: list[int], n: int, kind: int) -> list[int]:
-    """Lines that are told as differences to the mean, or to the nearest of left, above and corner."""
-    out = [0] * n + line
-    corner = [0] * n + above
-    for i in range(len(line)):
-        a, b, c = out[i], above[i], corner[i]
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if da <= db and da <= dc else b if db <= dc else c
-        out[i + n] = (line[i] + guess) & 255
-    return out[n:]
+def _unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Pixels from lines that are told as they are (0), or as differences to the pixel on the left (1), above (2), to the mean of both (3), or to
+    the nearest of left, above and corner (4)."""
+    height, width, n = raw.shape
+    if kinds.max(initial=0) < 3:
+        out = np.zeros_like(raw)
+        for y, kind in enumerate(kinds.tolist()):
+            out[y] = raw[y] if kind == 0 else np.cumsum(raw[y], axis=0, dtype=np.uint8) if kind == 1 else raw[y] + (out[y - 1] if y else 0)
+        return out
+    # pixels of one diagonal depend on earlier diagonals alone, so all of them are found at once; a border of zeros stands above and on the left
+    out = np.zeros((height + 1, width + 1, n), np.int32)
+    kind = kinds.astype(np.int32)[:, None]
+    for t in range(width + height - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        k = kind[y]
+        guess = np.where(k == 4, nearest, np.where(k == 3, (a + b) // 2, np.where(k == 2, b, np.where(k == 1, a, 0))))
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+class Encoder:
+    """A PNG file from the lines of an image as they come; what is held is compressed."""
+
+    def __init__(self, width: int, height: int, exif: bytes | None = None) -> None:
+        self.head, self.wide, self.left = (width, height, exif), 3 * width, b""
+        self.packer, self.body = zlib.compressobj(6), []
+
+    def add(self, data: bytes) -> None:
+        """Further samples; lines need not end with them."""
+        self.left += data
+        whole = len(self.left) // self.wide * self.wide
+        for i in range(0, whole, self.wide):
+            self.body.append(self.packer.compress(b"\0" + self.left[i : i + self.wide]))
+        self.left = self.left[whole:]
+
+    def end(self) -> bytes:
+        width, height, exif = self.head
+        self.body.append(self.packer.flush())
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + (chunk(b"eXIf", exif) if exif else b"") + chunk(b"IDAT", b"".join(self.body)) + chunk(b"IEND", b"")
 
 
 def encoded(lines: Iterator[bytes], width: int, height: int, exif: bytes | None = None) -> bytes:
     """A PNG file from the lines of an image."""
-    packer, body = zlib.compressobj(6), []
+    encoder = Encoder(width, height, exif)
     for line in lines:
-        body.append(packer.compress(b"\0" + line))
-    body.append(packer.flush())
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + (chunk(b"eXIf", exif) if exif else b"") + chunk(b"IDAT", b"".join(body)) + chunk(b"IEND", b"")
+        encoder.add(line)
+    return encoder.end()
 
 
-def files(spark: SparkSession, folder: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
-    """path and content of the image files below a folder, by their endings in any case."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    ending = F.lower("path")
-    wanted = ending.endswith(endings[0])
-    for e in endings[1:]:
-        wanted = wanted | ending.endswith(e)
-    return found.filter(wanted).select("path", "content")
-
-
-def frames(found: DataFrame) -> DataFrame:
-    """Size, capture metadata and the raw metadata block of each file; tags that are missing are null."""
+def described_rows(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """One row: size, capture metadata and the raw metadata block; tags that are missing are null."""
     names = [c.split(" ")[0] for c in FRAMES.split(", ")]
-
-    def scan(batches):
-        for batch in batches:
-            rows: dict[str, list] = {name: [] for name in names}
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                width, height, block = described(content.as_py())
-                known = exif_values(block or b"")
-                for name, v in {"path": path, "width": width, "height": height, "exif": block, **{t: known.get(t) for t in TAGS.values()}}.items():
-                    rows[name].append(v)
-            kinds = [pa.binary() if x == "exif" else pa.int32() if x in ("width", "height") else pa.string() if x in ("path", *TEXTS) else pa.float64() for x in names]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[x], t) for x, t in zip(names, kinds, strict=True)], names=names)
-
-    return found.mapInArrow(scan, FRAMES)
+    width, height, block = described(content)
+    known = exif_values(block or b"")
+    row = {"path": path, "width": width, "height": height, "exif": block, **{t: known.get(t) for t in TAGS.values()}}
+    kinds = [pa.binary() if x == "exif" else pa.int32() if x in ("width", "height") else pa.string() if x in ("path", *TEXTS) else pa.float64() for x in names]
+    yield pa.RecordBatch.from_arrays([pa.array([row[x]], t) for x, t in zip(names, kinds, strict=True)], names=names)
 
 
-def pixels(found: DataFrame) -> DataFrame:
-    """path, y, x, r, g, b of each file, a block of lines at a time."""
-
-    def scan(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                image = decoded(content.as_py())
-                h, w, _ = image.shape
-                block = max(1, 100_000 // w)
-                for y in range(0, h, block):
-                    part = image[y : y + block]
-                    ys, xs = np.divmod(np.arange(len(part) * w, dtype=np.int32), w)
-                    channels = [pa.array(part[..., c].ravel().astype(np.int32)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(xs)), pa.array((ys + y).astype(np.int32)), pa.array(xs.astype(np.int32)), *channels], names=["path", "y", "x", "r", "g", "b"])
-
-    return found.mapInArrow(scan, PIXELS)
+def pixel_rows(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """path, y, x, r, g, b, a block of lines at a time."""
+    image = decoded(content)
+    h, w, _ = image.shape
+    block = max(1, 100_000 // w)
+    for y in range(0, h, block):
+        part = image[y : y + block]
+        ys, xs = np.divmod(np.arange(len(part) * w, dtype=np.int32), w)
+        channels = [pa.array(part[..., c].ravel().astype(np.int32)) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(xs)), pa.array((ys + y).astype(np.int32)), pa.array(xs.astype(np.int32)), *channels], names=["path", "y", "x", "r", "g", "b"])
 
 
 def encode(df: DataFrame, key: str = "image_id", exif: DataFrame | None = None) -> DataFrame:
@@ -207,10 +198,10 @@ def encode(df: DataFrame, key: str = "image_id", exif: DataFrame | None = None)
     kind = dict(df.dtypes)[key]
 
     def scan(batches):
-        now, lines, held, size = None, [], b"", None
+        now, encoder = None, None
 
         def ended():
-            return pa.RecordBatch.from_pydict({key: [now], "content": [encoded(iter(lines), *size)]})
+            return pa.RecordBatch.from_pydict({key: [now], "content": [encoder.end()]})
 
         for batch in batches:
             keys = batch.column(key).to_pylist()
@@ -219,34 +210,12 @@ def encode(df: DataFrame, key: str = "image_id", exif: DataFrame | None = None)
             for a, b in zip(starts, starts[1:], strict=False):
                 if a == b:
                     continue
-                if size is None or keys[a] != now:
-                    if size is not None:
+                if encoder is None or keys[a] != now:
+                    if encoder is not None:
                         yield ended()
-                    now, lines, held = keys[a], [], b""
-                    size = batch.column("w")[a].as_py(), batch.column("h")[a].as_py(), batch.column("exif")[a].as_py()
-                held += data[a:b].tobytes()
-                wide = 3 * size[0]
-                lines += [held[i : i + wide] for i in range(0, len(held) - wide + 1, wide)]
-                held = held[len(held) // wide * wide :]
-        if size is not None:
+                    now, encoder = keys[a], Encoder(*(batch.column(c)[a].as_py() for c in ("w", "h", "exif")))
+                encoder.add(data[a:b].tobytes())
+        if encoder is not None:
             yield ended()
 
     return rows.mapInArrow(scan, f"`{key}` {kind}, content binary")
-
-
-def save(images: DataFrame, folder: str, name: str = "name") -> list[str]:
-    """Writes ``content`` to files of a folder that all executors share; a repeated task replaces its file.  Returns the names."""
-    os.makedirs(folder, exist_ok=True)
-
-    def scan(batches):
-        for batch in batches:
-            names = batch.column("name").to_pylist()
-            for at, content in zip(names, batch.column("content"), strict=True):
-                path = os.path.join(folder, at)
-                part = f"{path}.{os.getpid()}.part"
-                with open(part, "wb") as f:
-                    f.write(content.as_py())
-                os.replace(part, path)
-            yield pa.RecordBatch.from_pydict({"name": names})
-
-    return [r.name for r in images.select(F.col(name).alias("name"), "content").mapInArrow(scan, "name string").collect()]

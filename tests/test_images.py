@@ -2,12 +2,14 @@
 
 import struct
 import zlib
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenspark import batch
-from lumenspark.sources import images
+from lumenspark.sources import image_files, images
 from lumenspark.sources import settings as st
 
 
@@ -52,8 +54,9 @@ def filtered(image, kind):
         now = image[y].astype(int).ravel()
         left, corner = np.concatenate([[0] * 3, now[:-3]]), np.concatenate([[0] * 3, above[:-3]])
         near = [min(((abs(a + b - c - v), k) for k, v in enumerate((a, b, c))))[1] for a, b, c in zip(left, above, corner, strict=True)]
-        guess = {1: left, 2: above, 3: (left + above) // 2, 4: np.choose(near, [left, above, corner])}[kind]
-        lines.append(bytes([kind]) + ((now - guess) % 256).astype(np.uint8).tobytes())
+        own = kind if isinstance(kind, int) else kind[y]
+        guess = {0: 0 * left, 1: left, 2: above, 3: (left + above) // 2, 4: np.choose(near, [left, above, corner])}[own]
+        lines.append(bytes([own]) + ((now - guess) % 256).astype(np.uint8).tobytes())
         above = now
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
@@ -102,7 +105,8 @@ def test_batch(spark, tmp_path):
         found.setdefault(m.series.rpartition("/in/")[2], {})[m.frame] = m.path
     assert found == {"a1.png": {0: "a1.png", 1: "a2.PNG", 2: "a3.png"}, "deeper/a1.png": {0: "a1.png", 1: "a2.PNG", 2: "a3.png"}, "deeper/B_over.png": {0: "b.png", 1: "B_over.png", 2: "B_under.png"}}
     assert {s.path for s in singles.collect()} == {"single.png", "plain.png"}
-    merged, single_names = batch.process(spark, str(source), str(tmp_path / "out"), st.NaturalSettings(), samples=300)
+    batch.process(spark, str(source), str(tmp_path / "out"), st.NaturalSettings(), samples=300, align=False)
+    merged, single_names = (sorted(f.name for f in (tmp_path / "out" / x).iterdir()) for x in ("Hdr", "Single"))
     assert len(merged) == 3 and len(single_names) == 2
     for name in single_names:  # neutral settings
         data = (tmp_path / "out" / "Single" / name).read_bytes()
@@ -111,3 +115,55 @@ def test_batch(spark, tmp_path):
         data = (tmp_path / "out" / "Hdr" / name).read_bytes()
         image = images.decoded(data)
         assert image.shape[1:] == (30, 3) and image[-5:].mean() > image[:5].mean() and images.exif_values(images.described(data)[2])["exposure_time"] == 1 / 60
+
+
+def test_batch_aligns_brackets(spark, tmp_path):
+    """A bracket of moved frames gives the file of the one that was held still; nothing is taken for motion."""
+    r = np.random.default_rng(3)
+    scene = np.kron(r.integers(4, 60, (28, 32, 3)), np.ones((4, 4, 1), int))
+    place = {0: (8, 8), -2: (8, 8), 2: (11, 6)}
+    for name, moved in (("still", False), ("moved", True)):
+        folder = tmp_path / name
+        folder.mkdir()
+        for k, bias in enumerate((0, -1, 2)):
+            y, x = place[bias] if moved and bias in place else (8, 8)
+            block = exif(exposure_time=(100, int(6000 / 2.0**bias)), f_number=(8, 1), iso=100, bias=(bias, 1))
+            (folder / f"a{k}.png").write_bytes(png(np.minimum(255, np.floor(scene[y : y + 96, x : x + 112] * 2.0**bias)), block))
+        for align in (True, False):
+            batch.process(spark, str(folder), str(tmp_path / f"{name}-{align}"), st.NaturalSettings(), samples=300, motion=0.0, align=align)
+    read = {k: images.decoded(next((tmp_path / k / "Hdr").iterdir()).read_bytes()).astype(int)[8:-8, 8:-8] for k in ("still-False", "moved-True", "moved-False")}
+    assert np.abs(read["moved-True"] - read["still-False"]).mean() <= 2 < np.abs(read["moved-False"] - read["still-False"]).mean()
+
+
+def test_image_source(spark, tmp_path):
+    image = np.random.default_rng(2).integers(0, 256, (6, 4, 3))
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name in ("a.png", "B.PNG", "sub/c.png", "d.txt", "_e.png"):
+        (tmp_path / "in" / name).write_bytes(png(image))
+    read = image_files.registered(spark).read.format("images")
+    assert {r.path.rpartition("/in/")[2]: (r.width, r.height) for r in read.load(str(tmp_path / "in")).collect()} == dict.fromkeys(("a.png", "B.PNG", "sub/c.png"), (4, 6))
+    assert read.option("rows", "pixels").load(f"file://{tmp_path}/in").groupBy("path").count().filter("count = 24").count() == 3
+    assert [r.path.rpartition("/")[2] for r in spark.read.format("images").load(str(tmp_path / "in")).filter("path LIKE '%c.png'").collect()] == ["c.png"]
+    reader = image_files.ImageReader({"path": str(tmp_path / "in")})
+    assert not list(reader.pushFilters([image_files.StringEndsWith(("path",), "c.png")])) and sum(len(p.paths) for p in reader.partitions()) == 1
+    rows = spark.createDataFrame([(f"{i}.png", png(image)) for i in range(5)], "name string, content binary").repartition(3)
+    rows.write.format("images").mode("append").save(str(tmp_path / "out"))
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == [f"{i}.png" for i in range(5)]
+    with pytest.raises(Exception, match="no name of a file"):
+        rows.unionAll(spark.createDataFrame([("x/y.png", b"")], rows.schema)).write.format("images").mode("append").save(str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").iterdir())
+    # two attempts of one task, of which one counts
+    writer = image_files.ImageWriter({"path": str(tmp_path / "twice")})
+    batches = [pa.RecordBatch.from_pydict({"name": ["x.png"], "content": [png(image)]})]
+    done = []
+    for attempt in (7, 8):
+        with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 0, taskAttemptId=lambda a=attempt: a)):
+            done.append(writer.write(iter(batches)))
+    writer.commit(done[1:])
+    assert [f.name for f in (tmp_path / "twice").iterdir()] == ["x.png"]
+
+
+def test_diagonals_decode_large_lines():
+    image = np.random.default_rng(1).integers(0, 256, (40, 63, 3))
+    kinds = [k % 5 for k in range(40)]
+    assert (images.decoded(filtered(image, kinds)) == image).all()
