@@ -26,7 +26,7 @@ from . import common
 MAGIC, BLOCK, IMAGE_TOKENS = b"TOKBITS1", 4096, 1 << 20
 _HEAD = struct.Struct("<8sIIQQ")
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
-MEMORY = 800_000
+MEMORY = 1_600_000
 #: Words between marks that the library gets in one text, and the characters beyond which a word goes by itself.
 TOGETHER, LONG = 100, 1000
 #: Bytes of text whose words are looked up at once.
