@@ -1,7 +1,8 @@
 """Image files as a data source: ``spark.read.format("images")`` and ``df.write.format("images")``.
 
 Reading deals files into partitions by their size and knows files by their ending before any is opened, also from a filter on ``path``.  Writing goes through a folder for each attempt of a task: what a task has written
-becomes part of the result when all tasks have ended, and what attempts without success left goes.
+becomes part of the result when all tasks have ended, and what attempts without success left goes (what a task still writes after its job
+has failed stays in a folder that readers pass over).
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class ImageReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, folder = filesystem(self.path)
         found = system.get_file_info(fs.FileSelector(folder, recursive=True))
-        wanted = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and all(f.path.lower().endswith(e) for e in self.endings) and all(f.path.endswith(e) for e in self.exact)]
+        wanted = [f for f in found if f.type == fs.FileType.File and not re.search(r"(^|/)[_.]", f.path.removeprefix(folder.rstrip("/") + "/")) and all(f.path.lower().endswith(e) for e in self.endings) and all(f.path.endswith(e) for e in self.exact)]
         out, held = [], 0
         for f in sorted(wanted, key=lambda f: f.path):
             if not out or held + f.size > PARTITION:
