@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import chain, duck_text, r6, spark_text
+from ..functions import pixel as px
+from ..functions.dialect import chain, duck_text, n, r6, rounded, spark_text
 from ..operators import alignment as al
 from ..operators import registration, tiles
 from ..operators import steps as op
+from ..operators.least_squares import least_squares
 from ..sources.fixtures import closure, fixtures
 from .response import bracket_to_bytes
 
@@ -101,7 +103,33 @@ def tile_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.untiled(tiles.resampled(held, moves, SIDE), SIDE, "u1")
 
 
-QUERIES = {f.__name__: f for f in (bracket_transforms, bracket_aligned, hdr_aligned, align_rotation, tile_box_mean, tile_local_contrast, tile_blur, tile_pyramid, tile_resample)}
+#: Features of a quadratic surface.
+SURFACE = ["1", "x", "y", "x * x", "x * y", "y * y"]
+
+
+def lstsq_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quadratic surface of least squares through each image's luminance."""
+    found = least_squares(_table(spark, sf_dir, ["unit"], [], f"SELECT image_id, y, x, {px.luma()} AS lum FROM unit"), "image_id", SURFACE, "lum")
+    return found.select("image_id", "n", *[F.expr(spark_text(rounded(f"coefficients[{i}]", 9))).alias(f"c{i}") for i in range(6)], F.expr(spark_text(r6("rss"))).alias("rss"))
+
+
+def _surface_sql() -> list[tuple[str, str]]:
+    """The same from a basis whose functions are orthogonal on a full grid: each coefficient is a quotient of two sums."""
+    basis = ("1.0e0", "u", "v", "u * u - uu", "u * v", "v * v - vv")
+    parts = ", ".join(f"sum(lum * ({b})) / sum(({b}) * ({b})) AS k{i}" for i, b in enumerate(basis))
+    fit = " + ".join(f"k{i} * ({b})" for i, b in enumerate(basis))
+    raw = ("k0 - k3 * uu - k5 * vv - k1 * mx - k2 * my + k3 * mx * mx + k4 * mx * my + k5 * my * my", "k1 - 2.0e0 * k3 * mx - k4 * my", "k2 - 2.0e0 * k5 * my - k4 * mx", "k3", "k4", "k5")
+    return [
+        ("lums", f"SELECT image_id, y, x, {px.luma()} AS lum FROM unit"),
+        ("middles", "SELECT image_id, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS uu, avg(y * y) - avg(y) * avg(y) AS vv FROM lums GROUP BY image_id"),
+        ("centred", "SELECT l.image_id, lum, x - mx AS u, y - my AS v, mx, my, uu, vv FROM lums l JOIN middles m ON l.image_id = m.image_id"),
+        ("fits", f"SELECT image_id, count(*) AS n, max(mx) AS mx, max(my) AS my, max(uu) AS uu, max(vv) AS vv, {parts} FROM centred GROUP BY image_id"),
+        ("left_over", f"SELECT c.image_id, sum((lum - ({fit.replace('uu', 'c.uu').replace('vv', 'c.vv')})) * (lum - ({fit.replace('uu', 'c.uu').replace('vv', 'c.vv')}))) AS rss FROM centred c JOIN fits f ON c.image_id = f.image_id GROUP BY c.image_id"),
+        ("result", f"SELECT f.image_id, n, {', '.join(f'{rounded(e, 9)} AS c{i}' for i, e in enumerate(raw))}, {r6('rss')} AS rss FROM fits f JOIN left_over o ON f.image_id = o.image_id"),
+    ]
+
+
+QUERIES = {f.__name__: f for f in (bracket_transforms, bracket_aligned, hdr_aligned, align_rotation, tile_box_mean, tile_local_contrast, tile_blur, tile_pyramid, tile_resample, lstsq_surface)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -121,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
     shown = lambda source, columns: f"SELECT {KEYS}, " + ", ".join(f"{r6(c)} AS {k}" for c, k in zip(columns, RGB, strict=True)) + f" FROM {source}"
     pixels = ("pixels", "SELECT * FROM unit")
     levels = [("bytes", f"SELECT image_id, y, x, (54 * r + 183 * g + 19 * b) DIV 256 AS v, 1 AS valid, {W} AS w, {H} AS h FROM raster"), *al.pyramid("bytes", W, H, "lv")]
-    turn = ("transforms", f"SELECT DISTINCT image_id, 2.25e0 AS dx, -7.5e0 AS dy, {al.n(al.cos(2.0))} AS c, {al.n(al.sin(2.0))} AS s FROM raster")
+    turn = ("transforms", f"SELECT DISTINCT image_id, 2.25e0 AS dx, -7.5e0 AS dy, {n(al.cos(2.0))} AS c, {n(al.sin(2.0))} AS s FROM raster")
     return {
         "bracket_transforms": sql(["bracket"], *search, ("result", f"SELECT image_id DIV 10 AS image_id, cast(image_id % 10 AS int) AS frame, cast(dx AS double) AS dx, cast(dy AS double) AS dy, angle, {r6('score')} AS score FROM transform")),
         "bracket_aligned": sql(["bracket"], *search, *resample, ("result", "SELECT image_id DIV 10 AS image_id, cast(image_id % 10 AS int) AS frame, y, x, r, g, b FROM resampled UNION ALL SELECT image_id, frame, y, x, r, g, b FROM shaken WHERE frame = 0")),
@@ -130,5 +158,6 @@ def oracle_sql() -> dict[str, str]:
         "tile_local_contrast": sql(["unit"], pixels, *op.local_contrast(amount=45.0, radius=3), ("result", shown("lc_out", RGB))),
         "tile_blur": sql(["unit"], pixels, *op.gaussian_blur(sigma=1.5), ("result", shown("gb_out", RGB))),
         "tile_pyramid": sql(["raster"], *levels, ("result", " UNION ALL ".join(f"SELECT {k} AS level, image_id, y, x, cast(v AS int) AS v FROM lv{k}" for k in range(al.levels(W, H))))),
+        "lstsq_surface": sql(["unit"], *_surface_sql()),
         "tile_resample": sql(["raster"], turn, *al.resampled("raster", "transforms", W, H), ("result", f"SELECT {KEYS}, r, g, b FROM resampled")),
     }
