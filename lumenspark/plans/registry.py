@@ -60,7 +60,7 @@ def mapper(name: str, source: str, steps: list[tuple[str, str]]) -> None:
 q("scan_raster", ["raster"], f"SELECT {KEYS}, r, g, b FROM raster")
 q("row_scan", ["raster"], f"SELECT {KEYS}, r, g, b FROM raster WHERE y = 17")
 q("pixel_lookup", ["raster"], f"SELECT {KEYS}, r, g, b FROM raster WHERE y = 17 AND x = 5")
-Q["blank_raster"] = [], lambda spark: [("ys", series("y", 0, 99, spark)), ("xs", series("x", 0, 63, spark)), ("result", "SELECT y, x, 0 AS r, 0 AS g, 0 AS b FROM ys CROSS JOIN xs")]
+q("blank_raster", ["raster"], f"SELECT {KEYS}, 0 AS r, 0 AS g, 0 AS b FROM raster")
 q("row_overwrite", ["raster"], ("fresh", "SELECT image_id, y, x, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM raster WHERE y = 3"), "SELECT o.image_id, o.y, o.x, coalesce(f.r, o.r) AS r, coalesce(f.g, o.g) AS g, coalesce(f.b, o.b) AS b FROM raster o LEFT JOIN fresh f ON o.image_id = f.image_id AND o.y = f.y AND o.x = f.x")
 q("paste_rect", ["raster"], ("block", "SELECT image_id, y + 60 AS y, x + 40 AS x, r, g, b FROM raster WHERE x < 30 AND y < 50"), "SELECT c.image_id, c.y, c.x, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b FROM raster c LEFT JOIN block p ON c.image_id = p.image_id AND c.y = p.y AND c.x = p.x")
 per_pixel("normalize_unit", "raster", **{c: r6(f"{c} / 255.0e0") for c in RGB})
@@ -70,7 +70,7 @@ q("quantize_bytes", ["hdr"], f"SELECT {KEYS}, " + ", ".join(f"cast(greatest(0.0e
 per_pixel("luminance", "unit", lum=r6(px.luma()))
 per_pixel("gray_mtb", "raster", gray=f"cast({px.gray_byte()} AS int)")
 per_pixel("rgb_arith", "unit", diff=r6("r - g"), ratio=r6("r / (g + 0.5e0)"), inverse=r6("2.0e0 / (b + 0.25e0)"), part=r6("g / 3.0e0"), product=r6("r * b"), scaled=r6("g * 1.7e0"))
-q("weight_lut", ["level"], f"SELECT z, {r6(px.hat_weight('z'))} AS w FROM level")
+q("weight_lut", ["raster"], ("levels", f"SELECT {' AS z FROM raster UNION ALL SELECT '.join(RGB)} AS z FROM raster"), f"SELECT z, {r6(px.hat_weight('z'))} AS w, count(*) AS n FROM levels GROUP BY z")
 per_pixel("midtone_weight", "unit", w=r6(px.midtone_weight("r")), w3=r6(px.midtone_weight("g", 3.0)))
 per_pixel("aces_curve", "hdr", **{c: r6(px.aces_curve(f"({c} - 0.5e0)")) for c in RGB})
 per_pixel("aces_matrix", "unit", **{f"i{i}": r6(px.dot(px.ACES_IN[i], RGB)) for i in range(3)}, **{f"o{i}": r6(px.dot(px.ACES_OUT[i], RGB)) for i in range(3)})
@@ -190,7 +190,7 @@ q("grid_sample", ["raster"], f"SELECT {KEYS}, r, g, b FROM raster WHERE x % 5 =
 q("sample_lookup", ["bracket", "frame"], *SAMPLE, f"SELECT image_id, frame, y, x, " + ", ".join(f"CASE frame WHEN 0 THEN {c}0 WHEN 1 THEN {c}1 ELSE {c}2 END AS {c}" for c in RGB) + " FROM sample CROSS JOIN frame")
 NORMAL = [*SAMPLE, *br.normal_equations()]
 q("response_normal_matrix", ["bracket"], *NORMAL, f"SELECT image_id, channel, z, zz, {r6('sum(v)')} AS v FROM cells WHERE zz >= 0 GROUP BY image_id, channel, z, zz")
-q("response_smoothness", ["level"], ("rows", f"SELECT z, 500.0e0 * {px.hat_weight('(z + 1)')} AS k FROM level WHERE z <= 253"), ("taps", "SELECT z AS i, 0 AS o, 1.0e0 AS c FROM rows UNION ALL SELECT z AS i, 1 AS o, -2.0e0 AS c FROM rows UNION ALL SELECT z AS i, 2 AS o, 1.0e0 AS c FROM rows"), f"SELECT p.i + p.o AS z, q.i + q.o AS zz, {r6('sum(p.c * q.c * k * k)')} AS v FROM taps p JOIN taps q ON p.i = q.i JOIN rows ON z = p.i GROUP BY p.i + p.o, q.i + q.o")
+q("response_smoothness", ["level", "bracket"], ("images", "SELECT DISTINCT image_id FROM bracket"), ("rows", f"SELECT z, 500.0e0 * {px.hat_weight('(z + 1)')} AS k FROM level WHERE z <= 253"), ("taps", "SELECT z AS i, 0 AS o, 1.0e0 AS c FROM rows UNION ALL SELECT z AS i, 1 AS o, -2.0e0 AS c FROM rows UNION ALL SELECT z AS i, 2 AS o, 1.0e0 AS c FROM rows"), f"SELECT image_id, p.i + p.o AS z, q.i + q.o AS zz, {r6('sum(p.c * q.c * k * k)')} AS v FROM taps p JOIN taps q ON p.i = q.i JOIN rows ON z = p.i CROSS JOIN images GROUP BY image_id, p.i + p.o, q.i + q.o")
 
 # Alignment ---------------------------------------------------------------------------------------------------------
 W, H = 64, 100
