@@ -9,7 +9,10 @@ system, committed once, safe to retry); ``dump`` writes them as plain files wher
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
+import sys
 import zlib
 from itertools import chain
 from pathlib import Path
@@ -25,12 +28,15 @@ from . import common
 #: Format name and version; ids in a block; ids after which an image is closed.
 MAGIC, BLOCK, IMAGE_TOKENS = b"TOKBITS1", 4096, 1 << 20
 _HEAD = struct.Struct("<8sIIQQ")
-#: Words whose ids a worker remembers; the memory starts anew beyond that.
-MEMORY = 1_600_000
+#: Bytes that a worker's memory of words may take before it starts anew, and those of a word besides its string and ids.
+MEMORY_BYTES, ENTRY_BYTES = 96 << 20, 110
 #: Words between marks that the library gets in one text, and the characters beyond which a word goes by itself.
 TOGETHER, LONG = 100, 1000
 #: Bytes of text whose words are looked up at once.
 SLICE_BYTES = 4 << 20
+#: Latin letters (but for the dotted capital I, whose lower case is no single letter), then ASCII punctuation: a token group each.
+LETTERS, PUNCTUATION = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "!-/:-@\\[-`{-~"
+_PARTS = f"^(?P<letters>[{LETTERS}]+)(?P<behind>[{PUNCTUATION}]*)$"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -92,12 +98,16 @@ class WordEncoder:
 
     The vocabulary's own rules drop white space and never look past it, so the ids of a text are those of its words one
     after another; a word is what stands between spaces, tabs and line breaks, all else is left to the library.  Words are
-    remembered and ids gathered with numpy.  New words go to the library many in a text: words of letters alone are one
-    token group each, whose last id ends a word, so their ids can be told apart; others have a special token between them.
+    remembered, up to ``MEMORY_BYTES``, and ids gathered with numpy; Latin words by their lower-case letters and by the
+    punctuation behind them, where the vocabulary's rules keep these apart.  New words go to the library many in a text: words
+    of letters alone are one token group each, whose last id ends a word, so their ids can be told apart; others have a
+    special token between them.
     """
 
     #: Stands for the end of a document; no word has a space.
     END = " "
+    #: Places of the empty word, which has no ids, and of the end.
+    EMPTY_AT, END_AT = 0, 1
 
     def __init__(self, data: str, end: int) -> None:
         from tokenizers import Tokenizer
@@ -110,12 +120,21 @@ class WordEncoder:
         self.closes = np.zeros(1 + max(vocabulary.values()), bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.mark_id, self.mark = max((i, str(t)) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.parted = self._parts_stand_alone()
         self._clear()
 
+    def _parts_stand_alone(self) -> bool:
+        """Whether letters in either case and the punctuation behind them have ids of their own, and no added token is in such a word."""
+        encoded = lambda words: self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        letters, marks = ([chr(i) for i in range(0x250) if re.match(f"[{kind}]", chr(i))] for kind in (LETTERS, PUNCTUATION))
+        parts = [(a, b) for a in letters for b in marks] + [("ab", a + b) for a in marks for b in marks]
+        added = map(str, self.tokenizer.get_added_tokens_decoder().values())
+        return all(re.search(r"[^\w\s]\w", t) for t in added) and encoded(map("".join, parts)) == encoded(x for a, b in parts for x in (a.lower(), b))
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.low, self.n, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self._add([self.END], np.ones(1, np.int64), np.array([self.end], np.uint32))
+        self.low, self.n, self.pool, self.used, self.held_bytes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0, 0
+        self._add(["", self.END], np.array([0, 1]), np.array([self.end], np.uint32))
 
     def _add(self, words: list[str], n: np.ndarray, flat: np.ndarray) -> None:
         k = len(self.place)
@@ -126,6 +145,7 @@ class WordEncoder:
         self.low[k : k + len(words)], self.n[k : k + len(words)] = self.used + np.cumsum(n) - n, n
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.held_bytes += sum(map(sys.getsizeof, words)) + ENTRY_BYTES * len(words) + 2 * flat.nbytes
         self.place.update(zip(words, range(k, k + len(words)), strict=True))
 
     def _alone(self, words: list[str]) -> None:
@@ -155,30 +175,55 @@ class WordEncoder:
                 others += part
         self._alone(others)
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each word are, or of its two parts, of which the second may be empty."""
+        parts = [words]
+        if self.parted:
+            found, empty = pc.extract_regex(words, _PARTS), pa.scalar("", words.type)
+            parts = [pc.if_else(found.is_valid(), part, other) for part, other in ((pc.utf8_lower(found.field("letters")), words), (found.field("behind"), empty))]
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in distinct if w not in self.place]:
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return at.reshape(len(parts), -1).T
+
+    def _gathered(self, low: np.ndarray, n: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        return pool[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths with the end id, and all ids one after another."""
-        if len(self.place) > MEMORY:
+        if self.held_bytes > MEMORY_BYTES:
             self._clear()
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         for space in "\t\n\r":
             texts = pc.replace_substring(texts, space, " ")
         rows = pc.split_pattern(texts, " ")
         distinct = rows.flatten().dictionary_encode()
-        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = list(map(self.place.get, words))
-        if None in at:
-            self._learn([w for w, k in zip(words, at, strict=True) if k is None])
-            at = list(map(self.place.__getitem__, words))
-        held = np.fromiter(at, np.int64, len(at))[distinct.indices.to_numpy()]
+        # the ids of the words of these texts side by side, the end behind them
+        at = self._places(distinct.dictionary)
+        at = np.concatenate([at, [[self.END_AT] + [self.EMPTY_AT] * (at.shape[1] - 1)]])
+        pool, n = self._gathered(self.low[at.ravel()], self.n[at.ravel()], self.pool), self.n[at].sum(1)
+        low = np.cumsum(n) - n
         ends = np.cumsum(pc.list_value_length(rows).to_numpy())
-        held = np.insert(held, ends, self.place[self.END])
-        n = self.n[held]
-        starts = np.cumsum(n) - n
-        first = np.concatenate([[0], ends[:-1]]) + np.arange(len(ends))
-        return np.add.reduceat(n, first), self.pool[np.repeat(self.low[held] - starts, n) + np.arange(int(n.sum()))]
+        held = np.insert(distinct.indices.to_numpy(), ends, len(n) - 1)
+        n = n[held]
+        starts = np.concatenate([[0], ends[:-1]]) + np.arange(len(ends))
+        return np.add.reduceat(n, starts), self._gathered(low[held], n, pool)
 
 
 _encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(name: str, data, end: int) -> WordEncoder:
+    """The encoder of this worker for all its tasks.  It is a function of the module because what ``mapInArrow`` gets is sent by
+    value with the globals that it names: a dict named there would be a new one in each task, and its encoders would pile up."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = WordEncoder(data.value, end)
+    return _encoders[name]
+
+
 _IMAGES = "part int, image int, first_id long, n_ids long, keys array<long>, data binary"
 _READ = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -202,9 +247,8 @@ def write_images(docs: DataFrame, tokenizer: str, end: int = 2, partitions: int
     name = hashlib.sha256(f"{end} {text}".encode()).hexdigest()
 
     def scan(batches):
-        if name not in _encoders:
-            _encoders[name] = WordEncoder(data.value, end)
-        encoder, part, k, first = _encoders[name], TaskContext.get().partitionId(), 0, 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encoder, part, k, first = _encoder(name, data, end), TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids, held = [], [], [], 0
 
         def closed():

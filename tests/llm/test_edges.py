@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns: every operator against brute force."""
 
+import gc
 import random
+import sys
 import textwrap
 import zlib
 
@@ -433,3 +435,45 @@ def test_token_files_of_one_id(spark):
     assert len(found) == 2000 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False)) and found[0][0] == 0
     with pytest.raises(ValueError, match="white space"):
         token_files.write_images(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def word_encoder():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return token_files.WordEncoder(f.read(), 2)
+
+
+def test_words_remembered_take_bounded_memory(word_encoder):
+    """A worker that meets ever new words holds no more of them than its share of an executor."""
+    e, r, most = word_encoder, random.Random(9), 0
+    for _ in range(8):
+        words = ["".join(r.choices("abcdefghij", k=12)) for _ in range(100_000)]
+        n, flat = e.encode([" ".join(words)])
+        assert int(n[0]) == len(flat) and flat[:-1].tolist()[:50] == e.tokenizer.encode(" ".join(words[:60]), add_special_tokens=False).ids[:50]
+        most = max(most, sum(sys.getsizeof(w) + 32 for w in e.place) + sys.getsizeof(e.place) + e.low.nbytes + e.n.nbytes + e.pool.nbytes)
+    assert most < 128 << 20
+
+
+def test_parts_of_words(word_encoder):
+    """Letters and the punctuation behind them are looked up apart, in lower case, where that gives the library's ids."""
+    letters = [c for i in range(0x370) if (c := chr(i)).isalpha()]
+    odd = ["\u0130,", "I\u0307,", "e\u0301.", "E\u0301!", "ab\u0338,", "a=\u0338", "it's,", "IT'S", "ab'", "ab'',", "'s'", "s'S.", "x<|endoftext|>,", "<|startoftext|>", "<|ENDOFTEXT|>", "\u00c9COLE,", "\u0391\u03a3,", "\u03a3.", "\u00aa\u00ba.", "a\x00,", "a\u00a0b,", "\u00b2,", "x2,", "2,", ",x", "x,y", "", ",", "\u0149'", "\u1e9e,", "\ufb01,", "\U0001f600,"]
+    texts = [" ".join(c + m + "\t" + c.upper() + "b" + m for m in ",'|$#.-" for c in letters[i : i + 40]) for i in range(0, len(letters), 40)] + odd + [" ".join(odd), "\n".join(reversed(odd))]
+    assert word_encoder.parted
+    n, flat = word_encoder.encode(texts)
+    expected = [[*word_encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == list(map(len, expected)) and flat.tolist() == [i for ids in expected for i in ids]
+
+
+def test_workers_keep_one_encoder(spark):
+    """Tasks of a worker share its encoder, so many small tasks do not pile them up."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word number ', id) AS text")
+    token_files.write_images(docs, public_tokenizers.path("word_bpe_49k.json"), partitions=48)
+
+    def kept(batches):
+        for batch in batches:
+            alive = sum(type(o).__name__ == "WordEncoder" for o in gc.get_objects())
+            yield common.pa.RecordBatch.from_pydict({"alive": [alive] * batch.num_rows, "known": [len(vars(token_files)['_encoders'])] * batch.num_rows})
+
+    found = spark.range(0, 64, 1, 32).mapInArrow(kept, "alive long, known long").collect()
+    assert max(r.known for r in found) == 1 and max(r.alive for r in found) == 1
