@@ -39,7 +39,7 @@ _FOUND = "image_id long, frame int, k int, dx int, dy int, mismatch long, valid
 
 def gray(rgb: np.ndarray) -> np.ndarray:
     r, g, b = (rgb[..., c].astype(np.int32) for c in range(3))
-    return ((54 * r + 183 * g + 19 * b) >> 8).astype(np.uint8)
+    return ((54 * r + 183 * g + 19 * b) >> 8).astype(np.uint8)[..., None]
 
 
 def bitmap(values: np.ndarray, there: np.ndarray, median: int) -> np.ndarray:
@@ -75,16 +75,16 @@ def first_best(mismatch: np.ndarray, valid: np.ndarray, cy: int, cx: int) -> tup
 
 
 def turned(image: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A whole level, turned by tenths of a degree; the values, and where there are any."""
-    h, w = image.shape
+    """A whole level, turned by tenths of a degree; the values, and the pixels that there are and that take a value."""
+    h, w = image.shape[:2]
     rect = Rect(0, h, 0, w)
-    values, there = ti.nearest({"h": h, "w": w, "dx": 0, "dy": 0, "c": cos(k / 10), "s": sin(k / 10)}, image[..., None], rect, rect)
-    return values[..., 0], there
+    values, there = ti.nearest({"h": h, "w": w, "dx": 0, "dy": 0, "c": cos(k / 10), "s": sin(k / 10)}, image, rect, rect)
+    return values[..., 0], there & (image[..., 1] > 0)
 
 
 def searched(reference: list[np.ndarray], candidate: list[np.ndarray]) -> tuple[int, int, int, int, int]:
     """Angle in tenths, dx, dy, mismatch, valid of the finest of the levels, which come from coarse to fine."""
-    known = [bitmap(v, np.ones(v.shape, bool), median_of(v, np.ones(v.shape, bool))) for v in reference]
+    known = [bitmap(v, there, median_of(v, there)) for v, there in ((level[..., 0], level[..., 1] > 0) for level in reference)]
 
     def at(k: int) -> tuple[float, int, tuple]:
         dx = dy = 0
@@ -113,10 +113,10 @@ def coarse_search(pyramid: DataFrame, side: int) -> DataFrame:
         def found():
             whole: dict[int, list[np.ndarray]] = {}
             for (frame, level), rows in sorted(held.items(), key=lambda x: (x[0][0], -x[0][1])):
-                out = np.zeros((rows[0]["h"], rows[0]["w"]), np.uint8)
+                out = np.zeros((rows[0]["h"], rows[0]["w"], 2), np.uint8)
                 for row in rows:
                     rect = ti.rect_of(row, side)
-                    out[rect.y0 : rect.y1, rect.x0 : rect.x1] = ti.samples(row, rect, "u1")[..., 0]
+                    out[rect.y0 : rect.y1, rect.x0 : rect.x1] = ti.samples(row, rect, "u1")
                 whole.setdefault(frame, []).append(out)
             level = min(x[1] for x in held)
             return [(now, frame, level, *searched(whole[0], images)) for frame, images in whole.items() if frame and 0 in whole and [i.shape for i in images] == [i.shape for i in whole[0]]]
@@ -148,20 +148,14 @@ def _turned_levels(pyramid: DataFrame, found: DataFrame, side: int, subpixel: bo
     moves = _angles(found.select("image_id", "frame", "k")).select("image_id", "frame", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "c", "s")
 
     def work(row, window, rect, base):
-        own = ti.rect_of(row, side)
         if row["c"] is None or not window.size:
-            return [ti._tile(row, np.zeros((own.y1 - own.y0, own.x1 - own.x0, 2), np.uint8))]
-        values, there = ti.nearest(row, window, rect, own)
-        return [ti._tile(row, np.concatenate([values, there[..., None]], axis=2))]
-
-    def upright(row):
-        own = ti.rect_of(row, side)
-        values = ti.samples(row, own, "u1")
-        return [ti._tile(row, np.concatenate([values, np.ones_like(values)], axis=2))]
+            return [ti._tile(row, np.zeros_like(base))]
+        values, there = ti.nearest(row, window, rect, ti.rect_of(row, side))
+        return [ti._tile(row, values, there & (base[..., 1] > 0))]
 
     candidates = wanted.filter("frame > 0").join(moves, ["image_id", "frame"])
-    moved = ti.windows(candidates, ti.Move(1), work, ti.TILE, side, "u1", ti.grid(candidates), "u1", "dx double, dy double, c double, s double")
-    return moved.unionByName(ti.each(wanted.filter("frame = 0"), upright, ti.TILE, 16))
+    moved = ti.windows(candidates, ti.Move(1), work, ti.TILE, side, "u1", candidates.drop("c", "s", "dx", "dy"), "u1", "dx double, dy double, c double, s double")
+    return moved.unionByName(wanted.filter("frame = 0"))
 
 
 def _bitmaps(planes: DataFrame, side: int) -> DataFrame:
@@ -309,9 +303,11 @@ def most_levels(sizes: DataFrame) -> int:
 
 def align(bracket: DataFrame, subpixel: bool = False, fill: bool = True, side: int = ti.SIDE) -> tuple[DataFrame, DataFrame, Stage]:
     """Pixels (image_id, frame from 0, y, x, r, g, b) of bytes with frames 1 and on moved onto frame 0, the transforms, and the stage whose tables
-    they are read from (``clear`` it behind the last use)."""
+    they are read from (``clear`` it behind the last use).  Frames are turned about the centre of their size: that of columns h and w, or
+    where these lack, one beyond the last line and column."""
     stage = Stage(bracket.sparkSession, "aligned")
-    sizes = bracket.groupBy("image_id", "frame").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    size = (F.max("h"), F.max("w")) if {"h", "w"} <= set(bracket.columns) else (F.max("y") + 1, F.max("x") + 1)
+    sizes = bracket.groupBy("image_id", "frame").agg(size[0].alias("h"), size[1].alias("w"))
     sizes = stage.put(sizes)
     side = side_for(most_levels(sizes), side)
     frames = stage.put(ti.tiled(bracket.select("image_id", "frame", "y", "x", *ti.RGB).join(sizes, ["image_id", "frame"]), side, "u1"))

@@ -1,7 +1,8 @@
 """Rasters as tiles, and operators that look beyond a pixel.
 
 A row is a tile: image_id, frame, level, ty, tx, the image's height and width at that level, and the samples of all channels, line by
-line.  Tiles of level k have ``side >> k`` pixels a side, so the levels of a pyramid nest and are computed within a tile.  An operator on
+line.  The last channel tells which pixels there are (1) and which lack (0, as are their samples): an image may have gaps or end before its
+height, and what lacks has no weight and comes out as nothing.  Tiles of level k have ``side >> k`` pixels a side, so the levels of a pyramid nest and are computed within a tile.  An operator on
 neighbourhoods, moves or turns is one exchange: each tile sends the parts that other tiles need, a tile puts its window together from
 what comes, and works on that window with numpy.  A task holds one window at a time, whatever the size of an image.
 """
@@ -59,7 +60,7 @@ def rect_of(row: dict, side: int) -> Rect:
 
 
 def samples(row: dict, rect: Rect, kind: str) -> np.ndarray:
-    """Lines, columns and channels of a tile."""
+    """Lines, columns and channels of a tile, with the one that tells which pixels there are."""
     return np.frombuffer(row["data"], kind).reshape(rect.y1 - rect.y0, rect.x1 - rect.x0, -1)
 
 
@@ -92,7 +93,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 def tiled(pixels: DataFrame, side: int = SIDE, kind: str = "f8", channels: tuple[str, ...] = RGB) -> DataFrame:
     """Tiles of level 0 of pixels (image_id, frame or none, y, x, channels), in one exchange.  The image's size is that of columns h and
-    w, or where these lack, one beyond the last line and column.  Pixels that lack are 0."""
+    w, or where these lack, one beyond the last line and column."""
     keys = ["image_id", *(["frame"] if "frame" in pixels.columns else [])]
     if not {"h", "w"} <= set(pixels.columns):
         pixels = pixels.join(pixels.groupBy(keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")), keys)
@@ -120,9 +121,9 @@ def tiled(pixels: DataFrame, side: int = SIDE, kind: str = "f8", channels: tuple
                         yield closed()
                     key = own
                     rect = rect_of({"level": 0, "ty": own[2], "tx": own[3], "h": own[4], "w": own[5]}, side)
-                    held = np.zeros((rect.y1 - rect.y0, rect.x1 - rect.x0, len(channels)), kind)
+                    held = np.zeros((rect.y1 - rect.y0, rect.x1 - rect.x0, len(channels) + 1), kind)
                 part = slice(low, high)
-                held[c["y"][part] - rect.y0, c["x"][part] - rect.x0] = np.stack([c[f"c{i}"][part] for i in range(len(channels))], axis=1)
+                held[c["y"][part] - rect.y0, c["x"][part] - rect.x0] = np.stack([*[c[f"c{i}"][part] for i in range(len(channels))], np.ones(high - low)], axis=1)
         if key:
             yield closed()
 
@@ -130,7 +131,7 @@ def tiled(pixels: DataFrame, side: int = SIDE, kind: str = "f8", channels: tuple
 
 
 def untiled(tiles: DataFrame, side: int = SIDE, kind: str = "f8", channels: tuple[str, ...] = RGB, framed: bool = False) -> DataFrame:
-    """Pixels of tiles of level 0, without an exchange: image_id, with ``framed`` frame, y, x, channels (int for bytes)."""
+    """The pixels that there are, of tiles of level 0, without an exchange: image_id, with ``framed`` frame, y, x, channels (int for bytes)."""
     number, keys = ("int" if kind == "u1" else "double"), ["image_id", *(["frame"] if framed else [])]
 
     def scan(batches):
@@ -139,9 +140,10 @@ def untiled(tiles: DataFrame, side: int = SIDE, kind: str = "f8", channels: tupl
                 row = batch.slice(i, 1).to_pylist()[0]
                 rect = rect_of(row, side)
                 data = samples(row, rect, kind)
-                y, x = (v.ravel().astype(np.int32) for v in np.mgrid[rect.y0 : rect.y1, rect.x0 : rect.x1])
+                there = data[..., -1] > 0
+                y, x = (v[there].astype(np.int32) for v in np.mgrid[rect.y0 : rect.y1, rect.x0 : rect.x1])
                 ids = [pa.array(np.full(len(y), row[k], np.int64 if k == "image_id" else np.int32)) for k in keys]
-                values = [pa.array(data[..., k].ravel().astype(np.int32 if number == "int" else np.float64)) for k in range(len(channels))]
+                values = [pa.array(data[..., k][there].astype(np.int32 if number == "int" else np.float64)) for k in range(len(channels))]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(y), pa.array(x), *values], names=[*keys, "y", "x", *channels])
 
     return tiles.mapInArrow(scan, f"image_id long, {'frame int, ' * framed}y int, x int, " + ", ".join(f"{c} {number}" for c in channels))
@@ -196,8 +198,7 @@ def windows(tiles: DataFrame, reach, work: Callable[[dict, np.ndarray, Rect, np.
     """``work(row, window, rect, base)`` for each tile: the samples of ``rect``, all that ``reach`` needs and the image has, in one exchange.
 
     ``more`` names further columns of the tiles (as a schema) that ``reach`` and ``work`` find in a row.  ``base``, tiles of the same keys, gives
-    the samples at the tile's own place (None where it is a ``grid``); a tile that no part reaches has an empty window, one without base is
-    left out.
+    the samples at the tile's own place; a tile that no part reaches has an empty window, one without base is left out.
     """
     names = [f.split(" ")[0] for f in more.split(", ") if f]
     sent = f"{TILE}, y0 int, x0 int, ph int, pw int" + (f", {more}" if more else "")
@@ -228,7 +229,7 @@ def windows(tiles: DataFrame, reach, work: Callable[[dict, np.ndarray, Rect, np.
             if based and own is None:
                 return []
             rect = rect_of(row, side)
-            given = samples(own, rect, base_kind) if own and own["data"] else None
+            given = samples(own, rect, base_kind) if own else None
             got = [r for r in held if not r["own"]]
             if not got:
                 return list(work(row, np.zeros((0, 0, 1), kind), Rect(0, 0, 0, 0), given))
@@ -255,12 +256,11 @@ def windows(tiles: DataFrame, reach, work: Callable[[dict, np.ndarray, Rect, np.
     return parts.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(receive, schema)
 
 
-def grid(tiles: DataFrame) -> DataFrame:
-    """The places of tiles, without their samples."""
-    return tiles.select(*_COLUMNS).withColumn("data", F.lit(bytearray()))
-
-
-def _tile(row: dict, data: np.ndarray) -> tuple:
+def _tile(row: dict, data: np.ndarray, there: np.ndarray | None = None) -> tuple:
+    """A row of samples, or of samples without and the pixels that there are."""
+    if there is not None:
+        there = there[..., None] > 0
+        data = np.concatenate([np.where(there, data, 0), there], axis=2, dtype=data.dtype)
     return (*(row[k] for k in KEYS), row["h"], row["w"], np.ascontiguousarray(data).tobytes())
 
 
@@ -268,17 +268,21 @@ def _tile(row: dict, data: np.ndarray) -> tuple:
 
 
 def _box(window: np.ndarray, rect: Rect, own: Rect, radius: int) -> np.ndarray:
-    """Means of squares about each pixel of ``own`` over what exists, by sums from the window's corner: the cost has no radius in it."""
+    """Means of squares about each pixel of ``own`` over the pixels that exist, by sums from the window's corner: the cost has no radius in it."""
     sums = np.zeros((window.shape[0] + 1, window.shape[1] + 1, window.shape[2]))
     sums[1:, 1:] = np.cumsum(np.cumsum(window, axis=0), axis=1)
     y, x = np.arange(own.y0, own.y1), np.arange(own.x0, own.x1)
     y0, y1, x0, x1 = np.maximum(y - radius, rect.y0) - rect.y0, np.minimum(y + radius + 1, rect.y1) - rect.y0, np.maximum(x - radius, rect.x0) - rect.x0, np.minimum(x + radius + 1, rect.x1) - rect.x0
     total = sums[y1][:, x1] - sums[y0][:, x1] - sums[y1][:, x0] + sums[y0][:, x0]
-    return total / ((y1 - y0)[:, None] * (x1 - x0)[None, :])[..., None]
+    return total[..., :-1] / np.maximum(total[..., -1:], 1)
 
 
 def box_mean(tiles: DataFrame, radius: int, side: int = SIDE) -> DataFrame:
-    return windows(tiles, Halo(radius), lambda row, window, rect, _: [_tile(row, _box(window, rect, rect_of(row, side), radius))], TILE, side)
+    def work(row, window, rect, _):
+        own = rect_of(row, side)
+        return [_tile(row, _box(window, rect, own, radius), own.of(window, rect.y0, rect.x0)[..., -1])]
+
+    return windows(tiles, Halo(radius), work, TILE, side)
 
 
 def local_contrast(tiles: DataFrame, amount: float, radius: int, side: int = SIDE) -> DataFrame:
@@ -288,24 +292,25 @@ def local_contrast(tiles: DataFrame, amount: float, radius: int, side: int = SID
     def work(row, window, rect, _):
         own = rect_of(row, side)
         here = own.of(window, rect.y0, rect.x0)
-        return [_tile(row, np.clip(here + (here - _box(window, rect, own, radius)) * share, 0, 1))]
+        here, there = here[..., :-1], here[..., -1]
+        return [_tile(row, np.clip(here + (here - _box(window, rect, own, radius)) * share, 0, 1), there)]
 
     return windows(tiles, Halo(radius), work, TILE, side)
 
 
 def gaussian_blur(tiles: DataFrame, sigma: float, side: int = SIDE) -> DataFrame:
-    """Separable, three sigmas to each side; weights beyond the image are left out."""
+    """Separable, three sigmas to each side; weights of pixels that lack are left out."""
     radius = max(1, math.ceil(3 * sigma))
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma))
 
     def blurred(a: np.ndarray, low: int, high: int, axis: int) -> np.ndarray:
-        """Along one axis, for the places from low to high."""
+        """Along one axis, for the places from low to high; the last channel as it is."""
         a = np.moveaxis(a, axis, 0)
         padded = np.concatenate([np.zeros((radius, *a.shape[1:])), a, np.zeros((radius, *a.shape[1:]))])
-        there = np.concatenate([np.zeros(radius), np.ones(len(a)), np.zeros(radius)])
-        out = sum(k * padded[low + i : high + i] for i, k in enumerate(kernel))
-        weight = sum(k * there[low + i : high + i] for i, k in enumerate(kernel))
-        return np.moveaxis(out / weight.reshape(-1, *[1] * (a.ndim - 1)), 0, axis)
+        sums = sum(k * padded[low + i : high + i] for i, k in enumerate(kernel))
+        there = a[low:high, :, -1:]
+        out = np.where(there > 0, sums[..., :-1] / np.where(there > 0, sums[..., -1:], 1), 0)
+        return np.moveaxis(np.concatenate([out, there], axis=2), 0, axis)
 
     def work(row, window, rect, _):
         own = rect_of(row, side)
@@ -319,18 +324,20 @@ def gaussian_blur(tiles: DataFrame, sigma: float, side: int = SIDE) -> DataFrame
 
 
 def halved(a: np.ndarray) -> np.ndarray:
-    """Means of bytes of each two by two, rounded down; an odd line or column at the end is dropped."""
+    """Means of the pixels that there are of each two by two, rounded down; an odd line or column at the end is dropped."""
     h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
     a = a[:h, :w].astype(np.int32)
-    return ((a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) // 4).astype(np.uint8)
+    sums = a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
+    return np.concatenate([sums[..., :-1] // np.maximum(sums[..., -1:], 1), sums[..., -1:] > 0], axis=2, dtype=np.uint8, casting="unsafe")
 
 
 def downsample(tiles: DataFrame, levels: Callable[[int, int], int], side: int = SIDE, channel: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> DataFrame:
     """All levels of bytes (``levels(w, h)`` of them), each from the one before within a tile, so without an exchange.  ``channel`` makes the samples
-    of level 0 from a tile.  ``side`` must be a multiple of two to the number of levels less one."""
+    of level 0 from those of a tile.  ``side`` must be a multiple of two to the number of levels less one."""
 
     def work(row: dict) -> Iterator[tuple]:
-        data, h, w = channel(samples(row, rect_of(row, side), "u1")), row["h"], row["w"]
+        data, h, w = samples(row, rect_of(row, side), "u1"), row["h"], row["w"]
+        data = np.concatenate([channel(data[..., :-1]), data[..., -1:]], axis=2)
         for level in range(levels(row["w"], row["h"])):
             if (side >> level) << level != side:
                 raise ValueError("tiles are too small for so many levels")
@@ -347,10 +354,10 @@ def nearest(row: dict, window: np.ndarray, rect: Rect, own: Rect) -> tuple[np.nd
     """Samples that a turned image takes for ``own``, halves of places to even, and where there are any; 0 elsewhere."""
     y, x = np.mgrid[own.y0 : own.y1, own.x0 : own.x1].astype(float)
     y, x = (np.rint(v).astype(np.int64) for v in Move.source(row, y, x))
-    there = (y >= 0) & (y < row["h"]) & (x >= 0) & (x < row["w"])
+    inside = (y >= 0) & (y < row["h"]) & (x >= 0) & (x < row["w"])
     values = np.zeros((*y.shape, window.shape[2]), window.dtype)
-    values[there] = window[y[there] - rect.y0, x[there] - rect.x0]
-    return values, there
+    values[inside] = window[y[inside] - rect.y0, x[inside] - rect.x0]
+    return values[..., :-1], values[..., -1] > 0
 
 
 def bilinear(row: dict, window: np.ndarray, rect: Rect, own: Rect) -> tuple[np.ndarray, np.ndarray]:
@@ -359,28 +366,34 @@ def bilinear(row: dict, window: np.ndarray, rect: Rect, own: Rect) -> tuple[np.n
     y, x = Move.source(row, y, x)
     y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
     there = (y0 >= 0) & (y0 + 1 < row["h"]) & (x0 >= 0) & (x0 + 1 < row["w"])
-    values = np.zeros((*y.shape, window.shape[2]))
+    taps = [(j, i) for j in (0, 1) for i in (0, 1)]
+    there[there] = np.all([window[y0[there] - rect.y0 + j, x0[there] - rect.x0 + i, -1] > 0 for j, i in taps], axis=0)
+    values = np.zeros((*y.shape, window.shape[2] - 1))
     if there.any():
         fy, fx = (y - y0)[there][:, None], (x - x0)[there][:, None]
         iy, ix = y0[there] - rect.y0, x0[there] - rect.x0
-        at = lambda j, i: window[iy + j, ix + i].astype(float)
+        at = lambda j, i: window[iy + j, ix + i, :-1].astype(float)
         values[there] = (1 - fy) * ((1 - fx) * at(0, 0) + fx * at(0, 1)) + fy * ((1 - fx) * at(1, 0) + fx * at(1, 1))
     return values, there
 
 
-def resampled(tiles: DataFrame, transforms: DataFrame, side: int = SIDE, fill: DataFrame | None = None, channels: int = 3) -> DataFrame:
-    """Tiles of bytes, moved and turned by (image_id, frame, dx, dy, c, s), bilinear, in one exchange behind the join.  Pixels from outside
-    are black, or those of the tiles ``fill`` of the same keys.  An image that stays where it is is kept as it is."""
+def resampled(tiles: DataFrame, transforms: DataFrame, side: int = SIDE, fill: DataFrame | None = None) -> DataFrame:
+    """Tiles of bytes, moved and turned by (image_id, frame, dx, dy, c, s), bilinear, in one exchange behind the join.  What is not between four
+    pixels is black, or that of the tiles ``fill`` of the same keys.  The pixels are those of ``fill``, or else of the tiles themselves.  An image
+    that stays where it is is kept as it is."""
+    filled = fill is not None
 
     def work(row, window, rect, base):
         own = rect_of(row, side)
+        behind = base[..., :-1] if filled else np.zeros_like(base[..., :-1])
         if row["dx"] is None:  # nothing of the source comes here
-            return [_tile(row, base if base is not None else np.zeros((own.y1 - own.y0, own.x1 - own.x0, channels), np.uint8))]
+            return [_tile(row, behind, base[..., -1])]
         if row["dx"] == row["dy"] == 0 and abs(row["s"]) < 1e-5:
-            return [_tile(row, own.of(window, rect.y0, rect.x0))]
+            here = own.of(window, rect.y0, rect.x0)
+            return [_tile(row, np.where(here[..., -1:] > 0, here[..., :-1], behind), base[..., -1])]
         values, there = bilinear(row, window, rect, own)
         out = np.rint(np.floor(values * 1e6 + 0.5) / 1e6).clip(0, 255).astype(np.uint8)
-        return [_tile(row, np.where(there[..., None], out, base if base is not None else 0))]
+        return [_tile(row, np.where(there[..., None], out, behind), base[..., -1])]
 
     moved = tiles.join(transforms.select("image_id", "frame", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "c", "s")]), ["image_id", "frame"])
-    return windows(moved, Move(2), work, TILE, side, "u1", grid(tiles) if fill is None else fill, "u1", "dx double, dy double, c double, s double")
+    return windows(moved, Move(2), work, TILE, side, "u1", fill if filled else tiles, "u1", "dx double, dy double, c double, s double")
